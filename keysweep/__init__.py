@@ -1,7 +1,7 @@
 """Find leaked credentials in tables of files and in their commit history, on Spark."""
 
 from keysweep.operators.report import write_report
-from keysweep.plans.scan import HistoryScan, scan_files
+from keysweep.plans.scan import HistoryScan, scan_directory, scan_files
 from keysweep.sources.rules import load_rules
 
-__all__ = ["HistoryScan", "load_rules", "scan_files", "write_report"]
+__all__ = ["HistoryScan", "load_rules", "scan_directory", "scan_files", "write_report"]

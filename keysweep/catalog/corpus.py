@@ -49,9 +49,9 @@ COMMITS = f"""SELECT {_COMMIT.format('o_orderkey')} AS commit, 'change ' || CAST
   (SELECT count(*) FROM {{orders}}) - 1 - o_orderkey AS log_pos
 FROM {{orders}}"""
 
-ENTRIES = f"""SELECT DISTINCT {_COMMIT.format('l_orderkey')} AS commit,
+ENTRIES = f"""SELECT {_COMMIT.format('l_orderkey')} AS commit,
   lower(l_linestatus) || '/' || {PATH} AS path, doc_id AS blob_id
-FROM (SELECT l_orderkey, l_linestatus, l_partkey % (SELECT count(*) FROM {{documents}}) AS doc_id FROM {{lineitem}}) AS placed"""
+FROM (SELECT DISTINCT l_orderkey, l_linestatus, l_partkey % (SELECT count(*) FROM {{documents}}) AS doc_id FROM {{lineitem}}) AS placed"""
 
 # Every text column of the tables as it is, as one file per row.
 RAW_FILES = """SELECT 'documents/' || CAST(doc_id AS STRING) || '.txt' AS path, text AS content FROM {documents}

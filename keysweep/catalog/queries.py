@@ -8,9 +8,8 @@ from keysweep.catalog import corpus
 from keysweep.functions import entropy, keywords, paths, redact
 from keysweep.operators import findings as found_ops
 from keysweep.operators import history, report
-from keysweep.operators.detect import detect
 from keysweep.operators.lines import is_truncated, number_lines
-from keysweep.plans.scan import HistoryScan, scan_files as scan
+from keysweep.plans.scan import HistoryScan, detect_balanced, scan_files as scan
 from keysweep.plans.store import spread, stored
 from keysweep.sources.rules import load_rules, rules_frame
 
@@ -23,7 +22,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detected(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    return detect(_files(spark, sf_dir), load_rules(spark), "doc_id", which=which)
+    return detect_balanced(corpus.files(spark, sf_dir), load_rules(spark), "doc_id", which=which)
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +30,9 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> HistoryScan:
-    return HistoryScan(corpus.blobs(spark, sf_dir), corpus.entries(spark, sf_dir), corpus.commits(spark, sf_dir),
-                       load_rules(spark))
+    # Trees are tables in practice; stored, their paths are not computed anew for every filter.
+    return HistoryScan(corpus.blobs(spark, sf_dir), stored(corpus.entries(spark, sf_dir)),
+                       corpus.commits(spark, sf_dir), load_rules(spark))
 
 
 def scan_files(spark, sf_dir):
@@ -102,7 +102,7 @@ def sig_match(spark, sf_dir):
 
 def sig_counts_by_rule(spark, sf_dir):
     rules = load_rules(spark)
-    found = detect(_files(spark, sf_dir), rules, "doc_id", which=("signature",))
+    found = detect_balanced(corpus.files(spark, sf_dir), rules, "doc_id", which=("signature",))
     return found_ops.count_by_rule(found, rules_frame(spark, rules))
 
 
@@ -146,8 +146,7 @@ def detect_all(spark, sf_dir):
 
 
 def dedupe_findings(spark, sf_dir):
-    bag = detect(spread(corpus.files(spark, sf_dir), "path").withColumnRenamed("path", "file"),
-                 load_rules(spark), "file")
+    bag = detect_balanced(corpus.files(spark, sf_dir).withColumnRenamed("path", "file"), load_rules(spark), "file")
     return found_ops.dedupe(bag.unionByName(bag))
 
 

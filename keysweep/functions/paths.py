@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from keysweep.fixed_values import MAX_BLOB_BYTES, SKIP_DIRS, SKIP_FILES, VALID_EXTENSIONS
@@ -34,9 +36,17 @@ def within_size_cap(size: Column) -> Column:
     return size <= MAX_BLOB_BYTES
 
 
+def _one_of(words) -> str:
+    return "(?:" + "|".join(map(re.escape, words)) + ")"
+
+
+_VALID = f"(?i){_one_of(VALID_EXTENSIONS)}\\z"
+_SKIPPED = rf"(?:\A|/)(?:{_one_of(SKIP_DIRS)}(?:/|\z)|{_one_of(SKIP_FILES)}\z)"
+
+
 def is_scanned(path: Column) -> Column:
-    """All path filters; the cheap comparisons come first."""
-    return has_valid_extension(path) & ~is_skipped_file(path) & ~in_skipped_dir(path)
+    """All path filters as two patterns: the path itself may be an expression, and is used only twice."""
+    return path.rlike(_VALID) & ~path.rlike(_SKIPPED)
 
 
 def relative_to(path: Column, root: str | None) -> Column:

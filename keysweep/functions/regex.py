@@ -43,9 +43,9 @@ def to_java(pattern: str, boundaries: bool = True) -> str:
         if char == "\\":
             piece, width = _escape(pattern, at, _OUTSIDE)
             if pattern[at:at + 2] == r"\b":
-                piece = _next_is(pattern, at + 2) + _BOUNDARY if boundaries else ""
+                piece = _next_is(pattern, at + 2, fold) + _BOUNDARY if boundaries else ""
         elif char == "[":
-            piece, width = _char_class(pattern, at)
+            piece, width = _char_class(pattern, at, fold)
         elif char == ".":
             piece = dot
         elif char == "^":
@@ -76,13 +76,13 @@ def to_java(pattern: str, boundaries: bool = True) -> str:
     return "".join(out)
 
 
-def _next_is(pattern: str, at: int) -> str:
+def _next_is(pattern: str, at: int, fold: bool) -> str:
     """Lookahead for the piece behind a boundary: far cheaper to fail on than the boundary itself."""
     literal = re.compile(r"[A-Za-z0-9_]{1,3}(?![A-Za-z0-9_]*[?*{])").match(pattern, at)
     if literal:
         return f"(?={literal.group()})"
     if pattern.startswith("[", at):
-        piece, width = _char_class(pattern, at)
+        piece, width = _char_class(pattern, at, fold)
         if not re.compile(r"[?*]|\{0").match(pattern, at + width):
             return f"(?={piece})"
     return ""
@@ -115,18 +115,18 @@ def _escape(pattern: str, at: int, table: dict[str, str]) -> tuple[str, int]:
     return "\\" + char, 2
 
 
-def _char_class(pattern: str, at: int) -> tuple[str, int]:
+def _char_class(pattern: str, at: int, fold: bool = False) -> tuple[str, int]:
     end = at + 1
-    out = ["["]
-    if pattern.startswith("^", end):
-        out.append("^")
-        end += 1
-    first = True
+    negated = pattern.startswith("^", end)
+    end += negated
+    body: list[str] = []
     while end < len(pattern):
         char = pattern[end]
-        if char == "]" and not first:
-            return "".join(out) + "]", end + 1 - at
-        first = False
+        if char == "]" and body:
+            if body[-1] == "-":
+                body[-1] = r"\-"
+            inside = "".join(body) + (_folded_members(body) if fold else "")
+            return ("[^" if negated else "[") + inside + "]", end + 1 - at
         posix = re.compile(r"\[:([a-z]+):\]").match(pattern, end)
         if posix:
             if posix.group(1) not in _POSIX:
@@ -138,6 +138,17 @@ def _char_class(pattern: str, at: int) -> tuple[str, int]:
             piece, width = "\\" + char, 1
         else:
             piece, width = char, 1
-        out.append(piece)
+        body.append(piece)
         end += width
     raise UnsupportedPattern(f"missing ] in {pattern!r}")
+
+
+def _folded_members(body: list[str]) -> str:
+    """The two non-ASCII letters that fold to ASCII ones; Java adds them to some ranges only."""
+    same = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", "".join(body))
+    try:
+        members = re.compile(f"[{same}]")
+    except re.error as problem:
+        raise UnsupportedPattern(f"class [{same}]: {problem}") from None
+    extra = {"kK": r"\x{212A}", "sS": r"\x{17F}"}
+    return "".join(code for letters, code in extra.items() if any(members.match(c) for c in letters))

@@ -7,13 +7,11 @@ is not carried through the joins with trees.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keysweep.functions.exposure import exposure_window
 from keysweep.functions.paths import is_scanned, under, within_size_cap
-from keysweep.operators.detect import detect
 from keysweep.plans.skew import skew_join
-from keysweep.sources.rules import Rule
 
 # Positions per bucket of the commit order. An order index is below 2**31, so there are at most
 # 2**31 / _BUCKET buckets of known commits, and _UNKNOWN_BUCKETS of commits missing from the log.
@@ -32,15 +30,10 @@ def commit_lookup(commits: DataFrame, wanted: DataFrame) -> DataFrame:
     return commit_order(commits).join(wanted.select("commit").distinct(), "commit", "left_semi")
 
 
-def secret_id(kind: Column, match: Column) -> Column:
-    return F.unhex(F.sha2(F.concat(kind, F.lit("\x00"), match), 256))
-
-
-def blob_findings(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Findings of every distinct content up to the size cap; the trees decide later which are in scope."""
-    small = blobs.where(within_size_cap(F.col("size")))
-    found = detect(small, rules, "blob_id")
-    return found.withColumn("secret_id", secret_id(F.col("type"), F.col("match")))
+def with_secret_id(findings: DataFrame) -> DataFrame:
+    """Digest of type and match, the identity of a secret across files and commits."""
+    text = F.concat("type", F.lit("\x00"), "match")
+    return findings.withColumn("secret_id", F.unhex(F.sha2(text, 256)))
 
 
 def scanned_entries(entries: DataFrame, base: str | None = None) -> DataFrame:

@@ -44,10 +44,9 @@ def number_lines(files: DataFrame, *keys: str, content: str = "content", keep: C
     stop = _first_long(every, limit)
     shown = F.when(F.col("_short") | (stop == 0), every).otherwise(F.slice(every, 1, stop.cast("int") - 1))
     lines = (
-        files.where(F.octet_length(text) > 0)
-        .select(*keys, _pieces(text).alias("_all"), text.endswith("\n").alias("_ended"),
+        files.select(*keys, _pieces(text).alias("_all"), ((text == "") | text.endswith("\n")).alias("_ended"),
                 (F.octet_length(text) < limit).alias("_short"))
-        # A final newline leaves one empty piece behind it, which is no line.
+        # Behind a final newline, and in an empty content, there is one empty piece that is no line.
         .select(*keys, (F.size(every) - F.col("_ended").cast("int")).alias("_count"), shown.alias("_shown"))
         # The outer form keeps the optimizer from inferring size(...) > 0, which would split every content twice.
         .select(*keys, "_count", F.posexplode_outer("_shown").alias("_pos", RAW_LINE))

@@ -4,33 +4,43 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysweep.functions.paths import is_scanned
+from keysweep.functions.paths import is_scanned, within_size_cap
 from keysweep.operators import history
 from keysweep.operators.detect import ALL, detect
 from keysweep.operators.findings import dedupe
-from keysweep.plans.store import spread, stored
+from keysweep.plans.store import has_splits, spread, stored
+from keysweep.sources.directory import list_files, read_files
 from keysweep.sources.rules import Rule
 
 
-def scan_files(files: DataFrame, rules: list[Rule], which=ALL, first_line: bool = False) -> DataFrame:
+def detect_balanced(files: DataFrame, rules: list[Rule], *keys: str, which=ALL) -> DataFrame:
+    """``detect`` on all cores, even if the table is one file with one split."""
+    if has_splits(files):
+        return detect(files, rules, *keys, which=which)
+    # The optimizer would test the contents before it moves them, that is in the few tasks that read.
+    return detect(spread(files, keys[0]), rules, *keys, which=which, test_contents=False)
+
+
+def scan_files(files: DataFrame, rules: list[Rule], which=ALL) -> DataFrame:
     """Deduplicated findings ``(file, line, type, match)`` of a table ``(path, content)``.
 
     Files are filtered by path before their content is looked at. The one shuffle, for
-    the deduplication, moves findings only. With ``first_line`` the table also has the
-    columns ``first_line`` (number of the first line of each piece of a file) and
-    ``stop_line`` (first line no longer scanned, or null), as large files have.
+    the deduplication, moves findings only.
     """
-    files = files.where(is_scanned(F.col("path")))
-    extra = ["first_line", "stop_line"] if first_line else []
-    files = files.select(F.col("path").alias("file"), "content", *extra)
-    found = detect(spread(files, "file"), rules, "file", *extra, which=which)
-    if first_line:
-        found = found.withColumn("line", F.col("line") + F.col("first_line") - 1) \
-            .where(F.col("stop_line").isNull() | (F.col("line") < F.col("stop_line"))) \
-            .drop(*extra)
-    return dedupe(found)
+    wanted = files.where(is_scanned(F.col("path"))).select(F.col("path").alias("file"), "content")
+    return dedupe(detect_balanced(wanted, rules, "file", which=which))
+
+
+def scan_directory(spark: SparkSession, root: str, rules: list[Rule], which=ALL) -> DataFrame:
+    """Deduplicated findings of a directory tree on storage that all executors reach."""
+    pieces = read_files(list_files(spark, root)).withColumnRenamed("path", "file")
+    # What follows a line over the limit is not scanned, in later pieces of the file either.
+    found = detect(pieces, rules, "file", "first_line", "stop_line", which=which, test_contents=False)
+    line = F.col("line") + F.col("first_line") - 1
+    found = found.where(F.col("stop_line").isNull() | (line < F.col("stop_line")))
+    return dedupe(found.select("file", line.alias("line"), "type", "match"))
 
 
 class HistoryScan:
@@ -50,7 +60,8 @@ class HistoryScan:
     @cached_property
     def found(self) -> DataFrame:
         """Findings of each distinct blob, whatever the number of commits that hold it."""
-        return stored(history.blob_findings(spread(self.blobs, "blob_id"), self.rules))
+        small = self.blobs.where(within_size_cap(F.col("size")))
+        return stored(history.with_secret_id(detect_balanced(small, self.rules, "blob_id")))
 
     @cached_property
     def found_rows(self) -> int:

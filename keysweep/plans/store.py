@@ -33,7 +33,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def has_splits(df: DataFrame) -> bool:
+    """Whether a table comes in at least as many partitions as there are cores."""
+    return df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Enough partitions for all cores. A table in many splits already has them and is not moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if has_splits(df) else df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
