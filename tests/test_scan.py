@@ -1,0 +1,239 @@
+"""Whole scans of directories, and the reports made from them."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from keysweep import load_rules, scan_directory, scan_files, write_report
+from keysweep.catalog import corpus
+from keysweep.fixed_values import LINE_LIMIT_BYTES
+from keysweep.operators import findings as found_ops
+from keysweep.operators import report
+from keysweep.operators.detect import detect
+from keysweep.plans import store
+from keysweep.schemas import FINDING
+from keysweep.sources import directory
+
+X = "X"
+JWT = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"
+# Fakes full of X: keyword values are placeholders and entropy is low, so only signatures fire.
+PLANTED = {
+    "conf/db.yml": ("db:\n  name: shop\n  url: postgresql://admin:<PLACEHOLDER>@db.internal:5432/shop\n",
+                    [(3, "PostgreSQL Connection URI")]),
+    "src/client.py": ("import http\n\napi_key = \"sk-proj-" + X * 60 + "\"\n", [(3, "OpenAI API Key (Project)")]),
+    "src/aws.go": ("package aws\nvar id = \"AKIA" + X * 16 + "\"\nvar key = \"" + X * 40 + "\"\n",
+                   [(2, "AWS Access Key ID")]),
+    "src/pay.ts": ("const a = 'sk_live_" + X * 30 + "'\nconst b = 'whsec_" + X * 40 + "'\n",
+                   [(1, "Stripe Secret Key"), (2, "Stripe Webhook Secret")]),
+    ".env": ("DB=postgres://u:<PLACEHOLDER>@localhost/app\nREDIS=redis://:<PLACEHOLDER>@cache:6379\nK=" + X * 50
+             + "\nA=sk-ant-api03-" + X * 70 + "\nG=ghp_" + X * 36,
+             [(1, "PostgreSQL Connection URI"), (2, "Redis Connection URI (Password)"), (4, "Anthropic API Key"),
+              (5, "GitHub Classic PAT")]),
+    "pkg/__init__.py": ("HOOK = 'https://discord.com/api/webhooks/" + "0" * 18 + "/" + X * 64 + "'\r\n",
+                        [(1, "Discord Webhook")]),
+    ".github/_private/bot.JS": ("x\n\nt = 'xoxb-" + "0" * 10 + "-" + "0" * 12 + "-" + X * 24 + "'\n",
+                                [(3, "Slack Bot Token")]),
+    "conf/fire.json": ("{\n \"u\": \"https://shop-1.firebaseio.com\"\n}\n", [(2, "Firebase Database URL")]),
+    "src/auth.c": (f"char *supabaseAnonKey = \"{JWT}.{X}.{X}\";\n",
+                   [(1, "Supabase Anon/Service Role JWT"), (1, "Supabase JWT Key")]),
+    "deploy/main.tf": ("u = \"mongodb+srv://a:<PLACEHOLDER>@c.example.net\"\n", []),
+    "node_modules/m/index.js": ("k = 'AKIA" + X * 16 + "'\n", []),
+    "a/b/vendor/lib.go": ("// AKIA" + X * 16 + "\n", []),
+    "package-lock.json": ("AKIA" + X * 16 + "\n", []),
+    "empty.txt": ("", []),
+}
+
+
+@pytest.fixture(scope="module")
+def rules(spark):
+    return load_rules(spark)
+
+
+@pytest.fixture(scope="module")
+def tree(tmp_path_factory):
+    root = tmp_path_factory.mktemp("build") / "checkout"
+    for name, (text, _) in PLANTED.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+    (root / "loop").symlink_to(root, target_is_directory=True)
+    (root / "gone.py").symlink_to(root / "nothing")
+    return root
+
+
+def test_planted_tree(spark, rules, tree):
+    got = {(r.file, r.line, r.type) for r in scan_directory(spark, str(tree), rules).collect()}
+    want = {(f"{tree}/{name}", line, kind) for name, (_, hits) in PLANTED.items() for line, kind in hits}
+    assert got == want and len(want) == 14
+
+
+def test_table_scan_equals_directory_scan(spark, rules, tree):
+    table = spark.createDataFrame([(name, text) for name, (text, _) in PLANTED.items()], "path string, content string")
+    got = {(r.file, r.line, r.type) for r in scan_files(table, rules).collect()}
+    assert got == {(name, line, kind) for name, (_, hits) in PLANTED.items() for line, kind in hits}
+
+
+def test_root_may_be_a_file_or_skipped(spark, rules, tree):
+    assert scan_directory(spark, str(tree / "src/aws.go"), rules).count() == 1
+    skipped = tree / "node_modules"
+    assert scan_directory(spark, f"{skipped}/", rules).count() == 0
+    with pytest.raises(Exception):
+        scan_directory(spark, str(tree / "missing"), rules)
+
+
+def test_clean_files_have_no_findings(spark, rules):
+    text = "\n".join(["package main", "import \"fmt\"", "func main() {", "\tfmt.Println(\"hello\")", "}",
+                      "// an ordinary comment", "var x = 42", "const name = \"app\"", "type T struct { Host string }",
+                      "func (t T) String() string { return t.Host }"])
+    table = spark.createDataFrame([(f"pkg/f{i}.go", text) for i in range(50)], "path string, content string")
+    assert scan_files(table, rules).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_make_up_the_file(tmp_path, seed):
+    """Every line belongs to exactly one piece, whatever the piece size."""
+    rng = random.Random(seed)
+    text = b"".join(rng.choice([b"\n", b"ab\n", b"x" * rng.randint(0, 30) + b"\n", b"\r\n"]) for _ in range(200))
+    text += rng.choice([b"", b"tail"])
+    path = tmp_path / "f.txt"
+    path.write_bytes(text)
+    for size in (1, 2, 7, 31, 1000, len(text), len(text) + 5):
+        pieces = [directory.read_piece(str(path), len(text), p, size) for p in range(-(-len(text) // size))]
+        assert b"".join(pieces) == text
+        assert all(p.endswith(b"\n") for p in [p for p in pieces if p][:-1])
+
+
+def test_large_file_in_pieces(spark, rules, tmp_path):
+    """Line numbers go on over pieces; what follows an over-long line is not scanned."""
+    line = b"x = 1\n" * 1000
+    key = b"AKIA" + b"Q" * 16 + b"\n"
+    root = tmp_path / "t"
+    root.mkdir()
+    whole = b"".join(line + key for _ in range(40))
+    (root / "a.py").write_bytes(whole)
+    (root / "b.py").write_bytes(whole[:100_000] + b"\n" + key + b"z" * LINE_LIMIT_BYTES + b"\n" + key + whole)
+    (root / "c.py").write_bytes(key + b"z" * (LINE_LIMIT_BYTES - 1) + b"\n" + key)
+    files = directory.list_files(spark, str(root))
+    table = spark.createDataFrame([(str(p), p.read_text()) for p in root.iterdir()], "path string, content string")
+    want = sorted(map(tuple, scan_files(table, rules).collect()))
+    assert {(f.rsplit("/")[-1], n) for f, n, *_ in want} >= {("a.py", 1001), ("a.py", 40040), ("c.py", 1), ("c.py", 3)}
+    for piece_bytes in (1 << 14, 1 << 20, 64 << 20):
+        pieces = directory.read_files(files, piece_bytes)
+        frame = pieces.select(F.col("path").alias("file"), "first_line", "stop_line", "content")
+        assert piece_bytes > 1 << 20 or frame.count() > 3
+        found = detect(frame, rules, "file", "first_line", "stop_line")
+        found = found.withColumn("line", F.col("line") + F.col("first_line") - 1) \
+            .where("stop_line IS NULL OR line < stop_line")
+        assert sorted((r.file, r.line, r.type, r.match) for r in found.collect()) == want
+
+
+def test_invalid_bytes_are_replaced(spark, rules, tmp_path):
+    (tmp_path / "a.env").write_bytes(b"\xff\xfe\ntoken=\"abcd1234\" \xc3\n")
+    (row,) = scan_directory(spark, str(tmp_path), rules).collect()
+    assert (row.line, row.type, row.match) == (2, "Keyword Secret", "abcd1234")
+
+
+def test_checkpoint_folder(spark):
+    assert store.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    kept = store.stored(spark.range(3).withColumnRenamed("id", "n"))
+    assert kept.inputFiles()[0].startswith("file://" + store.checkpoint_root(spark))
+    assert kept.count() == 3
+
+
+FINDINGS = [
+    ("/r/b.py", 7, "Keyword Secret", "abcd1234efgh5678", "c" * 40, "say \"hi\"", "i" * 40, "r" * 40, 3,
+     "Exposed for 3 commits (removed in commit rrrrrrrr)", False),
+    ("/r/a.py", 2, "Keyword Secret", "k3yk3yk3yk3yk3y", "c" * 40, "m", "i" * 40, None, 1,
+     "Exposed for 1 commit (still present in HEAD)", True),
+    ("/q/c.go", 1, "AWS Access Key ID", "id = AKIA" + "Q" * 16, None, None, None, None, None, None, None),
+]
+
+
+@pytest.fixture
+def findings(spark):
+    return spark.createDataFrame(FINDINGS, FINDING)
+
+
+def test_json_report(spark, findings, tmp_path):
+    write_report(findings, str(tmp_path / "out"), "json", root="/r")
+    lines = [json.loads(line) for f in sorted((tmp_path / "out/findings").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [(row["file"], row["line"]) for row in lines] == [("/q/c.go", 1), ("a.py", 2), ("b.py", 7)]
+    assert set(lines[0]) == {"file", "type", "line", "match"}
+    assert lines[1]["still_present_in_head"] is True and "removed_commit" not in lines[1]
+    assert "still_present_in_head" not in lines[2] and lines[2]["exposure_commits"] == 3
+    assert lines[2]["match"] == "abcd...5678" and lines[2]["message"] == "say \"hi\""
+    header = json.loads(next((tmp_path / "out/header").glob("part-*")).read_text())
+    assert header["total_findings"] == 3 and header["sanitized"] is True and header["scan_time"].endswith("Z")
+
+
+def test_markdown_report(spark, findings, tmp_path):
+    write_report(findings, str(tmp_path / "out"), "md", root="/r")
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*")))
+    i, c, r = "i" * 40, "c" * 40, "r" * 40
+    assert text == f"""# Secret Exposure Report
+
+>**Note:** Secret values are automatically redacted for security.
+
+## AWS Access Key ID
+
+- **File:** `/q/c.go`  
+  **Line:** 1  
+  **Match:** `id =...QQQQ`
+  **Commit:**   
+  **Message:** ``  
+
+---
+## Keyword Secret
+
+- **File:** `a.py`  
+  **Line:** 2  
+  **Match:** `k3yk...yk3y`
+  **Commit:** {c}  
+  **Message:** `m`  
+  **Introduced:** {i}  
+  **Removed:** (still present in HEAD)  
+  **Exposure:** Exposed for 1 commit (still present in HEAD)  
+
+- **File:** `b.py`  
+  **Line:** 7  
+  **Match:** `abcd...5678`
+  **Commit:** {c}  
+  **Message:** `say "hi"`  
+  **Introduced:** {i}  
+  **Removed:** {r}  
+  **Exposure:** Exposed for 3 commits (removed in commit rrrrrrrr)  
+
+---
+**Total unique findings:** 3
+"""
+
+
+def test_empty_and_unknown_reports(spark, findings, tmp_path):
+    write_report(findings.limit(0), str(tmp_path / "none"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "none").glob("part-*")))
+    assert text.endswith("for security.\n\nNo secrets found.\n")
+    with pytest.raises(ValueError):
+        write_report(findings, str(tmp_path / "x"), "xml")
+    write_report(findings, None, "json")
+    assert not (tmp_path / "x").exists()
+
+
+def test_reports_leak_nothing(spark, rules, sf_dir):
+    found = scan_files(corpus.files(spark, sf_dir), rules)
+    shown = report.redacted(found).select("match").collect()
+    secrets = {r.match for r in found.select("match").collect()}
+    assert len(shown) == found.count() > 50
+    assert not secrets & {r.match for r in shown}
+    text = "\n".join(r.value for r in report.markdown_document(found).collect())
+    assert not [s for s in secrets if s in text]
+
+
+def test_dedupe_and_counts(spark):
+    rows = [("f", 1, "t", "m", "c1", "x"), ("f", 1, "t", "m", "c2", "y"), ("f", 2, "t", "m", "c1", "x")]
+    frame = spark.createDataFrame(rows, "file string, line long, type string, match string, commit string, message string")
+    kept = found_ops.dedupe(frame)
+    assert sorted(r.line for r in kept.collect()) == [1, 2]
+    assert found_ops.count_findings(kept).first().total_findings == 2
+    assert found_ops.count_by_type(frame).first().n_findings == 3
