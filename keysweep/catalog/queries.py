@@ -10,29 +10,39 @@ from keysweep.operators import findings as found_ops
 from keysweep.operators import history, report
 from keysweep.operators.lines import is_truncated, number_lines
 from keysweep.plans.scan import HistoryScan, detect_balanced, scan_files as scan
-from keysweep.plans.store import spread, stored
+from keysweep.plans.store import stored
 from keysweep.sources.rules import load_rules, rules_frame
 
 # The line limit of one mebibyte is not reached in the tables; the query uses a lower one.
 SHORT_LINE_LIMIT = 400
 
 
+def _partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """One per core if the documents come in fewer splits than that; a large table needs none."""
+    cores = spark.sparkContext.defaultParallelism
+    # On a bare scan this only lists splits.
+    return cores if corpus.table(spark, sf_dir, "documents").rdd.getNumPartitions() < cores else None
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(corpus.files(spark, sf_dir), "doc_id")
+    partitions = _partitions(spark, sf_dir)
+    files = corpus.files(spark, sf_dir)
+    return files.repartition(partitions, "doc_id") if partitions else files
 
 
 def _detected(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    return detect_balanced(corpus.files(spark, sf_dir), load_rules(spark), "doc_id", which=which)
+    return detect_balanced(corpus.files(spark, sf_dir), load_rules(spark), "doc_id", which=which,
+                           partitions=_partitions(spark, sf_dir))
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir), load_rules(spark))
+    return scan(corpus.files(spark, sf_dir), load_rules(spark), partitions=_partitions(spark, sf_dir))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> HistoryScan:
     # Trees are tables in practice; stored, their paths are not computed anew for every filter.
     return HistoryScan(corpus.blobs(spark, sf_dir), stored(corpus.entries(spark, sf_dir)),
-                       corpus.commits(spark, sf_dir), load_rules(spark))
+                       corpus.commits(spark, sf_dir), load_rules(spark), partitions=_partitions(spark, sf_dir))
 
 
 def scan_files(spark, sf_dir):
@@ -40,7 +50,8 @@ def scan_files(spark, sf_dir):
 
 
 def scan_raw_tables(spark, sf_dir):
-    return scan(corpus.raw_files(spark, sf_dir), load_rules(spark))
+    return scan(corpus.raw_files(spark, sf_dir), load_rules(spark), unique_paths=True,
+                partitions=_partitions(spark, sf_dir))
 
 
 def scan_commit_snapshots(spark, sf_dir):
@@ -102,7 +113,8 @@ def sig_match(spark, sf_dir):
 
 def sig_counts_by_rule(spark, sf_dir):
     rules = load_rules(spark)
-    found = detect_balanced(corpus.files(spark, sf_dir), rules, "doc_id", which=("signature",))
+    found = detect_balanced(corpus.files(spark, sf_dir), rules, "doc_id", which=("signature",),
+                            partitions=_partitions(spark, sf_dir))
     return found_ops.count_by_rule(found, rules_frame(spark, rules))
 
 
@@ -146,7 +158,8 @@ def detect_all(spark, sf_dir):
 
 
 def dedupe_findings(spark, sf_dir):
-    bag = detect_balanced(corpus.files(spark, sf_dir).withColumnRenamed("path", "file"), load_rules(spark), "file")
+    bag = detect_balanced(corpus.files(spark, sf_dir).withColumnRenamed("path", "file"), load_rules(spark), "file",
+                          partitions=_partitions(spark, sf_dir))
     return found_ops.dedupe(bag.unionByName(bag))
 
 

@@ -65,19 +65,21 @@ def _expressions(app: str, rules: tuple[Rule, ...], which: tuple[str, ...]):
     return whole, keep, hits_of(F.col("text"), rules, which)
 
 
-def detect(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, test_contents: bool = True) -> DataFrame:
+def detect(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, distinct: bool = False,
+           test_contents: bool = True) -> DataFrame:
     """All findings ``(*keys, line, type, match)`` of a table with a ``content`` column.
 
-    A bag: a token that occurs twice on a line is reported twice. There is no shuffle
-    and no Python worker. Contents that pass no gate are never split, and only lines
-    that pass one leave the stage that splits. ``test_contents=False`` leaves out the
-    first of these tests, for contents that are costly to compute.
+    A bag, in which a token that occurs twice on a line is reported twice; with ``distinct``
+    it is reported once. There is no shuffle and no Python worker. Contents that pass no
+    gate are never split, and only lines that pass one leave the stage that splits.
+    ``test_contents=False`` leaves out the first of these tests, for contents that are costly
+    to compute.
     """
     app = files.sparkSession.sparkContext.applicationId
     whole, keep, hits = _expressions(app, tuple(rules), tuple(which))
     lines = number_lines(files.where(whole) if test_contents else files, *keys, keep=keep)
     return (
-        lines.select(*keys, "line", hits.alias("_hits"))
+        lines.select(*keys, "line", (F.array_distinct(hits) if distinct else hits).alias("_hits"))
         .select(*keys, "line", F.inline_outer("_hits"))
         .where(F.col("type").isNotNull())
     )

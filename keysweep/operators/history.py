@@ -48,10 +48,10 @@ def snapshot_files(entries: DataFrame, blobs: DataFrame, base: str | None = None
 
 
 def snapshot_findings(entries: DataFrame, found: DataFrame, base: str | None = None,
-                      found_rows: int | None = None) -> DataFrame:
+                      found_bytes: int | None = None) -> DataFrame:
     """Findings of each commit's whole tree: ``(commit, file, line, type, match)``."""
     hits = found.select("blob_id", "line", "type", "match")
-    joined = skew_join(scanned_entries(entries, base), hits, "blob_id", small_rows=found_rows)
+    joined = skew_join(scanned_entries(entries, base), hits, "blob_id", small_bytes=found_bytes)
     return joined.select("commit", "file", "line", "type", "match")
 
 
@@ -60,18 +60,18 @@ def with_message(findings: DataFrame, commits: DataFrame, weights: DataFrame | N
     return skew_join(findings, commits.select("commit", "message"), "commit", how="left", weights=weights)
 
 
-def count_by_commit(entries: DataFrame, found: DataFrame, found_rows: int | None = None) -> DataFrame:
+def count_by_commit(entries: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
     """Findings per commit; they are counted per blob before the trees multiply them."""
     per_blob = found.groupBy("blob_id").agg(F.count("*").alias("_n"))
-    joined = skew_join(scanned_entries(entries), per_blob, "blob_id", small_rows=found_rows)
+    joined = skew_join(scanned_entries(entries), per_blob, "blob_id", small_bytes=found_bytes)
     return joined.groupBy("commit").agg(F.sum("_n").alias("n_findings"))
 
 
 def entries_with_findings(entries: DataFrame, found: DataFrame, base: str | None = None,
-                          found_rows: int | None = None) -> DataFrame:
+                          found_bytes: int | None = None) -> DataFrame:
     """Tree entries whose blob has a finding: usually a small part of all entries."""
     blobs = found.select("blob_id").distinct()
-    return skew_join(scanned_entries(entries, base), blobs, "blob_id", how="left_semi", small_rows=found_rows)
+    return skew_join(scanned_entries(entries, base), blobs, "blob_id", how="left_semi", small_bytes=found_bytes)
 
 
 def commit_sequence(hits: DataFrame, commits: DataFrame, include_clean: bool = False) -> DataFrame:
@@ -103,26 +103,27 @@ def commit_sequence(hits: DataFrame, commits: DataFrame, include_clean: bool = F
     )
 
 
-def secrets_per_commit(entries: DataFrame, found: DataFrame, found_rows: int | None = None) -> DataFrame:
+def secrets_per_commit(entries: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
     """Distinct secrets in each commit: ``(commit, secret_id)``."""
     pairs = scanned_entries(entries).select("commit", "blob_id").distinct()
     secrets = found.select("blob_id", "secret_id").distinct()
-    return skew_join(pairs, secrets, "blob_id", small_rows=found_rows).select("commit", "secret_id").distinct()
+    return skew_join(pairs, secrets, "blob_id", small_bytes=found_bytes).select("commit", "secret_id").distinct()
 
 
-def secret_spans(hits: DataFrame, found: DataFrame, found_rows: int | None = None) -> DataFrame:
+def secret_spans(hits: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
     """First position, last position and number of commits of every secret.
 
     ``hits`` are entries with findings that carry a position: ``(pos, file, blob_id)``.
     """
     pairs = hits.select("pos", "blob_id").distinct()
     secrets = found.select("blob_id", "secret_id").distinct()
-    present = skew_join(pairs, secrets, "blob_id", small_rows=found_rows).select("pos", "secret_id").distinct()
+    present = skew_join(pairs, secrets, "blob_id", small_bytes=found_bytes).select("pos", "secret_id").distinct()
     return present.groupBy("secret_id").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("exposure_commits"))
 
 
-def secret_lifecycle(spans: DataFrame, sequence: DataFrame, found: DataFrame) -> DataFrame:
+def secret_lifecycle(spans: DataFrame, sequence: DataFrame, found: DataFrame,
+                     sequence_bytes: int | None = None) -> DataFrame:
     """What happened to each secret, keyed by type and match, wherever it was found.
 
     It was introduced by its first commit and removed by the commit that follows its
@@ -132,7 +133,8 @@ def secret_lifecycle(spans: DataFrame, sequence: DataFrame, found: DataFrame) ->
     first = sequence.select(F.col("pos").alias("first_pos"), F.col("commit").alias("introduced_commit"))
     after = sequence.select((F.col("pos") - 1).alias("last_pos"), F.col("commit").alias("removed_commit"))
     # Very many secrets can share their first or last commit.
-    life = skew_join(skew_join(spans, first, "first_pos"), after, "last_pos", how="left", weights=spans)
+    begun = skew_join(spans, first, "first_pos", small_bytes=sequence_bytes)
+    life = skew_join(begun, after, "last_pos", how="left", weights=spans, small_bytes=sequence_bytes)
     active = F.col("removed_commit").isNull()
     return life.join(named, "secret_id").select(
         "secret_id", "type", "match", "introduced_commit", "removed_commit", "exposure_commits",
@@ -141,20 +143,21 @@ def secret_lifecycle(spans: DataFrame, sequence: DataFrame, found: DataFrame) ->
     )
 
 
-def first_sightings(hits: DataFrame, found: DataFrame, found_rows: int | None = None) -> DataFrame:
+def first_sightings(hits: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
     """Findings deduplicated over all commits; the earliest commit survives: ``(file, line, secret_id, pos)``."""
     earliest = hits.groupBy("file", "blob_id").agg(F.min("pos").alias("pos"))
     places = found.select("blob_id", "line", "secret_id").distinct()
     return (
-        skew_join(earliest, places, "blob_id", small_rows=found_rows)
+        skew_join(earliest, places, "blob_id", small_bytes=found_bytes)
         .groupBy("file", "line", "secret_id").agg(F.min("pos").alias("pos"))
     )
 
 
-def history_report(sightings: DataFrame, lifecycle: DataFrame, sequence: DataFrame) -> DataFrame:
+def history_report(sightings: DataFrame, lifecycle: DataFrame, sequence: DataFrame,
+                   sequence_bytes: int | None = None) -> DataFrame:
     """Deduplicated findings with the commit that first had them and their lifecycle."""
     where = sequence.select("pos", "commit", "message")
-    dated = skew_join(sightings, where, "pos")
+    dated = skew_join(sightings, where, "pos", small_bytes=sequence_bytes)
     full = skew_join(dated, lifecycle, "secret_id", weights=sightings)
     return full.select(
         "file", "line", "type", "match", "commit", "message", "introduced_commit", "removed_commit",

@@ -10,37 +10,51 @@ from keysweep.functions.paths import is_scanned, within_size_cap
 from keysweep.operators import history
 from keysweep.operators.detect import ALL, detect
 from keysweep.operators.findings import dedupe
-from keysweep.plans.store import has_splits, spread, stored
+from keysweep.plans.skew import skew_join
+from keysweep.plans.store import size_in_bytes, stored
 from keysweep.sources.directory import list_files, read_files
 from keysweep.sources.rules import Rule
 
 
-def detect_balanced(files: DataFrame, rules: list[Rule], *keys: str, which=ALL) -> DataFrame:
-    """``detect`` on all cores, even if the table is one file with one split."""
-    if has_splits(files):
-        return detect(files, rules, *keys, which=which)
+def detect_balanced(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, distinct: bool = False,
+                    partitions: int | None = None) -> DataFrame:
+    """``detect``, after the contents were moved to that many ``partitions`` if any are given.
+
+    A table in many splits needs none. A table in a few large files does: all work would
+    fall to the tasks that read them.
+    """
+    if partitions is None:
+        return detect(files, rules, *keys, which=which, distinct=distinct)
     # The optimizer would test the contents before it moves them, that is in the few tasks that read.
-    return detect(spread(files, keys[0]), rules, *keys, which=which, test_contents=False)
+    spread = files.repartition(partitions, keys[0])
+    return detect(spread, rules, *keys, which=which, distinct=distinct, test_contents=False)
 
 
-def scan_files(files: DataFrame, rules: list[Rule], which=ALL) -> DataFrame:
+def scan_files(files: DataFrame, rules: list[Rule], which=ALL, unique_paths: bool = False,
+               partitions: int | None = None) -> DataFrame:
     """Deduplicated findings ``(file, line, type, match)`` of a table ``(path, content)``.
 
-    Files are filtered by path before their content is looked at. The one shuffle, for
-    the deduplication, moves findings only.
+    Files are filtered by path before their content is looked at. Equal findings of one
+    row are dropped in place. If no path occurs twice, say so: nothing is shuffled then.
+    Otherwise one shuffle, of findings only, drops the others.
     """
     wanted = files.where(is_scanned(F.col("path"))).select(F.col("path").alias("file"), "content")
-    return dedupe(detect_balanced(wanted, rules, "file", which=which))
+    found = detect_balanced(wanted, rules, "file", which=which, distinct=True, partitions=partitions)
+    return found if unique_paths else dedupe(found)
 
 
 def scan_directory(spark: SparkSession, root: str, rules: list[Rule], which=ALL) -> DataFrame:
-    """Deduplicated findings of a directory tree on storage that all executors reach."""
+    """Deduplicated findings of a directory tree on storage that all executors reach.
+
+    Every line of a file is in exactly one piece, so equal findings come from one line only
+    and are dropped there, without a shuffle.
+    """
     pieces = read_files(list_files(spark, root)).withColumnRenamed("path", "file")
-    # What follows a line over the limit is not scanned, in later pieces of the file either.
-    found = detect(pieces, rules, "file", "first_line", "stop_line", which=which, test_contents=False)
+    found = detect(pieces, rules, "file", "first_line", "stop_line", which=which, distinct=True, test_contents=False)
     line = F.col("line") + F.col("first_line") - 1
+    # What follows a line over the limit is not scanned, in later pieces of the file either.
     found = found.where(F.col("stop_line").isNull() | (line < F.col("stop_line")))
-    return dedupe(found.select("file", line.alias("line"), "type", "match"))
+    return found.select("file", line.alias("line"), "type", "match")
 
 
 class HistoryScan:
@@ -53,55 +67,61 @@ class HistoryScan:
     """
 
     def __init__(self, blobs: DataFrame, entries: DataFrame, commits: DataFrame, rules: list[Rule],
-                 base: str | None = None, include_clean: bool = False):
+                 base: str | None = None, include_clean: bool = False, partitions: int | None = None):
         self.blobs, self.entries, self.commits = blobs, entries, commits
-        self.rules, self.base, self.include_clean = rules, base, include_clean
+        self.rules, self.base, self.include_clean, self.partitions = rules, base, include_clean, partitions
 
     @cached_property
     def found(self) -> DataFrame:
         """Findings of each distinct blob, whatever the number of commits that hold it."""
         small = self.blobs.where(within_size_cap(F.col("size")))
-        return stored(history.with_secret_id(detect_balanced(small, self.rules, "blob_id")))
+        return stored(history.with_secret_id(detect_balanced(small, self.rules, "blob_id", partitions=self.partitions)))
 
     @cached_property
-    def found_rows(self) -> int:
-        return self.found.count()
+    def found_bytes(self) -> int:
+        """Measured once; it bounds every selection of columns of the findings, too."""
+        return size_in_bytes(self.found)
 
     @cached_property
     def _raw_hits(self) -> DataFrame:
-        return stored(history.entries_with_findings(self.entries, self.found, self.base, self.found_rows))
+        return stored(history.entries_with_findings(self.entries, self.found, self.base, self.found_bytes))
 
     @cached_property
     def sequence(self) -> DataFrame:
         return stored(history.commit_sequence(self._raw_hits, self.commits, self.include_clean))
 
+    @cached_property
+    def sequence_bytes(self) -> int:
+        return size_in_bytes(self.sequence)
+
     @cached_property
     def hits(self) -> DataFrame:
         """Tree entries with findings, with the position of their commit instead of its hash."""
         order = self.sequence.select("commit", "pos")
-        return stored(history.skew_join(self._raw_hits, order, "commit").select("pos", "file", "blob_id"))
+        placed = skew_join(self._raw_hits, order, "commit", small_bytes=self.sequence_bytes)
+        return stored(placed.select("pos", "file", "blob_id"))
 
     def snapshot_findings(self) -> DataFrame:
-        return history.snapshot_findings(self.entries, self.found, self.base, self.found_rows)
+        return history.snapshot_findings(self.entries, self.found, self.base, self.found_bytes)
 
     def history_findings(self) -> DataFrame:
         return history.with_message(self.snapshot_findings(), self.commits, weights=self._raw_hits)
 
     def findings_by_commit(self) -> DataFrame:
-        return history.count_by_commit(self.entries, self.found, self.found_rows)
+        return history.count_by_commit(self.entries, self.found, self.found_bytes)
 
     def secrets_per_commit(self) -> DataFrame:
-        pairs = history.secrets_per_commit(self.entries, self.found, self.found_rows)
+        pairs = history.secrets_per_commit(self.entries, self.found, self.found_bytes)
         named = self.found.select("secret_id", "type", "match").dropDuplicates(["secret_id"])
-        return history.skew_join(pairs, named, "secret_id", small_rows=self.found_rows) \
+        return skew_join(pairs, named, "secret_id", small_bytes=self.found_bytes) \
             .select("commit", "type", "match")
 
     @cached_property
     def lifecycle(self) -> DataFrame:
-        spans = history.secret_spans(self.hits, self.found, self.found_rows)
-        return history.secret_lifecycle(stored(spans), self.sequence, self.found)
+        spans = history.secret_spans(self.hits, self.found, self.found_bytes)
+        return history.secret_lifecycle(stored(spans), self.sequence, self.found, self.sequence_bytes)
 
     def report(self) -> DataFrame:
         """Deduplicated findings over all commits with lifecycle columns; sort and redact them for output."""
-        sightings = stored(history.first_sightings(self.hits, self.found, self.found_rows))
-        return history.history_report(sightings, self.lifecycle, self.sequence)
+        sightings = stored(history.first_sightings(self.hits, self.found, self.found_bytes))
+        return history.history_report(sightings, self.lifecycle, self.sequence, self.sequence_bytes)

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 1024
 # Rows of a hot key go to this many places.
 SALTS = 256
-# A side of at most this many narrow rows is sent to all executors.
-BROADCAST_ROWS = 200_000
+# A side whose measured size is at most this is sent to all executors.
+BROADCAST_BYTES = 32 << 20
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-              weights: DataFrame | None = None, small_rows: int | None = None) -> DataFrame:
+              weights: DataFrame | None = None, small_bytes: int | None = None) -> DataFrame:
     """Join where ``key`` repeats in ``big`` without bound and little in ``small``.
 
-    If the number of rows of ``small`` is known and low, it is broadcast. Otherwise rows of
+    If the size of ``small`` was measured and is low, it is broadcast. Otherwise rows of
     hot keys are dealt out over salts, and only the hot rows of ``small`` are copied
     once per salt. ``weights`` stands in for ``big`` when the keys are counted.
     ``how`` may be ``inner``, ``left`` or ``left_semi``.
     """
-    if small_rows is not None and small_rows <= BROADCAST_ROWS:
+    if small_bytes is not None and small_bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, how)
     counts = (weights or big).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _scratch: dict[str, str] = {}
@@ -33,11 +34,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def has_splits(df: DataFrame) -> bool:
-    """Whether a table comes in at least as many partitions as there are cores."""
-    return df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Enough partitions for all cores. A table in many splits already has them and is not moved."""
-    return df if has_splits(df) else df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+def size_in_bytes(df: DataFrame) -> int:
+    """Upper bound for the data of a table: the bytes of its texts and 16 for every value."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    row = reduce(lambda a, b: a + b, texts, F.lit(16 * len(df.columns))).cast("long")
+    return df.agg(F.sum(row)).first()[0] or 0

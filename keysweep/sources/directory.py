@@ -23,6 +23,7 @@ from keysweep.plans.store import stored
 
 PIECE_BYTES = 64 << 20
 _BATCH_BYTES = 32 << 20
+_TASK_BYTES = 1 << 30
 _LISTED = "path string, size long, is_dir boolean"
 
 
@@ -172,25 +173,37 @@ def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
 
     Files of more than one piece are read once more beforehand to number their lines.
     """
-    spark = files.sparkSession
+    is_large = F.col("size") > piece_bytes
+    total, large_total = files.agg(
+        F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(is_large, F.col("size"))), F.lit(0))).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
     last = F.floor((F.col("size") - 1) / piece_bytes).cast("long")
     pieces = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    cores = spark.sparkContext.defaultParallelism
-    total = files.agg(F.sum("size")).first()[0] or 0
-    tasks = max(cores, total // (2 * PIECE_BYTES))
-    large = pieces.where(F.col("size") > piece_bytes)
-    counted = large.repartition(tasks, "path", "piece").mapInPandas(
-        _measured(piece_bytes), "path string, piece long, lines long, long long")
-    counted = stored(counted)
-    # One row per piece of a file is sorted here, not its lines.
-    before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("path", "piece", "long",
-                             (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1).alias("first_line"))
-    stop = F.min(F.col("first_line") + F.col("long") - 1).over(Window.partitionBy("path"))
-    offsets = offsets.select("path", "piece", "first_line", stop.alias("stop_line"))
-    numbered = pieces.join(offsets, ["path", "piece"], "left").select(
-        "path", "size", "piece", F.coalesce("first_line", F.lit(1)).cast("long").alias("first_line"), "stop_line")
-    read = numbered.repartition(tasks, "path", "piece").mapInPandas(
+    if large_total:
+        numbered = pieces.join(_offsets(pieces.where(is_large), _tasks(large_total, cores), piece_bytes),
+                               ["path", "piece"], "left")
+    else:
+        numbered = pieces.withColumns({"first_line": F.lit(None), "stop_line": F.lit(None)})
+    numbered = numbered.select("path", "size", "piece", F.coalesce("first_line", F.lit(1)).cast("long").alias("first_line"),
+                               F.col("stop_line").cast("long").alias("stop_line"))
+    read = numbered.repartition(_tasks(total, cores), "path", "piece").mapInPandas(
         _contents(piece_bytes), "path string, first_line long, stop_line long, bytes binary")
     return read.select("path", "first_line", "stop_line",
                        F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"))
+
+
+def _tasks(total: int, cores: int) -> int:
+    # A task streams its pieces, so its share may be large; this keeps the shuffle of the listing small.
+    return max(cores, total // _TASK_BYTES)
+
+
+def _offsets(pieces: DataFrame, tasks: int, piece_bytes: int) -> DataFrame:
+    """First line of every piece, and first line of its file that is not scanned."""
+    counted = stored(pieces.repartition(tasks, "path", "piece").mapInPandas(
+        _measured(piece_bytes), "path string, piece long, lines long, long long"))
+    # One row per piece of a file is sorted here, not its lines.
+    before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select("path", "piece", "long",
+                           (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1).alias("first_line"))
+    stop = F.min(F.col("first_line") + F.col("long") - 1).over(Window.partitionBy("path"))
+    return first.select("path", "piece", "first_line", stop.alias("stop_line"))

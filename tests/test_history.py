@@ -164,7 +164,7 @@ def test_no_broadcast_path_gives_the_same_history(spark, monkeypatch):
     tables = build(spark, trees, contents)
     plain = HistoryScan(*tables, load_rules(spark))
     expected = sorted(map(tuple, plain.report().collect()))
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
     salted = HistoryScan(*tables, load_rules(spark))
     assert sorted(map(tuple, salted.report().collect())) == expected
     assert sorted(map(tuple, salted.secrets_per_commit().collect())) == sorted(map(tuple, plain.secrets_per_commit().collect()))
