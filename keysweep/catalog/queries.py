@@ -8,8 +8,9 @@ from keysweep.catalog import corpus
 from keysweep.functions import entropy, keywords, paths, redact
 from keysweep.operators import findings as found_ops
 from keysweep.operators import history, report
+from keysweep.operators.detect import detect
 from keysweep.operators.lines import is_truncated, number_lines
-from keysweep.plans.scan import HistoryScan, detect_balanced, scan_files as scan
+from keysweep.plans.scan import HistoryScan, scan_files as scan
 from keysweep.plans.store import stored
 from keysweep.sources.rules import load_rules, rules_frame
 
@@ -31,7 +32,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detected(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
-    return detect_balanced(corpus.files(spark, sf_dir), load_rules(spark), "doc_id", which=which,
+    return detect(corpus.files(spark, sf_dir), load_rules(spark), "doc_id", which=which,
                            partitions=_partitions(spark, sf_dir))
 
 
@@ -113,7 +114,7 @@ def sig_match(spark, sf_dir):
 
 def sig_counts_by_rule(spark, sf_dir):
     rules = load_rules(spark)
-    found = detect_balanced(corpus.files(spark, sf_dir), rules, "doc_id", which=("signature",),
+    found = detect(corpus.files(spark, sf_dir), rules, "doc_id", which=("signature",),
                             partitions=_partitions(spark, sf_dir))
     return found_ops.count_by_rule(found, rules_frame(spark, rules))
 
@@ -158,7 +159,7 @@ def detect_all(spark, sf_dir):
 
 
 def dedupe_findings(spark, sf_dir):
-    bag = detect_balanced(corpus.files(spark, sf_dir).withColumnRenamed("path", "file"), load_rules(spark), "file",
+    bag = detect(corpus.files(spark, sf_dir).withColumnRenamed("path", "file"), load_rules(spark), "file",
                           partitions=_partitions(spark, sf_dir))
     return found_ops.dedupe(bag.unionByName(bag))
 

@@ -53,33 +53,35 @@ def hits_of(line: Column, rules: list[Rule], which=ALL) -> Column:
 
 
 @lru_cache(maxsize=64)
-def _expressions(app: str, rules: tuple[Rule, ...], which: tuple[str, ...]):
-    """Gate of a content, gate of a raw line, hits of a line.
+def _expressions(app: str, rules: tuple[Rule, ...], which: tuple[str, ...]) -> tuple[Column, Column]:
+    """Condition on a raw line, and hits of a line.
 
     They hold some hundred patterns and name no table, so one application builds them once.
     """
     unknown = open_rules(rules) if "signature" in which else []
     raw = F.col(RAW_LINE)
-    whole = F.lit(True) if unknown else passes_gates(F.col("content"), rules, which, whole=True)
     keep = reduce(lambda a, b: a | b, [raw.rlike(r.loose) for r in unknown], passes_gates(raw, rules, which))
-    return whole, keep, hits_of(F.col("text"), rules, which)
+    return keep, hits_of(F.col("text"), rules, which)
 
 
 def detect(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, distinct: bool = False,
-           test_contents: bool = True) -> DataFrame:
+           partitions: int | None = None) -> DataFrame:
     """All findings ``(*keys, line, type, match)`` of a table with a ``content`` column.
 
     A bag, in which a token that occurs twice on a line is reported twice; with ``distinct``
-    it is reported once. There is no shuffle and no Python worker. Contents that pass no
-    gate are never split, and only lines that pass one leave the stage that splits.
-    ``test_contents=False`` leaves out the first of these tests, for contents that are costly
-    to compute.
+    it is reported once. There is no shuffle and no Python worker, and only lines that pass
+    a gate leave the stage that splits the contents.
+
+    A table in a few large splits leaves all work to the tasks that read them: give the number of
+    ``partitions`` to move its contents to first. A table in many splits needs none.
     """
     app = files.sparkSession.sparkContext.applicationId
-    whole, keep, hits = _expressions(app, tuple(rules), tuple(which))
-    lines = number_lines(files.where(whole) if test_contents else files, *keys, keep=keep)
+    keep, hits = _expressions(app, tuple(rules), tuple(which))
+    if partitions:
+        files = files.repartition(partitions, keys[0])
     return (
-        lines.select(*keys, "line", (F.array_distinct(hits) if distinct else hits).alias("_hits"))
+        number_lines(files, *keys, keep=keep)
+        .select(*keys, "line", (F.array_distinct(hits) if distinct else hits).alias("_hits"))
         .select(*keys, "line", F.inline_outer("_hits"))
         .where(F.col("type").isNotNull())
     )

@@ -20,40 +20,44 @@ from keysweep.sources.rules import Rule
 _SPACE = r"[\t\n\f\r ]"
 _VALUE = "[" + TOKEN_ALPHABET.replace("-", r"\-") + ".@:]"
 
-# Twenty token characters in a row: the key itself, in most rules.
-_RUN = TOKEN_CLASS + "{20}"
+# So many token characters in a row: the key itself, in most rules.
+_RUN = TOKEN_CLASS + "{27}"
 # First letters of the words that name a setting: supabase, sasl, security, bootstrap.
-_CONTEXT = "[sSbB][uUaAeEoO][pPsScCoO][aAlLuUtT]"
-# Last letter of a keyword, a separator, a value.
-_ASSIGNED = "[yYdDnNtThHrRlLsS]" + _SPACE + "*[:=]" + _SPACE + "*[\"']?" + _VALUE + "{8}"
-_KEYWORD = "(?iu)(?:key|passwd|pwd|secret|token|_id|password|auth|authorization|bearer|credentials?)" \
-    + _SPACE + "*[:=]" + _SPACE + "*[\"']?" + "[A-Za-z0-9+/=_\\-.@:]{8}"
+_CONTEXT = "[sSbB][uUaAeEoO][pPsScCoO][aAlLuUtT][bB.rRsS][aAuUpPiItT]"
+# A separator behind the last letter of a keyword or a space, and a value.
+_ASSIGNED = rf"[:=](?<=[yYdDnNtThHrRlLsS\t\n\f\r ][:=]){_SPACE}*[\"']?{_VALUE}{{8}}"
+# The ends of all keywords, as _folded() writes them; the lookahead fails fast on most positions.
+_KEYWORD = ("(?=[kKpPsStT_aAbBcC\u017f\u212a][eEaAwWoOiIuUrR])"
+            "(?iu:key|passwd|pwd|secret|token|_id|password|auth|authorization|bearer|credentials?)"
+            rf"(?iu:{_SPACE}*[:=]{_SPACE}*[\"']?[A-Za-z0-9+/=_\-.@:]{{8}})")
 _TOKEN = TOKEN_CLASS + f"{{{MIN_TOKEN_LENGTH}}}"
 
 
 
+def _at_least(text: Column, size: int) -> Column:
+    """Spares short lines the pattern behind it."""
+    return F.octet_length(text) >= size
+
+
 def folds_to_ascii(text: Column) -> Column:
     """Long s and the Kelvin sign count as ``s`` and ``k`` in patterns that ignore case."""
     return text.contains("\u017f") | text.contains("\u212a")
 
 
-def keyword_gate(text: Column) -> Column:
-    return text.rlike(_ASSIGNED) | folds_to_ascii(text)
-
-
 def keyword_guard(line: Column) -> Column:
-    return keyword_gate(line) & line.rlike(_KEYWORD)
+    return _at_least(line, 12) & (line.rlike(_ASSIGNED) | folds_to_ascii(line)) & line.rlike(_KEYWORD)
 
 
-def token_guard(text: Column) -> Column:
-    return text.rlike(_TOKEN)
+def token_guard(line: Column) -> Column:
+    return _at_least(line, MIN_TOKEN_LENGTH) & line.rlike(_TOKEN)
 
 
-# What a rule's "gate" names. Each test holds for a whole content if it holds for one of its lines.
+# What a rule's "gate" names; the test takes a line and the stems of all rules with that gate.
 RULE_GATES = {
-    "run": lambda text: text.rlike(_RUN),
-    "url": lambda text: text.contains("://"),
-    "context": lambda text: text.rlike(_CONTEXT),
+    "run": lambda line, stems: _at_least(line, 27) & line.rlike(_RUN),
+    "url": lambda line, stems: line.contains("://"),
+    "context": lambda line, stems: _at_least(line, 6) & line.rlike(_CONTEXT),
+    "stem": lambda line, stems: _any(line.contains(s) for s in stems),
 }
 
 
@@ -66,19 +70,18 @@ def open_rules(rules: list[Rule]) -> list[Rule]:
     return [r for r in rules if r.gate not in RULE_GATES]
 
 
-def passes_gates(text: Column, rules: list[Rule], which, whole: bool = False) -> Column:
-    """Whether a line, or a ``whole`` content, may hold a finding of the chosen detectors.
-
-    Open rules are not looked at.
-    """
-    names = {r.gate for r in rules} if "signature" in which else set()
-    tests = [test(text) for name, test in RULE_GATES.items() if name in names]
-    if "signature" in which and any(r.folds_case for r in rules):
-        tests.append(folds_to_ascii(text))
-    if "entropy" in which and "run" not in names:  # a token is a run, too
-        tests.append(token_guard(text))
+def passes_gates(line: Column, rules: list[Rule], which) -> Column:
+    """Whether a line may hold a finding of the chosen detectors. Open rules are not looked at."""
+    stems = {gate: [s for r in rules if r.gate == gate for s in r.stems] for gate in {r.gate for r in rules}}
+    if "signature" not in which:
+        stems = {}
+    tests = [test(line, stems[gate]) for gate, test in RULE_GATES.items() if gate in stems]
+    if stems and any(r.folds_case for r in rules):
+        tests.append(folds_to_ascii(line))
+    if "entropy" in which and "run" not in stems:  # a token is a run, too
+        tests.append(token_guard(line))
     if "keyword" in which:
-        tests.append(keyword_gate(text) if whole else keyword_guard(text))
+        tests.append(keyword_guard(line))
     return _any(tests)
 
 

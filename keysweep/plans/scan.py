@@ -16,20 +16,6 @@ from keysweep.sources.directory import list_files, read_files
 from keysweep.sources.rules import Rule
 
 
-def detect_balanced(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, distinct: bool = False,
-                    partitions: int | None = None) -> DataFrame:
-    """``detect``, after the contents were moved to that many ``partitions`` if any are given.
-
-    A table in many splits needs none. A table in a few large files does: all work would
-    fall to the tasks that read them.
-    """
-    if partitions is None:
-        return detect(files, rules, *keys, which=which, distinct=distinct)
-    # The optimizer would test the contents before it moves them, that is in the few tasks that read.
-    spread = files.repartition(partitions, keys[0])
-    return detect(spread, rules, *keys, which=which, distinct=distinct, test_contents=False)
-
-
 def scan_files(files: DataFrame, rules: list[Rule], which=ALL, unique_paths: bool = False,
                partitions: int | None = None) -> DataFrame:
     """Deduplicated findings ``(file, line, type, match)`` of a table ``(path, content)``.
@@ -39,7 +25,7 @@ def scan_files(files: DataFrame, rules: list[Rule], which=ALL, unique_paths: boo
     Otherwise one shuffle, of findings only, drops the others.
     """
     wanted = files.where(is_scanned(F.col("path"))).select(F.col("path").alias("file"), "content")
-    found = detect_balanced(wanted, rules, "file", which=which, distinct=True, partitions=partitions)
+    found = detect(wanted, rules, "file", which=which, distinct=True, partitions=partitions)
     return found if unique_paths else dedupe(found)
 
 
@@ -50,7 +36,7 @@ def scan_directory(spark: SparkSession, root: str, rules: list[Rule], which=ALL)
     and are dropped there, without a shuffle.
     """
     pieces = read_files(list_files(spark, root)).withColumnRenamed("path", "file")
-    found = detect(pieces, rules, "file", "first_line", "stop_line", which=which, distinct=True, test_contents=False)
+    found = detect(pieces, rules, "file", "first_line", "stop_line", which=which, distinct=True)
     line = F.col("line") + F.col("first_line") - 1
     # What follows a line over the limit is not scanned, in later pieces of the file either.
     found = found.where(F.col("stop_line").isNull() | (line < F.col("stop_line")))
@@ -75,7 +61,7 @@ class HistoryScan:
     def found(self) -> DataFrame:
         """Findings of each distinct blob, whatever the number of commits that hold it."""
         small = self.blobs.where(within_size_cap(F.col("size")))
-        return stored(history.with_secret_id(detect_balanced(small, self.rules, "blob_id", partitions=self.partitions)))
+        return stored(history.with_secret_id(detect(small, self.rules, "blob_id", partitions=self.partitions)))
 
     @cached_property
     def found_bytes(self) -> int:
