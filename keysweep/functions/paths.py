@@ -51,7 +51,7 @@ def is_scanned(path: Column) -> Column:
 
 def relative_to(path: Column, root: str | None) -> Column:
     """Path below ``root``; a path outside of it stays whole."""
-    if not root:
+    if not root or root == ".":
         return path
     root = root.rstrip("/")
     below = F.substring(path, len(root) + 2, 1 << 30)
@@ -60,7 +60,7 @@ def relative_to(path: Column, root: str | None) -> Column:
 
 def under(base: str | None, name: Column) -> Column:
     """Full path of a commit-tree file below a base folder."""
-    return F.concat_ws("/", F.lit(base.rstrip("/")), name) if base else name
+    return F.concat(F.lit(base.rstrip("/") + "/"), name) if base and base != "." else name
 
 
 def short_commit(commit: Column) -> Column:

@@ -48,7 +48,7 @@ def _list_folder(folder: str) -> Iterator[tuple[str, int, bool]]:
             return
         with os.scandir(local) as found:
             for item in found:
-                path = os.path.join(folder, item.name)
+                path = item.name if folder == "." else os.path.join(folder, item.name)
                 # Links to folders are not followed.
                 if item.is_dir(follow_symlinks=False):
                     yield path, 0, True

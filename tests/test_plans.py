@@ -66,3 +66,17 @@ def test_skew_join_without_a_size_broadcasts_hot_keys_only(spark, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(re.findall(r"^\(\d+\) SortMergeJoin", plan, re.M)) == 1
     assert len(re.findall(r"^\(\d+\) BroadcastHashJoin", plan, re.M)) == 2
+
+
+def test_detection_runs_on_a_stream_of_files(spark, rules, sf_dir, tmp_path):
+    """Detection keeps no state, so a stream gives the findings of the batch."""
+    files = corpus.files(spark, sf_dir)
+    files.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    query = (
+        detect(stream, rules, "path").writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, detect(files, rules, "path").collect())) and got

@@ -135,11 +135,26 @@ def test_invalid_bytes_are_replaced(spark, rules, tmp_path):
     assert (row.line, row.type, row.match) == (2, "Keyword Secret", "abcd1234")
 
 
-def test_checkpoint_folder(spark):
-    assert store.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_checkpoint_folder(spark, monkeypatch, tmp_path):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = store.checkpoint_root(spark)
+    assert root == named.rstrip("/") if named else root == store.checkpoint_root(spark)
+    monkeypatch.setattr(store, "checkpoint_root", lambda session: str(tmp_path))
     kept = store.stored(spark.range(3).withColumnRenamed("id", "n"))
-    assert kept.inputFiles()[0].startswith("file://" + store.checkpoint_root(spark))
-    assert kept.count() == 3
+    assert kept.inputFiles()[0].startswith(f"file://{tmp_path}/") and kept.count() == 3
+
+
+def test_size_in_bytes_bounds_the_data(spark):
+    frame = spark.createDataFrame([("é" * 10, None, 1), (None, bytearray(7), 2)], "s string, b binary, n int")
+    assert store.size_in_bytes(frame) == 2 * 3 * 16 + 20 + 7
+    assert store.size_in_bytes(frame.limit(0)) == 0
+
+
+def test_relative_root(spark, rules, tree, monkeypatch):
+    """A tree named by a relative path has relative paths, without a leading dot."""
+    assert sorted(directory._list_folder(str(tree / "src")))[0][0] == f"{tree}/src/auth.c"
+    monkeypatch.chdir(tree / "src")
+    assert sorted(path for path, _, _ in directory._list_folder(".")) == ["auth.c", "aws.go", "client.py", "pay.ts"]
 
 
 FINDINGS = [
