@@ -10,7 +10,7 @@ from keysweep.functions.paths import is_scanned, within_size_cap
 from keysweep.operators import history
 from keysweep.operators.detect import ALL, detect
 from keysweep.operators.findings import dedupe
-from keysweep.plans.skew import skew_join
+from keysweep.plans.skew import BROADCAST_BYTES, skew_join
 from keysweep.plans.store import size_in_bytes, stored
 from keysweep.sources.directory import list_files, read_files
 from keysweep.sources.rules import Rule
@@ -98,6 +98,8 @@ class HistoryScan:
 
     def secrets_per_commit(self) -> DataFrame:
         pairs = history.secrets_per_commit(self.entries, self.found, self.found_bytes)
+        if self.found_bytes > BROADCAST_BYTES:
+            pairs = stored(pairs)  # the join below reads them twice
         named = self.found.select("secret_id", "type", "match").dropDuplicates(["secret_id"])
         return skew_join(pairs, named, "secret_id", small_bytes=self.found_bytes) \
             .select("commit", "type", "match")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from keysweep.plans.store import stored
 PIECE_BYTES = 64 << 20
 _BATCH_BYTES = 32 << 20
 _TASK_BYTES = 1 << 30
+_LISTED_ROWS = 10_000
 _LISTED = "path string, size long, is_dir boolean"
 
 
@@ -68,9 +70,9 @@ def _list_folder(folder: str) -> Iterator[tuple[str, int, bool]]:
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for folder in batch["path"]:
-            yield pd.DataFrame(list(_list_folder(folder)), columns=["path", "size", "is_dir"])
+    found = (item for batch in batches for folder in batch["path"] for item in _list_folder(folder))
+    while rows := list(islice(found, _LISTED_ROWS)):
+        yield pd.DataFrame(rows, columns=["path", "size", "is_dir"])
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
