@@ -33,7 +33,6 @@ _KEYWORD = ("(?=[kKpPsStT_aAbBcC\u017f\u212a][eEaAwWoOiIuUrR])"
 _TOKEN = TOKEN_CLASS + f"{{{MIN_TOKEN_LENGTH}}}"
 
 
-
 def _at_least(text: Column, size: int) -> Column:
     """Spares short lines the pattern behind it."""
     return F.octet_length(text) >= size
@@ -65,16 +64,21 @@ def _any(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def _gate(rule: Rule) -> str | None:
+    if rule.gate == "stem" and (rule.folds_case or not rule.stems):
+        return None  # only literals in one fixed case are looked for on every line
+    return rule.gate if rule.gate in RULE_GATES else None
+
+
 def open_rules(rules: list[Rule]) -> list[Rule]:
-    """Rules without a known gate; nothing is known about the lines they match."""
-    return [r for r in rules if r.gate not in RULE_GATES]
+    """Rules without a usable gate; nothing is known about the lines they match."""
+    return [r for r in rules if _gate(r) is None]
 
 
 def passes_gates(line: Column, rules: list[Rule], which) -> Column:
     """Whether a line may hold a finding of the chosen detectors. Open rules are not looked at."""
-    stems = {gate: [s for r in rules if r.gate == gate for s in r.stems] for gate in {r.gate for r in rules}}
-    if "signature" not in which:
-        stems = {}
+    gated = [(_gate(r), r) for r in rules] if "signature" in which else []
+    stems = {gate: [s for g, r in gated if g == gate for s in r.stems] for gate, _ in gated}
     tests = [test(line, stems[gate]) for gate, test in RULE_GATES.items() if gate in stems]
     if stems and any(r.folds_case for r in rules):
         tests.append(folds_to_ascii(line))
@@ -88,8 +92,10 @@ def passes_gates(line: Column, rules: list[Rule], which) -> Column:
 def _folded(literals) -> str:
     """One pattern for literals in any case; the lookahead on two letters fails fast on most positions."""
     literals = sorted(set(literals))
-    first, second = ("".join(sorted({v for s in literals for v in _variants(s[at])})) for at in (0, 1))
-    return f"(?=[{re.escape(first)}][{re.escape(second)}])(?iu:" + "|".join(map(re.escape, literals)) + ")"
+    width = min(2, min(map(len, literals)))
+    starts = ("".join(sorted({v for s in literals for v in _variants(s[at])})) for at in range(width))
+    ahead = "".join(f"[{re.escape(chars)}]" for chars in starts)
+    return f"(?={ahead})(?iu:" + "|".join(map(re.escape, literals)) + ")"
 
 
 def _variants(char: str) -> set[str]:

@@ -101,6 +101,23 @@ def test_user_rules(spark, tmp_path, caplog):
     assert counts == {"ticket": 1, "named": 1}
 
 
+def test_gates_of_user_rules(spark, tmp_path):
+    """Gates of one's own rules are used where they can hold, and left aside where they cannot."""
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps({"signatures": [
+        {"name": "folded", "pattern": r"(?i)\bacme-[0-9]+", "gate": "stem", "stems": ["acme-"]},
+        {"name": "bare", "pattern": r"zz[0-9]", "gate": "stem"},
+        {"name": "plain", "pattern": r"QQ-[0-9]", "gate": "stem", "stems": ["QQ-"]},
+        {"name": "unheard", "pattern": r"x\.y", "gate": "moon", "stems": ["x"]},
+        {"name": "short", "pattern": r"(?i)k[0-9]{3}://", "gate": "url", "stems": ["k"]},
+    ]}))
+    own = load_rules(spark, str(path))
+    text = "AcMe-7\nzz1\nQQ-1\nqq-1\nx.y\nK123://\nk123://"
+    found = detect(spark.createDataFrame([(1, text)], "doc_id int, content string"), own, "doc_id", which=("signature",))
+    assert {(r.line, r.type) for r in found.collect()} == {
+        (1, "folded"), (2, "bare"), (3, "plain"), (5, "unheard"), (6, "short"), (7, "short")}
+
+
 @pytest.mark.parametrize("pattern", [r"a**", r"(?<=a)b", r"(?<!a)b", r"(a)\1", r"a{2000}", r"[a", r"a++", r"\pL", "a\\"])
 def test_patterns_outside_the_dialect(pattern):
     with pytest.raises(UnsupportedPattern):
