@@ -22,6 +22,7 @@ _OUTSIDE = {
     "d": "[0-9]", "D": "[^0-9]",
 }
 _CONTROL = "afnrtv"
+_LEAD = re.compile(r"([A-Za-z0-9_-]+)\.\*(?![?+*{])")
 _REPEAT = re.compile(r"\{(\d+)(?:,(\d*))?\}")
 
 
@@ -30,12 +31,18 @@ class UnsupportedPattern(ValueError):
 
 
 def to_java(pattern: str, boundaries: bool = True) -> str:
-    """Java form of a rule pattern; without ``boundaries``, ``\\b`` holds anywhere."""
+    """Java form of a rule pattern, for one line of text; without ``boundaries``, ``\\b`` holds anywhere."""
     flags = re.match(r"\(\?([is]+)\)", pattern)
     fold = flags is not None and "i" in flags.group(1)
     dot = "(?s:.)" if flags is not None and "s" in flags.group(1) else r"[^\n]"
     out = ["(?iu)"] if fold else []
     at = flags.end() if flags else 0
+    lead = _LEAD.match(pattern, at)
+    if lead:
+        # "word.*rest" matches a line if the rest follows the first such word. Java would try every
+        # other one as well, each time up to the end of the line.
+        out.append(rf"\A(?>(?s:.*?){lead.group(1)})")
+        at = lead.end(1)
     repeated = False  # the previous piece was a repetition operator
     while at < len(pattern):
         char = pattern[at]

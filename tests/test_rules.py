@@ -135,3 +135,14 @@ def test_dialect_details(spark, pattern, line, hit):
     assert row.hit is hit
 
 
+
+
+def test_leading_word_is_looked_for_once(spark):
+    """A megabyte of starts of a ``word.*rest`` pattern is one pass, not one per start."""
+    rules = load_rules(spark)
+    start = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9."
+    lines = ["supabase " * 100_000 + start, "supabase " * 100_000 + f"x key = {start}a.b", f"a key={start}a.b supabase"]
+    frame = spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, content string")
+    found = detect(frame, rules, "doc_id", which=("signature",))
+    assert {(r.line, r.type) for r in found.select("line", "type").collect() if r.type == "Supabase JWT Key"} == {
+        (2, "Supabase JWT Key")}
