@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
 
 
@@ -16,8 +17,14 @@ def op4_exact_dedup(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_simhash_near_dedup(spark, sf_dir):
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 QUERIES = {q.__name__: q for q in (
-    op4_exact_dedup,
+    op4_exact_dedup, op7_simhash_near_dedup,
 )}
 
 SQL = {
