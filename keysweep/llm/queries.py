@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
+from keysweep.llm.sharding import shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,14 @@ def op7_simhash_near_dedup(spark, sf_dir):
                         F.col("component").alias("component_id"))
 
 
+def op9_sharding(spark, sf_dir):
+    placed = shards(_table(spark, sf_dir, "documents"), n_shards=40)
+    return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
+                         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
+
+
 QUERIES = {q.__name__: q for q in (
-    op4_exact_dedup, op7_simhash_near_dedup,
+    op4_exact_dedup, op7_simhash_near_dedup, op9_sharding,
 )}
 
 SQL = {
