@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``id, fp``: one row per row of ``docs``, the fingerprint as a signed 64-bit number. Only the two columns are read."""
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, words) for t in batch["t"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column("t")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return texts.mapInPandas(of, f"id {kind}, fp bigint")
+    return texts.mapInArrow(of, f"id {kind}, fp bigint")
 
 
 def masks(radius: int = RADIUS) -> list[int]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
+from keysweep.llm.packing import pack
 from keysweep.llm.sharding import shards
 
 
@@ -18,6 +20,12 @@ def op4_exact_dedup(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_packing(spark, sf_dir):
+    pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "context", "step_group")
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -31,7 +39,7 @@ def op9_sharding(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op4_exact_dedup, op7_simhash_near_dedup, op9_sharding,
+    op4_exact_dedup, op6_packing, op7_simhash_near_dedup, op9_sharding,
 )}
 
 SQL = {
