@@ -9,6 +9,7 @@ from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
 from keysweep.llm.packing import pack
 from keysweep.llm.sharding import shards
+from keysweep.llm.toxicity import fit, sample, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op4_exact_dedup(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(sample(_table(spark, sf_dir, "labels"), docs))
+    return score(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op6_packing(spark, sf_dir):
     pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -39,7 +46,7 @@ def op9_sharding(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op4_exact_dedup, op6_packing, op7_simhash_near_dedup, op9_sharding,
+    op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op9_sharding,
 )}
 
 SQL = {
