@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
+from keysweep.llm.licenses import known_digests, licenses, licenses_sql
 from keysweep.llm.packing import pack
+from keysweep.llm.pseudonyms import pseudonymise
 from keysweep.llm.sharding import shards
 from keysweep.llm.toxicity import fit, sample, score
 
@@ -16,6 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Key of the registered query alone; real keys are secrets of their users.
+DEMO_KEY = "registered query"
+
+
+def op1_license_scan(spark, sf_dir):
+    found = licenses(_table(spark, sf_dir, "documents"), known_digests(spark))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op3_pii_pseudonyms(spark, sf_dir):
+    return pseudonymise(_table(spark, sf_dir, "documents"), DEMO_KEY).withColumnRenamed("id", "doc_id")
+
+
 def op4_exact_dedup(spark, sf_dir):
     groups = exact_groups(_table(spark, sf_dir, "documents"), digest_all=True)
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -46,10 +61,11 @@ def op9_sharding(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op9_sharding,
+    op1_license_scan, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op9_sharding,
 )}
 
 SQL = {
+    "op1_license_scan": licenses_sql(),
     "op4_exact_dedup": r"""
 WITH normal AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
