@@ -11,6 +11,7 @@ from keysweep.llm.licenses import known_digests, licenses, licenses_sql
 from keysweep.llm.packing import pack
 from keysweep.llm.pseudonyms import pseudonymise
 from keysweep.llm.sharding import shards
+from keysweep.llm.tiling import decontaminate
 from keysweep.llm.toxicity import fit, sample, score
 
 
@@ -60,8 +61,14 @@ def op9_sharding(spark, sf_dir):
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
 
 
+def op10_benchmark_decontamination(spark, sf_dir):
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 QUERIES = {q.__name__: q for q in (
     op1_license_scan, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op9_sharding,
+    op10_benchmark_decontamination,
 )}
 
 SQL = {
