@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from keysweep.llm.common import semi_join
 from keysweep.llm.components import smallest_reachable
 from keysweep.plans.store import stored
 
@@ -117,3 +118,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = smallest_reachable(nodes, edges)
     # Both sides are stored tables, so a fingerprint of many documents is split at run time.
     return rows.join(found, "fp").select("id", "fp", "component")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+                            words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+
+    An id is one document: all its rows stay, or go if any of them is in a component with a smaller id. Rows with a null
+    id stay. Only ids of dropped rows are joined back, never texts shuffled for it unless those ids outgrow a broadcast.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius, words)
+    lost = stored(found.where("id > component").select(F.col("id").alias(id_col)).distinct())
+    return semi_join(docs, lost, [id_col], "left_anti").select(*(f"`{c}`" for c in docs.columns))

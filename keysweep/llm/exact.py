@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keysweep.llm.common import semi_join
-from keysweep.plans.store import stored
+from keysweep.llm.common import SMALL_BYTES, semi_join
+from keysweep.plans.store import size_in_bytes, stored
 
 HEAD_CHARS = 64
 _SPACES = "[\\x20\\x09-\\x0D]+"
@@ -64,3 +64,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (leads & (F.col("copy") == 1)).alias("kept"), "digest")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = HEAD_CHARS) -> DataFrame:
+    """The rows of ``docs`` that stay after ``exact_groups``, with all their columns.
+
+    Of rows that repeat id and text, one stays (any: they may differ in other columns only). Only ids and digests
+    of dropped rows are joined back; texts are not shuffled but for repeats of a row that stays.
+    """
+    lost = stored(exact_groups(docs, id_col, text_col, head_chars).where("NOT kept")
+                  .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("id").eqNullSafe(F.col("keep_id")).alias("_again"))
+                  .distinct())
+    if lost.isEmpty():
+        return docs
+    rows = docs.withColumn("_full", F.sha2(normalised(F.col(text_col)), 256))
+    if size_in_bytes(lost) <= SMALL_BYTES:
+        lost = F.broadcast(lost)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_full") == F.col("_digest"))
+    back = [F.col(f"`{c}`") for c in docs.columns]
+    stay = rows.join(lost.select("_id", "_digest").distinct(), same, "left_anti").select(*back)
+    again = rows.join(lost.where("_again").select("_id", "_digest"), same, "left_semi").dropDuplicates([id_col, "_full"]).select(*back)
+    return stay.unionByName(again)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
 from keysweep.llm.licenses import known_digests, licenses, licenses_sql
@@ -66,9 +67,13 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_license_scan, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op9_sharding,
-    op10_benchmark_decontamination,
+    op10_benchmark_decontamination, pipeline,
 )}
 
 SQL = {
