@@ -11,7 +11,9 @@ from keysweep.llm.exact import exact_groups
 from keysweep.llm.licenses import known_digests, licenses, licenses_sql
 from keysweep.llm.packing import pack
 from keysweep.llm.pseudonyms import pseudonymise
+from keysweep.llm.recompression import without_repeats
 from keysweep.llm.sharding import shards
+from keysweep.llm.suffixes import without_earlier
 from keysweep.llm.tiling import decontaminate
 from keysweep.llm.toxicity import fit, sample, score
 
@@ -29,6 +31,11 @@ def op1_license_scan(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op2_recompression_dedup(spark, sf_dir):
+    done = without_repeats(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
+
+
 def op3_pii_pseudonyms(spark, sf_dir):
     return pseudonymise(_table(spark, sf_dir, "documents"), DEMO_KEY).withColumnRenamed("id", "doc_id")
 
@@ -56,6 +63,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
                         F.col("component").alias("component_id"))
 
 
+def op8_suffix_array_dedup(spark, sf_dir):
+    done = without_earlier(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("digest").alias("kept_sha256"))
+
+
 def op9_sharding(spark, sf_dir):
     placed = shards(_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"),
@@ -72,7 +84,7 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_license_scan, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op9_sharding,
+    op1_license_scan, op2_recompression_dedup, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_sharding,
     op10_benchmark_decontamination, pipeline,
 )}
 
