@@ -16,3 +16,17 @@ def semi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     if size_in_bytes(right) <= small_bytes:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+class Codes(dict):
+    """Numbers of words, each computed once per worker; emptied when ``limit`` words are held, so memory stays bounded."""
+
+    def __init__(self, code, limit: int = 1 << 19):
+        super().__init__()
+        self.code, self.limit = code, limit
+
+    def __missing__(self, word):
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[word] = self.code(word)
+        return out

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from keysweep.llm.common import Codes
 from keysweep.llm.windows import BASES, candidate_windows, covered, distinct_texts, mixed, names_of, text_key, window_hashes
 from keysweep.plans.store import stored
 
@@ -29,9 +30,11 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+_codes = Codes(xxhash.xxh64_intdigest)
+
+
 def codes(parts: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(p) for p in parts), np.uint64, len(parts))
+    return np.fromiter(map(_codes.__getitem__, parts), np.uint64, len(parts))
 
 
 def rounds_for(size: int) -> int:

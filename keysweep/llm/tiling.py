@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keysweep.llm.common import semi_join
+from keysweep.llm.common import Codes, semi_join
 from keysweep.plans.store import stored
 
 #: Words of the shortest run that is marked.
@@ -32,9 +32,12 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+_codes = Codes(lambda word: crc32(word.encode("utf-8", "surrogatepass")) + (len(word) << 32))
+
+
 def codes(parts: list[str]) -> np.ndarray:
     """A number for each word, the same everywhere."""
-    return np.fromiter((crc32(p.encode("utf-8", "surrogatepass")) + (len(p) << 32) for p in parts), np.uint64, len(parts))
+    return np.fromiter(map(_codes.__getitem__, parts), np.uint64, len(parts))
 
 
 def run_hashes(x: np.ndarray, size: int) -> np.ndarray:
@@ -88,7 +91,7 @@ def tiles(item: list[str], doc: list[str], size: int = RUN_WORDS) -> list[tuple[
 
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seeds = [np.unique(run_hashes(codes(words(t.as_py())), size)) for t in batch.column("t")]
+        seeds = [run_hashes(codes(words(t.as_py())), size) for t in batch.column("t")]
         at = np.concatenate(([0], np.cumsum([len(s) for s in seeds]))).astype(np.int32)
         values = np.concatenate([*seeds, np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["key", "seeds"])
