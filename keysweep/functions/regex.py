@@ -139,6 +139,8 @@ def _char_class(pattern: str, at: int, fold: bool = False) -> tuple[str, int]:
             if posix.group(1) not in _POSIX:
                 raise UnsupportedPattern(f"class {posix.group()} in {pattern!r}")
             piece, width = _POSIX[posix.group(1)], len(posix.group())
+        elif pattern.startswith("[:", end):
+            raise UnsupportedPattern(f"class at {pattern[end:]!r} in {pattern!r}")
         elif char == "\\":
             piece, width = _escape(pattern, end, _CLASS_INSIDE)
         elif char in "[]&^":

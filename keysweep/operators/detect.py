@@ -12,7 +12,7 @@ from keysweep.functions.keywords import keyword_values
 from keysweep.operators.guards import (
     keyword_guard, open_rules, passes_gates, rule_guard, signature_guard, token_guard,
 )
-from keysweep.operators.lines import RAW_LINE, number_lines
+from keysweep.operators.lines import RAW_LINE, number_lines, strip_cr
 from keysweep.sources.rules import Rule
 
 ALL = ("signature", "keyword", "entropy")
@@ -60,7 +60,7 @@ def _expressions(app: str, rules: tuple[Rule, ...], which: tuple[str, ...]) -> t
     """
     unknown = open_rules(rules) if "signature" in which else []
     raw = F.col(RAW_LINE)
-    keep = reduce(lambda a, b: a | b, [raw.rlike(r.loose) for r in unknown], passes_gates(raw, rules, which))
+    keep = reduce(lambda a, b: a | b, [strip_cr(raw).rlike(r.loose) for r in unknown], passes_gates(raw, rules, which))
     return keep, hits_of(F.col("text"), rules, which)
 
 

@@ -89,16 +89,20 @@ def test_user_rules(spark, tmp_path, caplog):
         {"name": "broken", "pattern": r"a(b"},
         {"name": "look", "pattern": r"(?=x)y"},
         {"name": "named", "pattern": r"(?P<id>id\.[[:digit:]]+)\b"},
+        {"name": "ending", "pattern": r"acme_[0-9]{6}$"},
+        {"name": "not posix", "pattern": r"[[:^alpha:]]"},
     ]}))
     with caplog.at_level(logging.WARNING):
         own = load_rules(spark, str(path))
-    assert [(r.rule_id, r.name) for r in own] == [(1, "ticket"), (4, "named")]
-    assert "broken" in caplog.text and "look" in caplog.text
+    assert [(r.rule_id, r.name) for r in own] == [(1, "ticket"), (4, "named"), (5, "ending")]
+    assert all(name in caplog.text for name in ("broken", "look", "not posix"))
     frame = spark.createDataFrame([(1, "x\nT-123\nT-1234\n\tid.77 here")], "doc_id int, content string")
     found = detect(frame, own, "doc_id", which=("signature",))
     assert {(r.line, r.type) for r in found.collect()} == {(2, "ticket"), (4, "named")}
     counts = {r.name: r.n_findings for r in count_by_rule(found, rules_frame(spark, own)).collect()}
-    assert counts == {"ticket": 1, "named": 1}
+    assert counts == {"ticket": 1, "named": 1, "ending": 0}
+    lines = spark.createDataFrame([(1, "x acme_123456\r\nx acme_123456\nx acme_123456 \r\n")], "doc_id int, content string")
+    assert {r.line for r in detect(lines, own, "doc_id", which=("signature",)).collect()} == {1, 2}
 
 
 def test_gates_of_user_rules(spark, tmp_path):
