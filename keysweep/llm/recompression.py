@@ -2,9 +2,9 @@
 
 Rounds name pairs of neighbours: first runs of two equal words, then pairs whose first symbol is in the left and whose second is in
 the right half of the names. Names are hashes of their parts, so they are the same in all texts without a
-shared table. A pair is decided by its neighbours alone; each symbol is thus fixed by at most ``2 ** (ROUNDS + 1)`` words on either
-side, and equal passages have equal symbols inside. A window is named after the passage from the start of its middle symbol
-on; windows whose name occurs again are verified by hashes of all their words.
+shared table. A pair is decided by its neighbours alone; where a symbol begins is thus fixed by ``2 ** rounds`` words on either
+side, and equal passages have equal symbols inside. A window is named after the least of its inner symbols; stretches of windows
+with one symbol are compared as a whole by two hashes of all their words, and single windows where such stretches differ.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from keysweep.llm.common import Codes
-from keysweep.llm.windows import BASES, candidate_windows, covered, distinct_texts, mixed, names_of, text_key, window_hashes
+from keysweep.llm.common import Codes, semi_join
+from keysweep.llm.windows import NONE, Kernel, covered, distinct_texts, least_at, listed, mixed, names_of, parts_of, place_arrays, \
+    stretches, text_key, window_hashes, windows_in, with_others
 from keysweep.plans.store import stored
 
 WINDOW_WORDS = 35
+#: Windows of one part of a stretch.
+BLOCK = 4
 _HALVES = (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)
 
 
@@ -38,17 +41,17 @@ def codes(parts: list[bytes]) -> np.ndarray:
 
 
 def rounds_for(size: int) -> int:
-    """Rounds after which a symbol is fixed by fewer than half a window on either side."""
+    """Rounds after which each window still holds a symbol that its words alone decide."""
     n = 0
-    while 2 ** (n + 2) <= (size - 1) // 2:
+    while 3 * 2 ** (n + 1) <= size:
         n += 1
     return n
 
 
 def symbol_starts(x: np.ndarray, rounds: int) -> np.ndarray:
-    """Places where the symbols of the last round begin."""
+    """Places where the symbols of the last round begin; each has at most ``2 ** rounds`` words."""
     sym, start = x, np.arange(len(x))
-    for r in range(rounds + 1):
+    for r in range(rounds):
         if len(sym) < 2:
             break
         if r == 0:
@@ -66,20 +69,37 @@ def symbol_starts(x: np.ndarray, rounds: int) -> np.ndarray:
     return start
 
 
-def kernel(size: int):
-    """See ``windows.Kernel``."""
-    half, rounds = (size - 1) // 2, rounds_for(size)
+def kernel(size: int) -> Kernel:
+    """Names of words, and windows named after the least passage that begins with a symbol inside."""
+    rounds = rounds_for(size)
+    reach = 2 ** rounds if rounds else 0
 
-    def of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = codes(words(text))
-        n = len(x) - size + 1
-        if n <= 0:
-            return (np.zeros(0, np.uint64),) * 3
+    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [words(t) for t in texts]
+        return codes([w for p in parts for w in p]), np.array([len(p) for p in parts], np.int64)
+
+    def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(x) < size:
+            return NONE
+        # The passage from the start of a symbol on, as far as any window reaches that the symbol is inside of.
+        passages = window_hashes(x, reach + 1)
+        ranks = np.full(len(passages), np.iinfo(np.uint64).max, np.uint64)
         start = symbol_starts(x, rounds)
-        at = start[np.searchsorted(start, np.arange(n) + half, side="right") - 1]
-        return window_hashes(x, size - half)[at], window_hashes(x, size), window_hashes(x, size, BASES[1])
+        start = start[start < len(passages)]
+        ranks[start] = passages[start]
+        at = reach + least_at(ranks[reach:], size - 2 * reach)
+        return ranks[at], at
+
+    return Kernel(size, code, anchors)
+
 
-    return of
+def _repeated(found: DataFrame, weight) -> tuple[DataFrame, DataFrame]:
+    """``doc, pos, len`` of the stretches whose whole content occurs again; and one place of each content whose name others have."""
+    kinds = stored(found.groupBy("name", "h1", "h2").agg(F.sum(weight).alias("n"), F.min("doc").alias("doc"),
+                                                         F.min_by("pos", "doc").alias("pos"), F.first("len").alias("len")))
+    whole = found.join(kinds.where("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc", "pos", "len")
+    differ = stored(kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"))
+    return whole, semi_join(kinds, differ, ["name"]).select("doc", "pos", "len")
 
 
 def without_repeats(docs: DataFrame, size: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,19 +114,25 @@ def without_repeats(docs: DataFrame, size: int = WINDOW_WORDS, id_col: str = "do
     """
     texts = distinct_texts(docs, id_col, text_col)
     of = kernel(size)
-    named = stored(names_of(texts, of, within=True))
-    again = stored(named.groupBy("name").agg(F.sum(F.col("copies") * F.col("times")).alias("n")).where("n > 1").select("name"))
-    windows = candidate_windows(texts, named, again, of)
-    twice = stored(windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2"))
-    hits = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_list("pos").alias("starts"))
+    named = stored(names_of(texts, of))
+    again = stored(named.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"))
+    found = stored(stretches(texts, named, again, of, "copies"))
+    hits, places = _repeated(found, "copies")
+    # Where stretches of one name differ, first parts of them, then single windows decide.
+    finer = of.finer(min(BLOCK, size))
+    more, places = _repeated(with_others(stored(parts_of(texts, places, finer, "copies"))), F.lit(1))
+    windows = stored(windows_in(texts, places, of, "copies"))
+    twice = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    single = windows.join(twice, ["h1", "h2"], "left_semi").select("doc", "pos", F.lit(1).alias("len"))
+    hits = listed(hits.unionByName(more).unionByName(single))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, gone, digest = [], [], [], []
-            for t, at in zip(batch.column("t"), batch.column("starts")):
+            for t, places in zip(batch.column("t"), batch.column("places")):
                 parts = words(t.as_py())
-                starts = at.values.to_numpy() if at.is_valid else np.zeros(0, np.int32)
-                out = covered(len(parts), starts, size)
+                pos, length = place_arrays(places)
+                out = covered(len(parts), pos, pos + length - 1 + size)
                 rest = b" ".join(p for p, o in zip(parts, out.tolist()) if not o)
                 kept.append(rest.decode("utf-8", "surrogatepass"))
                 total.append(len(parts))
@@ -116,7 +142,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW_WORDS, id_col: str = "do
                                               pa.array(gone, pa.int64()), pa.array(digest, pa.string())],
                                              names=["key", "text", "n_words", "n_removed", "digest"])
 
-    done = stored(texts.select("key", "t").join(hits, "key", "left").select("key", "t", "starts")
+    done = stored(texts.select("doc", "key", "t").join(hits, "doc", "left").select("key", "t", "places")
                   .mapInArrow(cleaned, "key binary, text string, n_words long, n_removed long, digest string"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text_key(text).alias("key")).join(done, "key") \

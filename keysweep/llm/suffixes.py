@@ -4,7 +4,8 @@ Documents come in batches of rising ids. The suffixes of a batch, cut to the mat
 the smallest document of each; it is merge-scanned with itself and with all levels of earlier batches. Then it joins the family: levels
 of equal size merge, so there are only logarithmically many. Suffixes are sorted by two hashes of their first bytes,
 as only their equality over the match length counts. Suffixes whose smallest inner hash (a name that equal strings
-share) is in one document alone are left out beforehand.
+share) is in one document alone are left out beforehand. Neighbours that share that hash at one place go through the family as one entry
+of all their bytes first; one by one only if no earlier document has them all and other bytes stand around the same name.
 """
 
 from __future__ import annotations
@@ -16,45 +17,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keysweep.llm.windows import BASES, candidate_windows, covered, distinct_texts, mixed, names_of, text_key, window_hashes
+from keysweep.llm.common import semi_join
+from keysweep.llm.windows import BASES, NONE, Kernel, covered, distinct_texts, least_at, listed, mixed, names_of, parts_of, place_arrays, \
+    stretches, text_key, window_hashes, windows_in, with_others
 from keysweep.plans.store import stored
 
 MATCH_BYTES = 50
 BATCHES = 4
+#: Suffixes of one part of a stretch.
+BLOCK = 8
 #: A number for each byte value.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
 
 
-def least_inside(x: np.ndarray, width: int) -> np.ndarray:
-    """The minimum over each ``width`` numbers in a row, by doubling."""
-    have = 1
-    while 2 * have <= width:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return np.minimum(x[:len(x) - (width - have)], x[width - have:]) if width > have else x
+def kernel(size: int) -> Kernel:
+    """A window is named after the least hash of a third of its length inside it."""
+    inner = max(1, size // 3)
 
+    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        return _BYTES[np.frombuffer(b"".join(data), np.uint8)], np.array([len(d) for d in data], np.int64)
 
-def kernel(size: int):
-    """See ``windows.Kernel``: a window is named after the smallest hash of half its length inside it."""
-    inner = max(1, size // 2)
-
-    def of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = _BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(x) < size:
-            return (np.zeros(0, np.uint64),) * 3
-        return (least_inside(window_hashes(x, inner), size - inner + 1), window_hashes(x, size), window_hashes(x, size, BASES[1]))
+            return NONE
+        ranks = window_hashes(x, inner)
+        at = least_at(ranks, size - inner + 1)
+        return ranks[at], at
 
-    return of
+    return Kernel(size, code, anchors)
 
 
-def matches(windows: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``key, pos`` of the ``windows`` (``key, id, pos, h1, h2``) that also start in a document with a smaller ``id``."""
-    cuts = windows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+def matches(suffixes: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The stored ``suffixes`` (``id, h1, h2``, any others) with ``earlier``: whether a document with a smaller ``id`` has them too."""
+    cuts = suffixes.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     levels: list[tuple[int, DataFrame]] = []  # (size class, array)
     found = []
     for low, high in zip(edges, edges[1:]):
-        batch = windows
+        batch = suffixes
         batch = batch if low is None else batch.where(F.col("id") > low)
         batch = batch if high is None else batch.where(F.col("id") <= high)
         array = stored(_array(batch))
@@ -62,9 +63,11 @@ def matches(windows: DataFrame, batches: int = BATCHES) -> DataFrame:
         known = array
         for _, level in levels:
             known = known.unionByName(level.join(array.select("h1", "h2"), ["h1", "h2"], "left_semi"))
-        known = stored(known.groupBy("h1", "h2").agg(F.min("first").alias("first")))
-        found.append(stored(batch.join(known, ["h1", "h2"]).where("first < id").select("key", "pos")))
+        known = known.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+        found.append(stored(batch.join(known, ["h1", "h2"]).withColumn("earlier", F.col("first") < F.col("id")).drop("first")))
         levels.append((0, array))
+        if high is None:
+            break
         while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
             (rank, one), (_, two) = levels.pop(), levels.pop()
             levels.append((rank + 1, stored(_array(one.unionByName(two).withColumnRenamed("first", "id")))))
@@ -79,6 +82,13 @@ def _array(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("h1", "h2").agg(F.min("id").alias("first")).sortWithinPartitions("h1", "h2")
 
 
+def _open(found: DataFrame) -> DataFrame:
+    """``doc, pos, len`` of the entries that no earlier document has as a whole, but whose name has other bytes around it elsewhere."""
+    ends = found.groupBy("name").agg(*(f(h).alias(f"{f.__name__}_{h}") for f in (F.min, F.max) for h in ("h1", "h2")))
+    differ = stored(ends.where("min_h1 < max_h1 OR min_h2 < max_h2").select("name"))
+    return semi_join(found.where("NOT earlier"), differ, ["name"]).select("doc", "pos", "len")
+
+
 def without_earlier(docs: DataFrame, size: int = MATCH_BYTES, id_col: str = "doc_id", text_col: str = "text",
                     batches: int = BATCHES) -> DataFrame:
     """One row per row of ``docs``: ``id, n_bytes, n_removed, n_spans, digest, spans``, for whole-number ids.
@@ -92,18 +102,25 @@ def without_earlier(docs: DataFrame, size: int = MATCH_BYTES, id_col: str = "doc
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("n"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     texts = distinct_texts(docs, "n", "t")
     of = kernel(size)
-    named = stored(names_of(texts, of, within=False))
-    again = stored(named.groupBy("name").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("name"))
-    windows = candidate_windows(texts, named, again, of).withColumnRenamed("least", "id")
-    hits = matches(windows, batches).groupBy("key").agg(F.collect_list("pos").alias("starts"))
+    named = stored(names_of(texts, of))
+    again = stored(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
+    found = matches(stored(stretches(texts, named, again, of, "least").withColumnRenamed("least", "id")), batches)
+    # Where stretches of one name differ, first parts of them, then single windows decide.
+    finer = of.finer(min(BLOCK, size))
+    parts = with_others(stored(parts_of(texts, _open(found), finer, "least").withColumnRenamed("least", "id")))
+    parts = matches(parts, batches)
+    single = matches(stored(windows_in(texts, _open(parts), of, "least").withColumnRenamed("least", "id")), batches)
+    earlier = [f.where("earlier").select("doc", "pos", "len") for f in (found, parts, single.withColumn("len", F.lit(1)))]
+    hits = listed(earlier[0].unionByName(earlier[1]).unionByName(earlier[2]))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             total, gone, digest, all_spans = [], [], [], []
-            for t, at in zip(batch.column("t"), batch.column("starts")):
+            for t, places in zip(batch.column("t"), batch.column("places")):
                 data = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                out = covered(len(data), at.values.to_numpy() if at.is_valid else np.zeros(0, np.int32), size)
+                pos, length = place_arrays(places)
+                out = covered(len(data), pos, pos + length - 1 + size)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0])))).tolist()
                 total.append(len(data))
                 gone.append(int(out.sum()))
@@ -113,7 +130,7 @@ def without_earlier(docs: DataFrame, size: int = MATCH_BYTES, id_col: str = "doc
                                               pa.array(digest, pa.string()), pa.array(all_spans, kind)],
                                              names=["key", "least", "n_bytes", "n_removed", "digest", "spans"])
 
-    done = stored(texts.select("key", "t", "least").join(hits, "key", "left").select("key", "least", "t", "starts").mapInArrow(
+    done = stored(texts.select("doc", "key", "t", "least").join(hits, "doc", "left").select("key", "least", "t", "places").mapInArrow(
         cleaned, "key binary, least long, n_bytes long, n_removed long, digest string, spans array<struct<start:long,end:long>>"))
     rows = docs.select("n", "id", text_key(F.coalesce(F.col("t").cast("string"), F.lit(""))).alias("key")).join(done, "key")
     whole = (F.col("n") > F.col("least")) & (F.col("n_bytes") >= size)

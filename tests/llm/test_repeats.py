@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 
 from keysweep.llm.recompression import kernel, without_repeats, words
-from keysweep.llm.suffixes import least_inside, without_earlier
+from keysweep.llm.suffixes import without_earlier
+from keysweep.llm.windows import least_at
 
 
 def some_texts(seed, n=40):
@@ -70,21 +71,23 @@ def test_bytes(make_docs, seed):
 def test_equal_windows_have_equal_names():
     rng = random.Random(5)
     of = kernel(35)
+    fine = of.finer(4)
     for k in (1, 2, 3, 30):
         passage = [f"w{rng.randrange(k)}" for _ in range(60)]
         names = []
         for _ in range(20):
             around = [[f"w{rng.randrange(k)}" for _ in range(rng.randrange(40))] for _ in range(2)]
-            name = of(" ".join(around[0] + passage + around[1]))[0]
-            names.append(name[len(around[0]):len(around[0]) + 26].tolist())
+            x = of.code([" ".join(around[0] + passage + around[1])])[0]
+            names.append([k.anchors(x)[0][len(around[0]):len(around[0]) + 26].tolist() for k in (of, fine)])
         assert all(n == names[0] for n in names)
 
 
-def test_least_inside():
+def test_least_at():
     import numpy as np
     x = np.array([5, 3, 9, 1, 7, 2, 8], np.uint64)
     for width in range(1, 8):
-        assert least_inside(x, width).tolist() == [min(x.tolist()[i:i + width]) for i in range(8 - width)]
+        assert x[least_at(x, width)].tolist() == [min(x.tolist()[i:i + width]) for i in range(8 - width)]
+    assert least_at(np.array([4, 1, 1, 1], np.uint64), 3).tolist() == [1, 1]
 
 
 def test_empty_and_long(make_docs):
