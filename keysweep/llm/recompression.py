@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from keysweep.llm.common import Codes, semi_join
 from keysweep.llm.windows import NONE, Kernel, covered, distinct_texts, least_at, listed, mixed, names_of, parts_of, place_arrays, \
     stretches, text_key, window_hashes, windows_in, with_others
-from keysweep.plans.store import stored
+from keysweep.plans.store import release, stored
 
 WINDOW_WORDS = 35
 #: Windows of one part of a stretch.
@@ -117,6 +117,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW_WORDS, id_col: str = "do
     named = stored(names_of(texts, of))
     again = stored(named.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"))
     found = stored(stretches(texts, named, again, of, "copies"))
+    release(named, again)
     hits, places = _repeated(found, "copies")
     # Where stretches of one name differ, first parts of them, then single windows decide.
     finer = of.finer(min(BLOCK, size))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from keysweep.llm.common import semi_join
 from keysweep.llm.windows import BASES, NONE, Kernel, covered, distinct_texts, least_at, listed, mixed, names_of, parts_of, place_arrays, \
     stretches, text_key, window_hashes, windows_in, with_others
-from keysweep.plans.store import stored
+from keysweep.plans.store import release, stored
 
 MATCH_BYTES = 50
 BATCHES = 4
@@ -49,7 +49,10 @@ def kernel(size: int) -> Kernel:
 
 
 def matches(suffixes: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The stored ``suffixes`` (``id, h1, h2``, any others) with ``earlier``: whether a document with a smaller ``id`` has them too."""
+    """The stored ``suffixes`` (``id, h1, h2``, any others) with ``earlier``: whether a document with a smaller ``id`` has them too.
+
+    ``suffixes`` are released in the end, as are the levels.
+    """
     cuts = suffixes.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     levels: list[tuple[int, DataFrame]] = []  # (size class, array)
@@ -62,7 +65,7 @@ def matches(suffixes: DataFrame, batches: int = BATCHES) -> DataFrame:
         # The smallest document of a suffix, in this batch or in any level before it.
         known = array
         for _, level in levels:
-            known = known.unionByName(level.join(array.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+            known = known.unionByName(level)
         known = known.groupBy("h1", "h2").agg(F.min("first").alias("first"))
         found.append(stored(batch.join(known, ["h1", "h2"]).withColumn("earlier", F.col("first") < F.col("id")).drop("first")))
         levels.append((0, array))
@@ -71,6 +74,8 @@ def matches(suffixes: DataFrame, batches: int = BATCHES) -> DataFrame:
         while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
             (rank, one), (_, two) = levels.pop(), levels.pop()
             levels.append((rank + 1, stored(_array(one.unionByName(two).withColumnRenamed("first", "id")))))
+            release(one, two)
+    release(suffixes, *(level for _, level in levels))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -104,11 +109,12 @@ def without_earlier(docs: DataFrame, size: int = MATCH_BYTES, id_col: str = "doc
     of = kernel(size)
     named = stored(names_of(texts, of))
     again = stored(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
-    found = matches(stored(stretches(texts, named, again, of, "least").withColumnRenamed("least", "id")), batches)
+    found = stored(stretches(texts, named, again, of, "least").withColumnRenamed("least", "id"))
+    release(named, again)
+    found = matches(found, batches)
     # Where stretches of one name differ, first parts of them, then single windows decide.
     finer = of.finer(min(BLOCK, size))
-    parts = with_others(stored(parts_of(texts, _open(found), finer, "least").withColumnRenamed("least", "id")))
-    parts = matches(parts, batches)
+    parts = matches(with_others(stored(parts_of(texts, _open(found), finer, "least").withColumnRenamed("least", "id"))), batches)
     single = matches(stored(windows_in(texts, _open(parts), of, "least").withColumnRenamed("least", "id")), batches)
     earlier = [f.where("earlier").select("doc", "pos", "len") for f in (found, parts, single.withColumn("len", F.lit(1)))]
     hits = listed(earlier[0].unionByName(earlier[1]).unionByName(earlier[2]))

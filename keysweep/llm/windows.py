@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from keysweep.llm.common import semi_join
-from keysweep.plans.store import stored
+from keysweep.plans.store import release, stored
 
 #: Odd, so that powers can be undone modulo 2 ** 64.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -202,8 +202,11 @@ def parts_of(texts: DataFrame, places: DataFrame, kernel: Kernel, carry: str) ->
 
 
 def with_others(places: DataFrame) -> DataFrame:
-    """The stored ``places`` whose name occurs more than once."""
-    return stored(semi_join(places, stored(places.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")), ["name"]))
+    """The stored ``places`` whose name occurs more than once; ``places`` are released."""
+    shared = stored(places.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"))
+    out = stored(semi_join(places, shared, ["name"]))
+    release(places, shared)
+    return out
 
 
 def listed(places: DataFrame) -> DataFrame:
