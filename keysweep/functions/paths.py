@@ -32,8 +32,8 @@ def has_valid_extension(path: Column) -> Column:
     return extension(path).isin(VALID_EXTENSIONS)
 
 
-def within_size_cap(size: Column) -> Column:
-    return size <= MAX_BLOB_BYTES
+def within_size_cap(size: Column, cap: int = MAX_BLOB_BYTES) -> Column:
+    return size <= cap
 
 
 def _one_of(words) -> str:

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysweep.functions.paths import is_scanned, within_size_cap
+from keysweep.functions.paths import is_scanned, relative_to, within_size_cap
 from keysweep.operators import history
 from keysweep.operators.detect import ALL, detect
 from keysweep.operators.findings import dedupe
@@ -17,14 +17,18 @@ from keysweep.sources.rules import Rule
 
 
 def scan_files(files: DataFrame, rules: list[Rule], which=ALL, unique_paths: bool = False,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, root: str | None = None) -> DataFrame:
     """Deduplicated findings ``(file, line, type, match)`` of a table ``(path, content)``.
 
-    Files are filtered by path before their content is looked at. Equal findings of one
+    Files are filtered by path before their content is looked at; names of folders above ``root`` do not
+    count, its own does. Equal findings of one
     row are dropped in place. If no path occurs twice, say so: nothing is shuffled then.
     Otherwise one shuffle, of findings only, drops the others.
     """
-    wanted = files.where(is_scanned(F.col("path"))).select(F.col("path").alias("file"), "content")
+    path = F.col("path")
+    if root and "/" in root.rstrip("/"):
+        path = relative_to(path, root.rstrip("/").rsplit("/", 1)[0])
+    wanted = files.where(is_scanned(path)).select(F.col("path").alias("file"), "content")
     found = detect(wanted, rules, "file", which=which, distinct=True, partitions=partitions)
     return found if unique_paths else dedupe(found)
 
@@ -49,19 +53,24 @@ class HistoryScan:
     ``blobs(blob_id, size, content)`` holds distinct contents, ``entries(commit, path, blob_id)``
     the full tree of each commit, ``commits(commit, message, log_pos)`` the log.
     Three small tables are stored because several branches read them: the findings per blob,
-    the tree entries that have findings, and the order of the commits.
+    the tree entries that have findings, and the order of the commits. Blobs of any size are scanned
+    unless ``max_blob_bytes`` is given.
     """
 
     def __init__(self, blobs: DataFrame, entries: DataFrame, commits: DataFrame, rules: list[Rule],
-                 base: str | None = None, include_clean: bool = False, partitions: int | None = None):
+                 base: str | None = None, include_clean: bool = False, partitions: int | None = None,
+                 max_blob_bytes: int | None = None):
         self.blobs, self.entries, self.commits = blobs, entries, commits
         self.rules, self.base, self.include_clean, self.partitions = rules, base, include_clean, partitions
+        self.max_blob_bytes = max_blob_bytes
 
     @cached_property
     def found(self) -> DataFrame:
         """Findings of each distinct blob, whatever the number of commits that hold it."""
-        small = self.blobs.where(within_size_cap(F.col("size")))
-        return stored(history.with_secret_id(detect(small, self.rules, "blob_id", partitions=self.partitions)))
+        blobs = self.blobs
+        if self.max_blob_bytes is not None:
+            blobs = blobs.where(within_size_cap(F.col("size"), self.max_blob_bytes))
+        return stored(history.with_secret_id(detect(blobs, self.rules, "blob_id", partitions=self.partitions)))
 
     @cached_property
     def found_bytes(self) -> int:

@@ -96,12 +96,14 @@ def test_report_and_clean_commits(spark):
     assert [r.commit for r in everything.sequence.orderBy("pos").collect()] == [f"commit{i:04d}" for i in range(5)]
 
 
-def test_large_blobs_are_left_out(spark):
+def test_large_blobs_are_left_out_on_request(spark):
     pad = "x" * 99 + "\n"
     small, large = secret(1) + pad * 5119, secret(2) + pad * 5120
     contents = [small + "y" * (512000 - len(small)), large]
-    scan = HistoryScan(*build(spark, [{"a.py": 0, "b.py": 1}], contents), load_rules(spark))
+    tables, rules = build(spark, [{"a.py": 0, "b.py": 1}], contents), load_rules(spark)
+    scan = HistoryScan(*tables, rules, max_blob_bytes=512000)
     assert {r.file for r in scan.report().collect()} == {"a.py"}
+    assert {r.file for r in HistoryScan(*tables, rules).snapshot_findings().collect()} == {"a.py", "b.py"}
     assert [tuple(r) for r in history.snapshot_files(scan.entries, scan.blobs).collect()] == [
         ("commit0000", "a.py", "b0", 512000)]
 

@@ -83,6 +83,16 @@ def test_root_may_be_a_file_or_skipped(spark, rules, tree):
         scan_directory(spark, str(tree / "missing"), rules)
 
 
+def test_root_of_a_table(spark, rules):
+    line = "x AKIA" + "ABCDEFGH23456789" + "\n"
+    table = spark.createDataFrame([("/mnt/build/proj/a.py", line), ("/mnt/build/proj/dist/b.py", line)], "path string, content string")
+    assert scan_files(table, rules).count() == 0
+    found = scan_files(table, rules, root="/mnt/build/proj").select("file").distinct().collect()
+    assert [r.file for r in found] == ["/mnt/build/proj/a.py"]
+    # The root's own name counts.
+    assert scan_files(table, rules, root="/mnt/build").count() == 0
+
+
 def test_clean_files_have_no_findings(spark, rules):
     text = "\n".join(["package main", "import \"fmt\"", "func main() {", "\tfmt.Println(\"hello\")", "}",
                       "// an ordinary comment", "var x = 42", "const name = \"app\"", "type T struct { Host string }",
