@@ -79,22 +79,23 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
     Buckets of up to ``pairwise`` fingerprints are compared pair by pair. In larger ones fingerprints are joined to
     common neighbours instead: any two within ``2 * r`` bits have a value within ``r`` bits of both, and all
     that share such a value are within the radius. This takes rows in proportion to the bucket, never its square, and
-    finds the same components. It needs an even radius (else buckets of any size go pair by pair).
+    finds the same components. Neighbours are one bit away, so it is for a radius of 2; others are refused.
     """
+    if radius != 2:
+        raise ValueError(f"links are built for a radius of 2, not {radius}")
     tables = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks(radius))))
     dealt = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.k", F.col("fp").bitwiseAND(F.col("t.m")).alias("key"))
     sizes = dealt.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
     sized = stored(dealt.join(stored(sizes), ["k", "key"]))
-    limit = pairwise if radius == 2 else 1 << 62
 
-    few = sized.where(F.col("n") <= limit).groupBy("k", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
+    few = sized.where(F.col("n") <= pairwise).groupBy("k", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     pairs = few.select("all", F.posexplode("all").alias("i", "a")).select(
         "a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
     # In a bucket, fingerprints differ only where its mask has a zero.
     free = F.element_at(F.array(*(F.lit(_signed(~m & (2 ** BITS - 1))) for m in masks(radius))), F.col("k") + 1)
-    many = sized.where(F.col("n") > limit).groupBy("fp").agg(F.bit_or(free).alias("free"))
+    many = sized.where(F.col("n") > pairwise).groupBy("fp").agg(F.bit_or(free).alias("free"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(BITS)))
     flips = F.filter(flips, lambda x: x.bitwiseAND(F.col("free")) == x)
     many = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))

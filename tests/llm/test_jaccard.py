@@ -1,0 +1,75 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from keysweep.llm.covering import links
+from keysweep.llm.jaccard import near_copies
+
+
+def slow_shingles(text):
+    parts = (text or "").lower().split()
+    return {" ".join(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def components(rows):
+    sets = [slow_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, least[find(k)]) for k, (i, _) in enumerate(rows))
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10 ** 6)}"
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts of all similarities around the bound, a passage in all of them, and a large group of near copies."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(40)]
+    out = [(0, None), (1, ""), (2, "\n"), (3, "one two"), (4, "One  two"), (5, "two one"), (6, "one two")]
+    for k in range(30):
+        base = [word() for _ in range(rng.choice([6, 30, 120, 300]))] + passage * (k % 2)
+        out += [(1000 - 20 * k + c, " ".join(edited(rng, base, c * len(base) // 120))) for c in range(6)]
+    base = [word() for _ in range(200)]
+    out += [(2000 + c, " ".join(edited(rng, base, rng.randrange(6)))) for c in range(80)]
+    return out
+
+
+@pytest.mark.parametrize("pairwise,last", [(16, 1 << 20), (1, 1 << 20), (1, 3), (1000, 0)])
+def test_against_brute_force(make_docs, rows, pairwise, last):
+    got = near_copies(make_docs(rows), pairwise=pairwise, last=last).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == components(rows)
+
+
+def test_stage_drops_near_copies(spark, make_docs, sf_dir, rows):
+    kept = corpus_pipeline.near_dedup(spark, make_docs(rows), sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, least in components(rows) if i == least]
+
+
+def test_null_ids_and_no_rows(make_docs):
+    got = near_copies(make_docs([(None, "a b"), (9, "a b"), (None, "q w e r t y")])).collect()
+    assert sorted((str(r["id"]), str(r["component"])) for r in got) == [("9", "9"), ("None", "9"), ("None", "None")]
+    assert near_copies(make_docs([])).collect() == []
+
+
+def test_links_of_fingerprints_never_go_pair_by_pair_in_large_buckets(spark):
+    with pytest.raises(ValueError):
+        links(spark.createDataFrame([(0,), (1,)], "fp long"), radius=4)
