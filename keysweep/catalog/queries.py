@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keysweep.catalog import corpus
-from keysweep.fixed_values import MAX_BLOB_BYTES
 from keysweep.functions import entropy, keywords, paths, redact
 from keysweep.operators import findings as found_ops
 from keysweep.operators import history, report
@@ -44,8 +43,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _history(spark: SparkSession, sf_dir: str) -> HistoryScan:
     # Trees are tables in practice; stored, their paths are not computed anew for every filter.
     return HistoryScan(corpus.blobs(spark, sf_dir), stored(corpus.entries(spark, sf_dir)),
-                       corpus.commits(spark, sf_dir), load_rules(spark), partitions=_partitions(spark, sf_dir),
-                       max_blob_bytes=MAX_BLOB_BYTES)
+                       corpus.commits(spark, sf_dir), load_rules(spark), partitions=_partitions(spark, sf_dir))
 
 
 def scan_files(spark, sf_dir):
@@ -62,7 +60,7 @@ def scan_commit_snapshots(spark, sf_dir):
 
 
 def snapshot_files(spark, sf_dir):
-    return history.snapshot_files(corpus.entries(spark, sf_dir), corpus.blobs(spark, sf_dir))
+    return history.snapshot_files(corpus.entries(spark, sf_dir), corpus.blobs(spark, sf_dir), max_blob_bytes=None)
 
 
 def commit_order(spark, sf_dir):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from keysweep.fixed_values import MAX_BLOB_BYTES
 from keysweep.functions.exposure import exposure_window
 from keysweep.functions.paths import is_scanned, under, within_size_cap
 from keysweep.plans.skew import skew_join
@@ -41,9 +42,12 @@ def scanned_entries(entries: DataFrame, base: str | None = None) -> DataFrame:
         "commit", under(base, F.col("path")).alias("file"), "blob_id")
 
 
-def snapshot_files(entries: DataFrame, blobs: DataFrame, base: str | None = None) -> DataFrame:
-    """Every file of every commit's tree that is scanned: path filters, then the size cap."""
-    sizes = blobs.select("blob_id", "size").where(within_size_cap(F.col("size")))
+def snapshot_files(entries: DataFrame, blobs: DataFrame, base: str | None = None,
+                   max_blob_bytes: int | None = MAX_BLOB_BYTES) -> DataFrame:
+    """Every file of every commit's tree that is scanned: path filters, then the size cap; None for no cap."""
+    sizes = blobs.select("blob_id", "size")
+    if max_blob_bytes is not None:
+        sizes = sizes.where(within_size_cap(F.col("size"), max_blob_bytes))
     return skew_join(scanned_entries(entries, base), sizes, "blob_id").select("commit", "file", "blob_id", "size")
 
 

@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from keysweep.catalog import corpus
+from keysweep.catalog.queries import QUERIES
 from keysweep.operators import history
 from keysweep.plans import skew
 from keysweep.plans.scan import HistoryScan
@@ -172,3 +174,18 @@ def test_no_broadcast_path_gives_the_same_history(spark, monkeypatch):
     assert sorted(map(tuple, salted.secrets_per_commit().collect())) == sorted(map(tuple, plain.secrets_per_commit().collect()))
     assert sorted(map(tuple, salted.history_findings().collect())) == sorted(map(tuple, plain.history_findings().collect()))
     assert sorted(map(tuple, salted.findings_by_commit().collect())) == sorted(map(tuple, plain.findings_by_commit().collect()))
+
+
+def test_registered_queries_scan_blobs_of_any_size(spark, sf_dir, monkeypatch):
+    """A document over 512,000 bytes is in the trees, and its secret is found."""
+    real = corpus.table
+
+    def longer(session, folder, name):
+        frame = real(session, folder, name)
+        if name != "documents":
+            return frame
+        pad = F.when(F.col("doc_id") % 16 == 1, F.repeat(F.lit("word word\n"), F.lit(60_000))).otherwise("")
+        return frame.withColumn("text", F.concat(pad, "text"))
+    monkeypatch.setattr(corpus, "table", longer)
+    assert QUERIES["snapshot_files"](spark, sf_dir).where("size > 512000").count() > 0
+    assert QUERIES["scan_commit_snapshots"](spark, sf_dir).where("line > 60000").count() > 0
