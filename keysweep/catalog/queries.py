@@ -100,7 +100,7 @@ def filter_size_cap(spark, sf_dir):
 
 
 def explode_lines(spark, sf_dir):
-    return number_lines(_files(spark, sf_dir), "doc_id")
+    return number_lines(_files(spark, sf_dir), "doc_id", limit=None)
 
 
 def line_limit(spark, sf_dir):
@@ -130,7 +130,7 @@ def valid_secret_value(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    lines = number_lines(_files(spark, sf_dir), "doc_id")
+    lines = number_lines(_files(spark, sf_dir), "doc_id", limit=None)
     return lines.select("doc_id", "line", F.explode_outer(entropy.long_tokens(F.col("text"))).alias("token")) \
         .where("token IS NOT NULL")
 
@@ -213,7 +213,7 @@ def redact_match(spark, sf_dir):
 
 
 def secret_prefix(spark, sf_dir):
-    lines = number_lines(_files(spark, sf_dir), "doc_id")
+    lines = number_lines(_files(spark, sf_dir), "doc_id", limit=None)
     return lines.groupBy(redact.secret_prefix(F.col("text")).alias("prefix")).agg(F.count("*").alias("n_lines"))
 
 
@@ -222,7 +222,7 @@ def redact_multiline(spark, sf_dir):
 
 
 def is_fully_masked(spark, sf_dir):
-    lines = number_lines(_files(spark, sf_dir), "doc_id")
+    lines = number_lines(_files(spark, sf_dir), "doc_id", limit=None)
     shown = redact.redact(F.col("text"))
     return lines.groupBy("doc_id").agg(
         F.count_if(redact.is_fully_masked(F.col("text"))).alias("n_plain"),

@@ -31,21 +31,24 @@ def strip_cr(line: Column) -> Column:
 
 
 def number_lines(files: DataFrame, *keys: str, content: str = "content", keep: Column | None = None,
-                 limit: int = LINE_LIMIT_BYTES) -> DataFrame:
+                 limit: int | None = LINE_LIMIT_BYTES) -> DataFrame:
     """One row ``(*keys, line, text)`` per line, numbered from 1.
 
     A final newline ends a line and starts none; one trailing carriage return is
-    dropped; a line of ``limit`` bytes or more and all lines behind it are left out.
+    dropped; a line of ``limit`` bytes or more and all lines behind it are left out, none without a limit.
     ``keep`` is a condition on ``RAW_LINE``; it is applied in the same stage as the split,
     so lines without interest are never written anywhere.
     """
     text = F.col(content)
     every = F.col("_all")
-    stop = _first_long(every, limit)
-    shown = F.when(F.col("_short") | (stop == 0), every).otherwise(F.slice(every, 1, stop.cast("int") - 1))
+    if limit is None:
+        short, shown = F.lit(True), every
+    else:
+        short, stop = F.octet_length(text) < limit, _first_long(every, limit)
+        shown = F.when(F.col("_short") | (stop == 0), every).otherwise(F.slice(every, 1, stop.cast("int") - 1))
     lines = (
         files.select(*keys, _pieces(text).alias("_all"), ((text == "") | text.endswith("\n")).alias("_ended"),
-                (F.octet_length(text) < limit).alias("_short"))
+                short.alias("_short"))
         # Behind a final newline, and in an empty content, there is one empty piece that is no line.
         .select(*keys, (F.size(every) - F.col("_ended").cast("int")).alias("_count"), shown.alias("_shown"))
         # The outer form keeps the optimizer from inferring size(...) > 0, which would split every content twice.

@@ -40,10 +40,8 @@ def scan_directory(spark: SparkSession, root: str, rules: list[Rule], which=ALL)
     and are dropped there, without a shuffle.
     """
     pieces = read_files(list_files(spark, root)).withColumnRenamed("path", "file")
-    found = detect(pieces, rules, "file", "first_line", "stop_line", which=which, distinct=True)
+    found = detect(pieces, rules, "file", "first_line", which=which, distinct=True)
     line = F.col("line") + F.col("first_line") - 1
-    # What follows a line over the limit is not scanned, in later pieces of the file either.
-    found = found.where(F.col("stop_line").isNull() | (line < F.col("stop_line")))
     return found.select("file", line.alias("line"), "type", "match")
 
 

@@ -18,12 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from keysweep.fixed_values import LINE_LIMIT_BYTES, SKIP_DIRS
+from keysweep.fixed_values import SKIP_DIRS
 from keysweep.functions.paths import base_name, is_scanned, relative_to
 from keysweep.plans.store import stored
 
 PIECE_BYTES = 64 << 20
 _BATCH_BYTES = 32 << 20
+_BEHIND_BYTES = 1 << 20
 _TASK_BYTES = 1 << 30
 _LISTED_ROWS = 10_000
 _LISTED = "path string, size long, is_dir boolean"
@@ -109,52 +110,60 @@ def _read(path: str, start: int, count: int) -> bytes:
         return file.read_at(count, start)
 
 
-def read_piece(path: str, size: int, piece: int, piece_bytes: int) -> bytes:
-    """The lines that begin in the ``piece``-th stretch of a file.
+def read_piece(path: str, size: int, piece: int, piece_bytes: int, limit: int | None = None) -> bytes:
+    """The lines that begin in the ``piece``-th stretch of a file, the last one to its end.
 
-    At most ``LINE_LIMIT_BYTES`` behind the stretch are read: a last line that goes on
-    further is over the limit anyway.
+    With a ``limit`` at most so many bytes behind the stretch are read: a last line that goes on further is over it anyway.
     """
     start, end = piece * piece_bytes, min((piece + 1) * piece_bytes, size)
     before = min(start, 1)  # tells whether the stretch begins at the start of a line
-    data = _read(path, start - before, end - start + before + (LINE_LIMIT_BYTES if end < size else 0))
+    data = _read(path, start - before, end - start + before)
     first = data.find(b"\n", 0, end - start + before) + 1 if before else 0
     if before and first == 0 or first >= end - start + before:
         return b""
-    last = data.find(b"\n", end - start + before - 1) + 1 if end < size else len(data)
-    return data[first:last] if last else data[first:]
+    stop = size if limit is None else min(size, end + limit)
+    parts, at = [data[first:]], end
+    ended = data.endswith(b"\n")
+    while not ended and at < stop:
+        more = _read(path, at, min(_BEHIND_BYTES, stop - at))
+        if not more:
+            break
+        last = more.find(b"\n") + 1
+        parts.append(more[:last] if last else more)
+        ended, at = last > 0, at + len(more)
+    return b"".join(parts)
 
 
-def _pieces(batch: pd.DataFrame, piece_bytes: int) -> Iterator[tuple[int, bytes]]:
+def _pieces(batch: pd.DataFrame, piece_bytes: int, limit: int | None) -> Iterator[tuple[int, bytes]]:
     for at, (path, size, piece) in enumerate(zip(batch["path"], batch["size"], batch["piece"])):
         try:
-            yield at, read_piece(path, size, piece, piece_bytes)
+            yield at, read_piece(path, size, piece, piece_bytes, limit)
         except OSError:
             continue  # a file that cannot be read has no findings
 
 
-def _measure(data: bytes) -> tuple[int, int | None]:
+def _measure(data: bytes, limit: int | None) -> tuple[int, int | None]:
     """Number of lines, and number of the first over-long one."""
     ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
     edges = np.concatenate(([-1], ends, [len(data)] if data and data[-1] != 10 else [])).astype(np.int64)
-    long = np.flatnonzero(np.diff(edges) - 1 >= LINE_LIMIT_BYTES)
+    long = np.flatnonzero(np.diff(edges) - 1 >= limit) if limit is not None else ()
     return len(edges) - 1, int(long[0]) + 1 if len(long) else None
 
 
-def _measured(piece_bytes: int):
+def _measured(piece_bytes: int, limit: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(batch["path"].iat[at], batch["piece"].iat[at], *_measure(data))
-                    for at, data in _pieces(batch, piece_bytes)]
+            rows = [(batch["path"].iat[at], batch["piece"].iat[at], *_measure(data, limit))
+                    for at, data in _pieces(batch, piece_bytes, limit)]
             yield pd.DataFrame(rows, columns=["path", "piece", "lines", "long"]).astype({"long": "Int64"})
     return run
 
 
-def _contents(piece_bytes: int):
+def _contents(piece_bytes: int, limit: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
-            for at, data in _pieces(batch, piece_bytes):
+            for at, data in _pieces(batch, piece_bytes, limit):
                 rows.append((batch["path"].iat[at], batch["first_line"].iat[at], batch["stop_line"].iat[at], data))
                 held += len(data)
                 if held >= _BATCH_BYTES:
@@ -170,10 +179,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"stop_line": "Int64"})
 
 
-def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES, limit: int | None = None) -> DataFrame:
     """``(path, first_line, stop_line, content)`` of listed files, one row per piece.
 
-    Files of more than one piece are read once more beforehand to number their lines.
+    Files of more than one piece are read once more beforehand to number their lines. ``stop_line`` is null unless a ``limit``
+    is given; then it is the first line of the file that is so long, which the limit of ``number_lines`` also stops at.
     """
     is_large = F.col("size") > piece_bytes
     total, large_total = files.agg(
@@ -182,14 +192,14 @@ def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     last = F.floor((F.col("size") - 1) / piece_bytes).cast("long")
     pieces = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     if large_total:
-        numbered = pieces.join(_offsets(pieces.where(is_large), _tasks(large_total, cores), piece_bytes),
+        numbered = pieces.join(_offsets(pieces.where(is_large), _tasks(large_total, cores), piece_bytes, limit),
                                ["path", "piece"], "left")
     else:
         numbered = pieces.withColumns({"first_line": F.lit(None), "stop_line": F.lit(None)})
     numbered = numbered.select("path", "size", "piece", F.coalesce("first_line", F.lit(1)).cast("long").alias("first_line"),
                                F.col("stop_line").cast("long").alias("stop_line"))
     read = numbered.repartition(_tasks(total, cores), "path", "piece").mapInPandas(
-        _contents(piece_bytes), "path string, first_line long, stop_line long, bytes binary")
+        _contents(piece_bytes, limit), "path string, first_line long, stop_line long, bytes binary")
     return read.select("path", "first_line", "stop_line",
                        F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"))
 
@@ -199,10 +209,10 @@ def _tasks(total: int, cores: int) -> int:
     return max(cores, total // _TASK_BYTES)
 
 
-def _offsets(pieces: DataFrame, tasks: int, piece_bytes: int) -> DataFrame:
+def _offsets(pieces: DataFrame, tasks: int, piece_bytes: int, limit: int | None) -> DataFrame:
     """First line of every piece, and first line of its file that is not scanned."""
     counted = stored(pieces.repartition(tasks, "path", "piece").mapInPandas(
-        _measured(piece_bytes), "path string, piece long, lines long, long long"))
+        _measured(piece_bytes, limit), "path string, piece long, lines long, long long"))
     # One row per piece of a file is sorted here, not its lines.
     before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.select("path", "piece", "long",

@@ -262,3 +262,15 @@ def test_dedupe_and_counts(spark):
     assert sorted(r.line for r in kept.collect()) == [1, 2]
     assert found_ops.count_findings(kept).first().total_findings == 2
     assert found_ops.count_by_type(frame).first().n_findings == 3
+
+
+def test_lines_of_any_length_are_scanned(spark, rules, tmp_path):
+    """A secret in a line of over 1 MiB, and one behind it, are found in tables and in pieces of files."""
+    key = b"AKIA" + b"Q" * 16
+    (tmp_path / "a.py").write_bytes(b"x\n" + b"z " * LINE_LIMIT_BYTES + key + b"\n" + key + b"\n")
+    table = spark.createDataFrame([("a.py", (tmp_path / "a.py").read_text())], "path string, content string")
+    assert {r.line for r in scan_files(table, rules, which=("signature",)).collect()} == {2, 3}
+    assert {r.line for r in scan_directory(spark, str(tmp_path), rules, which=("signature",)).collect()} == {2, 3}
+    pieces = directory.read_files(directory.list_files(spark, str(tmp_path)), 1 << 19)
+    found = detect(pieces, rules, "first_line", which=("signature",)).collect()
+    assert {r.line + r.first_line - 1 for r in found} == {2, 3}
