@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from keysweep.llm.covering import without_near_duplicates
 from keysweep.llm.exact import without_copies
-from keysweep.llm.jaccard import without_near_copies
 from keysweep.llm.packing import pack
 from keysweep.llm.tiling import decontaminate
 from keysweep.llm.toxicity import fit, sample, score
@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles the one with the smallest id stays."""
-    return without_near_copies(docs)
+    """Of documents linked by SimHash fingerprints (three-word shingles, at most two bits apart) the one with the smallest id stays."""
+    return without_near_duplicates(docs, radius=2, words=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
