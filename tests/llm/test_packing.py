@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_the_named_library(plain):
@@ -26,6 +24,8 @@ def test_ids_are_those_of_the_named_library(plain):
             text = "".join(c if rng.random() < 0.5 else rng.choice(" \n\t'sdmtre019<|endoftext|>\x85\xa0")
                            for c in (chr(rng.randrange(limit)) for _ in range(rng.randrange(30))) if not "\ud800" <= c <= "\udfff")
             assert encode(text, PATH).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", " " * 2_000_000 + "x", "\n \t" * 300_000 + "x", "x" * 100_000):
+        assert encode(text, PATH).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_fill_and_cut():
