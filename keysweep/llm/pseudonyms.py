@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Even, so that the parts of unequal sizes come back to their places.
 ROUNDS = 10
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 ISO_DATE = r"(?<![\d-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])"
 DAY_FIRST = r"(?<![\d./])\d{2}([./])\d{2}\1(?:19|20)\d{2}(?![\d]|[./]\d)"

@@ -63,3 +63,9 @@ def test_edges(make_docs, rows):
     got = P.pseudonymise(make_docs(rows), "k").collect()
     assert len(got) == len(rows)
     assert sorted((r["id"], r["text"]) for r in got if r["id"] and r["text"]) == [(i, t) for i, t in rows if i and t]
+
+
+def test_addresses_of_very_many_labels(make_docs):
+    labels = "b." * 1_000_000
+    (text, n), = swap(make_docs, ["x a@" + labels + "com y"])
+    assert n == 1 and text.endswith("@" + labels + "com y") and text.startswith("x ") and not text.startswith("x a@")
