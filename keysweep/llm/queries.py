@@ -11,6 +11,7 @@ from keysweep.llm.exact import exact_groups
 from keysweep.llm.lexical import SEARCH_SQL, search
 from keysweep.llm.licenses import known_digests, licenses, licenses_sql
 from keysweep.llm.packing import pack
+from keysweep.llm.phrases import COLLOCATIONS_SQL, collocations
 from keysweep.llm.pseudonyms import pseudonymise
 from keysweep.llm.recompression import without_repeats
 from keysweep.llm.sharding import shards
@@ -80,6 +81,10 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark, sf_dir):
     found = search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
@@ -91,7 +96,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (
     op1_license_scan, op2_recompression_dedup, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_sharding,
-    op10_benchmark_decontamination, op12_lexical_search, pipeline,
+    op10_benchmark_decontamination, op11_phrase_collocations, op12_lexical_search, pipeline,
 )}
 
 SQL = {
@@ -103,5 +108,6 @@ WITH normal AS (
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM normal WINDOW same AS (PARTITION BY t)""",
+    "op11_phrase_collocations": COLLOCATIONS_SQL,
     "op12_lexical_search": SEARCH_SQL,
 }
