@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
+from keysweep.llm import languages
 from keysweep.llm.covering import near_duplicates
 from keysweep.llm.exact import exact_groups
 from keysweep.llm.lexical import SEARCH_SQL, search
@@ -90,13 +91,18 @@ def op12_lexical_search(spark, sf_dir):
     return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
 
 
+def op13_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return languages.languages(docs, languages.fit(languages.sample(docs))).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_license_scan, op2_recompression_dedup, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_sharding,
-    op10_benchmark_decontamination, op11_phrase_collocations, op12_lexical_search, pipeline,
+    op1_license_scan, op2_recompression_dedup, op3_pii_pseudonyms, op4_exact_dedup, op5_toxicity, op6_packing, op7_simhash_near_dedup,
+    op8_suffix_array_dedup, op9_sharding, op10_benchmark_decontamination, op11_phrase_collocations, op12_lexical_search, op13_language_id, pipeline,
 )}
 
 SQL = {
