@@ -53,11 +53,26 @@ ENTRIES = f"""SELECT {_COMMIT.format('l_orderkey')} AS commit,
   lower(l_linestatus) || '/' || {PATH} AS path, doc_id AS blob_id
 FROM (SELECT DISTINCT l_orderkey, l_linestatus, l_partkey % (SELECT count(*) FROM {{documents}}) AS doc_id FROM {{lineitem}}) AS placed"""
 
-# Every text column of the tables as it is, as one file per row.
-RAW_FILES = """SELECT 'documents/' || CAST(doc_id AS STRING) || '.txt' AS path, text AS content FROM {documents}
-UNION ALL SELECT 'pages/' || CAST(page_id AS STRING) || '.json', html FROM {pages}
-UNION ALL SELECT 'conversations/' || CAST(conv_id AS STRING) || '/' || CAST(turn AS STRING) || '.yml', text FROM {conversations}
-UNION ALL SELECT 'benchmark/' || CAST(item_id AS STRING) || '.py', text FROM {benchmark}"""
+# Keys and string columns of every table that has any; a row is a file, its strings are lines in this order.
+RAW_COLUMNS = {
+    "documents": (("doc_id",), ("text", "lang", "source"), ".txt"),
+    "pages": (("page_id",), ("html", "url"), ".json"),
+    "conversations": (("conv_id", "turn"), ("text", "role"), ".yml"),
+    "benchmark": (("item_id",), ("text",), ".py"),
+    "events": (("event_id",), ("props", "event_type"), ".json"),
+    "region": (("r_regionkey",), ("r_name",), ".env"),
+    "nation": (("n_nationkey",), ("n_name",), ".env"),
+    "customer": (("c_custkey",), ("c_name", "c_mktsegment"), ".env"),
+    "supplier": (("s_suppkey",), ("s_name",), ".env"),
+    "part": (("p_partkey",), ("p_name", "p_brand", "p_type"), ".env"),
+    "orders": (("o_orderkey",), ("o_orderstatus", "o_orderpriority"), ".env"),
+    "lineitem": (("l_orderkey", "l_linenumber"), ("l_returnflag", "l_linestatus"), ".env"),
+}
+
+RAW_FILES = "\nUNION ALL ".join(
+    f"SELECT '{name}/' || " + " || '/' || ".join(f"CAST({k} AS STRING)" for k in keys)
+    + f" || '{extension}' AS path, concat_ws(chr(10), {', '.join(columns)}) AS content FROM {{{name}}}"
+    for name, (keys, columns, extension) in RAW_COLUMNS.items())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +88,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, RAW_FILES, "documents", "pages", "conversations", "benchmark")
+    return _sql(spark, sf_dir, RAW_FILES, *RAW_COLUMNS)
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from keysweep.catalog import corpus
 from keysweep.catalog.queries import SHORT_LINE_LIMIT
 from keysweep.functions.keywords import KEYWORDS, keyword_pattern
 
-_TABLES = {name: name for name in ("documents", "pages", "conversations", "benchmark", "orders", "lineitem")}
+_TABLES = {name: name for name in corpus.RAW_COLUMNS}
 
 
 def _q(text: str) -> str:
@@ -25,11 +25,12 @@ def _rules() -> list[dict]:
     return json.loads(resources.files("keysweep").joinpath("data/rules.json").read_text())["signatures"]
 
 
-def _lines(source: str, keys: str, limit: int = fixed.LINE_LIMIT_BYTES) -> str:
-    """Numbered lines of a table with a content column."""
+def _lines(source: str, keys: str, limit: int | None = None) -> str:
+    """Numbered lines of a table with a content column; with a limit those before the first one of so many bytes."""
+    stop = f"min(CASE WHEN strlen(raw) >= {limit} THEN line END) OVER (PARTITION BY part)" if limit else "NULL"
     return f"""SELECT {keys}, line, CASE WHEN ends_with(raw, chr(13)) THEN left(raw, length(raw) - 1) ELSE raw END AS text
 FROM (
-  SELECT *, min(CASE WHEN strlen(raw) >= {limit} THEN line END) OVER (PARTITION BY part) AS stop
+  SELECT *, {stop} AS stop
   FROM (
     SELECT *, unnest(pieces) AS raw, generate_subscripts(pieces, 1) AS line, len(pieces) AS n
     FROM (SELECT *, row_number() OVER () AS part, string_split(content, chr(10)) AS pieces FROM {source})
@@ -141,7 +142,7 @@ _CTE = {
     "scanned": f"SELECT path AS file, content FROM files WHERE {_SCANNED}",
     "scanned_lines": _lines("scanned", "file"),
     "scan": f"SELECT DISTINCT file, line, type, match FROM ({_detect('scanned_lines', 'file')})",
-    "blobs": f"SELECT doc_id AS blob_id, content FROM files WHERE strlen(content) <= {fixed.MAX_BLOB_BYTES}",
+    "blobs": "SELECT doc_id AS blob_id, content FROM files",
     "blob_lines": _lines("blobs", "blob_id"),
     "found": _detect("blob_lines", "blob_id"),
     "tree": f"SELECT commit, path AS file, blob_id FROM entries WHERE {_SCANNED}",

@@ -51,8 +51,7 @@ def scan_files(spark, sf_dir):
 
 
 def scan_raw_tables(spark, sf_dir):
-    return scan(corpus.raw_files(spark, sf_dir), load_rules(spark), unique_paths=True,
-                partitions=_partitions(spark, sf_dir))
+    return scan(corpus.raw_files(spark, sf_dir), load_rules(spark), partitions=_partitions(spark, sf_dir))
 
 
 def scan_commit_snapshots(spark, sf_dir):
@@ -60,7 +59,7 @@ def scan_commit_snapshots(spark, sf_dir):
 
 
 def snapshot_files(spark, sf_dir):
-    return history.snapshot_files(corpus.entries(spark, sf_dir), corpus.blobs(spark, sf_dir), max_blob_bytes=None)
+    return history.snapshot_files(corpus.entries(spark, sf_dir), corpus.blobs(spark, sf_dir))
 
 
 def commit_order(spark, sf_dir):
@@ -100,7 +99,7 @@ def filter_size_cap(spark, sf_dir):
 
 
 def explode_lines(spark, sf_dir):
-    return number_lines(_files(spark, sf_dir), "doc_id", limit=None)
+    return number_lines(_files(spark, sf_dir), "doc_id")
 
 
 def line_limit(spark, sf_dir):
@@ -130,7 +129,7 @@ def valid_secret_value(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    lines = number_lines(_files(spark, sf_dir), "doc_id", limit=None)
+    lines = number_lines(_files(spark, sf_dir), "doc_id")
     return lines.select("doc_id", "line", F.explode_outer(entropy.long_tokens(F.col("text"))).alias("token")) \
         .where("token IS NOT NULL")
 
@@ -213,7 +212,7 @@ def redact_match(spark, sf_dir):
 
 
 def secret_prefix(spark, sf_dir):
-    lines = number_lines(_files(spark, sf_dir), "doc_id", limit=None)
+    lines = number_lines(_files(spark, sf_dir), "doc_id")
     return lines.groupBy(redact.secret_prefix(F.col("text")).alias("prefix")).agg(F.count("*").alias("n_lines"))
 
 
@@ -222,7 +221,7 @@ def redact_multiline(spark, sf_dir):
 
 
 def is_fully_masked(spark, sf_dir):
-    lines = number_lines(_files(spark, sf_dir), "doc_id", limit=None)
+    lines = number_lines(_files(spark, sf_dir), "doc_id")
     shown = redact.redact(F.col("text"))
     return lines.groupBy("doc_id").agg(
         F.count_if(redact.is_fully_masked(F.col("text"))).alias("n_plain"),

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keysweep.fixed_values import MAX_BLOB_BYTES
 from keysweep.functions.exposure import exposure_window
 from keysweep.functions.paths import is_scanned, under, within_size_cap
 from keysweep.plans.skew import skew_join
@@ -43,8 +42,8 @@ def scanned_entries(entries: DataFrame, base: str | None = None) -> DataFrame:
 
 
 def snapshot_files(entries: DataFrame, blobs: DataFrame, base: str | None = None,
-                   max_blob_bytes: int | None = MAX_BLOB_BYTES) -> DataFrame:
-    """Every file of every commit's tree that is scanned: path filters, then the size cap; None for no cap."""
+                   max_blob_bytes: int | None = None) -> DataFrame:
+    """Every file of every commit's tree that is scanned: path filters, then a size cap if one is given."""
     sizes = blobs.select("blob_id", "size")
     if max_blob_bytes is not None:
         sizes = sizes.where(within_size_cap(F.col("size"), max_blob_bytes))

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keysweep.fixed_values import LINE_LIMIT_BYTES
-
-
 # Column that holds a line before its carriage return is dropped.
 RAW_LINE = "_raw"
 
@@ -20,8 +17,8 @@ def _first_long(pieces: Column, limit: int) -> Column:
     return F.array_position(F.transform(pieces, lambda l: F.octet_length(l) >= limit), True)
 
 
-def is_truncated(content: Column, limit: int = LINE_LIMIT_BYTES) -> Column:
-    """Whether a line is so long that the rest of the content is not scanned."""
+def is_truncated(content: Column, limit: int) -> Column:
+    """Whether a line is so long that a scan with this ``limit`` leaves out the rest of the content."""
     return F.when(F.octet_length(content) < limit, F.lit(False)) \
         .otherwise(_first_long(_pieces(content), limit) > 0)
 
@@ -31,11 +28,11 @@ def strip_cr(line: Column) -> Column:
 
 
 def number_lines(files: DataFrame, *keys: str, content: str = "content", keep: Column | None = None,
-                 limit: int | None = LINE_LIMIT_BYTES) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """One row ``(*keys, line, text)`` per line, numbered from 1.
 
     A final newline ends a line and starts none; one trailing carriage return is
-    dropped; a line of ``limit`` bytes or more and all lines behind it are left out, none without a limit.
+    dropped. Lines of any length are kept, unless there is a ``limit``: then one of so many bytes or more and all behind it are left out.
     ``keep`` is a condition on ``RAW_LINE``; it is applied in the same stage as the split,
     so lines without interest are never written anywhere.
     """

@@ -39,9 +39,10 @@ def test_null_content_has_no_lines(spark):
 def test_line_limit(spark, size, kept, cut, char, width):
     long = char * (size // width) + "y" * (size % width)
     frame = spark.createDataFrame([(1, "a\n\n" + long + "\nb\nc\n")], "k int, content string")
-    rows = number_lines(frame, "k").collect()
+    rows = number_lines(frame, "k", limit=LINE_LIMIT_BYTES).collect()
     assert sorted(r.line for r in rows) == list(range(1, kept + 1))
-    assert frame.select(is_truncated(F.col("content"))).first()[0] is cut
+    assert number_lines(frame, "k").count() == 5
+    assert frame.select(is_truncated(F.col("content"), LINE_LIMIT_BYTES)).first()[0] is cut
 
 
 def test_paths(spark):

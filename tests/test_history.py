@@ -106,8 +106,9 @@ def test_large_blobs_are_left_out_on_request(spark):
     scan = HistoryScan(*tables, rules, max_blob_bytes=512000)
     assert {r.file for r in scan.report().collect()} == {"a.py"}
     assert {r.file for r in HistoryScan(*tables, rules).snapshot_findings().collect()} == {"a.py", "b.py"}
-    assert [tuple(r) for r in history.snapshot_files(scan.entries, scan.blobs).collect()] == [
+    assert [tuple(r) for r in history.snapshot_files(scan.entries, scan.blobs, max_blob_bytes=512000).collect()] == [
         ("commit0000", "a.py", "b0", 512000)]
+    assert history.snapshot_files(scan.entries, scan.blobs).count() == 2
 
 
 def test_commit_sequence_over_buckets(spark, monkeypatch):
