@@ -151,6 +151,9 @@ _CTE = {
     "sequence": """SELECT commit, message, order_index, row_number() OVER (ORDER BY order_index) - 1 AS pos
 FROM ordered WHERE commit IN (SELECT commit FROM snapshot)""",
     "present": "SELECT DISTINCT pos, commit, type, match FROM snapshot JOIN sequence USING (commit)",
+    "islands": """SELECT type, match, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS exposure_commits
+FROM (SELECT *, pos - row_number() OVER (PARTITION BY type, match ORDER BY pos) AS island FROM present) GROUP BY type, match, island""",
+    "placed": """SELECT DISTINCT file, blob_id, order_index FROM tree JOIN ordered USING (commit)""",
     "lifecycle": """SELECT type, match, arg_min(commit, pos) AS introduced_commit,
   coalesce((SELECT s.commit FROM sequence s WHERE s.pos = max(present.pos) + 1), '') AS removed_commit,
   count(*) AS exposure_commits
@@ -173,7 +176,7 @@ _NEEDS = {
     "lines": ["files"], "scanned": ["files"], "scanned_lines": ["scanned"], "scan": ["scanned_lines"],
     "blobs": ["files"], "blob_lines": ["blobs"], "found": ["blob_lines"], "tree": ["entries"],
     "snapshot": ["tree", "found"], "ordered": ["commits"], "sequence": ["ordered", "snapshot"],
-    "present": ["snapshot", "sequence"], "lifecycle": ["present", "sequence"], "life": ["lifecycle"],
+    "present": ["snapshot", "sequence"], "islands": ["present", "sequence"], "placed": ["tree", "ordered"], "lifecycle": ["present", "sequence"], "life": ["lifecycle"],
     "report": ["snapshot", "sequence", "life"], "shown": ["report"],
 }
 
@@ -287,6 +290,13 @@ FROM ({_tokens('lines', key)})""", "lines"),
                                   "snapshot", "commits"),
         "commit_sequence": _with("SELECT * FROM sequence", "sequence"),
         "secret_lifecycle": _with("""SELECT type, match, introduced_commit, removed_commit, exposure_commits,
+  still_present_in_head FROM life""", "life"),
+        "exposure_intervals": _with("""SELECT type, match, s.commit AS introduced_commit, coalesce(e.commit, '') AS removed_commit, exposure_commits
+FROM islands JOIN sequence s ON s.pos = first_pos LEFT JOIN sequence e ON e.pos = last_pos + 1""", "islands"),
+        "tree_runs": _with("""SELECT file, blob_id, min(order_index) AS first_index, max(order_index) AS last_index
+FROM (SELECT *, order_index - row_number() OVER (PARTITION BY file, blob_id ORDER BY order_index) AS island FROM placed)
+GROUP BY file, blob_id, island""", "placed"),
+        "lifecycle_from_runs": _with("""SELECT type, match, introduced_commit, removed_commit, exposure_commits,
   still_present_in_head FROM life""", "life"),
         "exposure_window": _with("SELECT type, match, exposure_window FROM life", "life"),
         "history_report": _with("SELECT * FROM report ORDER BY file, line, type, match", "report"),

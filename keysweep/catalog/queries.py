@@ -197,6 +197,20 @@ def secret_lifecycle(spark, sf_dir):
         "exposure_commits", "still_present_in_head")
 
 
+def exposure_intervals(spark, sf_dir):
+    return _history(spark, sf_dir).exposure_intervals().withColumn("removed_commit", F.coalesce("removed_commit", F.lit("")))
+
+
+def tree_runs(spark, sf_dir):
+    return history.tree_runs(corpus.entries(spark, sf_dir), corpus.commits(spark, sf_dir))
+
+
+def lifecycle_from_runs(spark, sf_dir):
+    return _history(spark, sf_dir).lifecycle_from_runs().select(
+        "type", "match", "introduced_commit", F.coalesce("removed_commit", F.lit("")).alias("removed_commit"),
+        "exposure_commits", "still_present_in_head")
+
+
 def exposure_window(spark, sf_dir):
     return _history(spark, sf_dir).lifecycle.select("type", "match", "exposure_window")
 
@@ -244,5 +258,6 @@ QUERIES = {q.__name__: q for q in (
     long_tokens, token_noise, shannon_entropy, high_entropy, detect_all,
     dedupe_findings, sort_findings, total_findings, findings_by_type, findings_by_commit, secrets_per_commit,
     history_findings, commit_sequence, secret_lifecycle, exposure_window, history_report,
+    exposure_intervals, tree_runs, lifecycle_from_runs,
     redact_match, secret_prefix, redact_multiline, is_fully_masked, report_json, report_markdown,
 )}

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from keysweep.functions.exposure import exposure_window
 from keysweep.functions.paths import is_scanned, under, within_size_cap
+from keysweep.operators.intervals import at_or_before, union_intervals, with_next
 from keysweep.plans.skew import skew_join
+from keysweep.plans.store import stored
 
 # Positions per bucket of the commit order. An order index is below 2**31, so there are at most
 # 2**31 / _BUCKET buckets of known commits, and _UNKNOWN_BUCKETS of commits missing from the log.
@@ -113,15 +115,19 @@ def secrets_per_commit(entries: DataFrame, found: DataFrame, found_bytes: int |
     return skew_join(pairs, secrets, "blob_id", small_bytes=found_bytes).select("commit", "secret_id").distinct()
 
 
-def secret_spans(hits: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
-    """First position, last position and number of commits of every secret.
+def secret_positions(hits: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
+    """Where every secret is: ``(pos, secret_id)``, each pair once.
 
     ``hits`` are entries with findings that carry a position: ``(pos, file, blob_id)``.
     """
     pairs = hits.select("pos", "blob_id").distinct()
     secrets = found.select("blob_id", "secret_id").distinct()
-    present = skew_join(pairs, secrets, "blob_id", small_bytes=found_bytes).select("pos", "secret_id").distinct()
-    return present.groupBy("secret_id").agg(
+    return skew_join(pairs, secrets, "blob_id", small_bytes=found_bytes).select("pos", "secret_id").distinct()
+
+
+def secret_spans(hits: DataFrame, found: DataFrame, found_bytes: int | None = None) -> DataFrame:
+    """First position, last position and number of commits of every secret."""
+    return secret_positions(hits, found, found_bytes).groupBy("secret_id").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("exposure_commits"))
 
 
@@ -166,3 +172,79 @@ def history_report(sightings: DataFrame, lifecycle: DataFrame, sequence: DataFra
         "file", "line", "type", "match", "commit", "message", "introduced_commit", "removed_commit",
         "exposure_commits", "exposure_window", "still_present_in_head",
     )
+
+
+def exposure_intervals(positions: DataFrame, sequence: DataFrame, found: DataFrame, sequence_bytes: int | None = None) -> DataFrame:
+    """Every time that a secret was there: ``(type, match, introduced_commit, removed_commit, exposure_commits)``.
+
+    ``positions`` are those of ``secret_positions``. An interval is a longest run of commits of the sequence that have the
+    secret; the commit that follows it removed the secret, and without one (null) the secret is still present. The
+    ``exposure_commits`` of a secret's intervals add up to those of its lifecycle.
+    """
+    runs = union_intervals(positions.select("secret_id", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos")), ["secret_id"])
+    named = found.select("secret_id", "type", "match").dropDuplicates(["secret_id"])
+    runs = stored(runs.withColumn("exposure_commits", F.col("last_pos") - F.col("first_pos") + 1))
+    return _between_commits(runs, sequence, sequence_bytes).join(named, "secret_id").select(
+        "type", "match", "introduced_commit", "removed_commit", "exposure_commits")
+
+
+def _between_commits(runs: DataFrame, sequence: DataFrame, sequence_bytes: int | None) -> DataFrame:
+    """``runs`` with the commit of ``first_pos`` and the one behind ``last_pos``, if any."""
+    first = sequence.select(F.col("pos").alias("first_pos"), F.col("commit").alias("introduced_commit"))
+    after = sequence.select((F.col("pos") - 1).alias("last_pos"), F.col("commit").alias("removed_commit"))
+    begun = skew_join(runs, first, "first_pos", weights=runs, small_bytes=sequence_bytes)
+    return skew_join(begun, after, "last_pos", how="left", weights=runs, small_bytes=sequence_bytes)
+
+
+def tree_runs(entries: DataFrame, commits: DataFrame, base: str | None = None) -> DataFrame:
+    """Trees as runs: ``(file, blob_id, first_index, last_index)``, from the first to the last order index of commits in a row
+    that have this content at this path. Only files that are scanned; entries of commits that the log lacks are left out.
+
+    One pass over all entries; from then on work grows with what changed, not with commits times files.
+    """
+    order = commit_order(commits).select("commit", F.col("order_index").alias("first_index"))
+    placed = skew_join(scanned_entries(entries, base), order, "commit").withColumn("last_index", F.col("first_index"))
+    return union_intervals(placed, ["file", "blob_id"], "first_index", "last_index")
+
+
+def runs_from_changes(changes: DataFrame, n_commits: int, base: str | None = None) -> DataFrame:
+    """The same from what each commit changed: ``(order_index, path, blob_id)``, a null ``blob_id`` for a path that went.
+
+    A content lasts until the next change of its path, the last one until the last of the ``n_commits``. Trees are never built, and
+    only changes are shuffled. Of several changes of a path by one commit, one that sets a content wins, of these the largest id.
+    """
+    wanted = changes.where(is_scanned(F.col("path"))).select(under(base, F.col("path")).alias("file"), F.col("order_index").cast("long").alias("first_index"), "blob_id")
+    once = stored(wanted.groupBy("file", "first_index").agg(F.max("blob_id").alias("blob_id")))
+    lasting = with_next(once, ["file"], "first_index", "_next").where("blob_id IS NOT NULL")
+    spans = lasting.select("file", "blob_id", "first_index", (F.coalesce("_next", F.lit(n_commits)) - 1).alias("last_index"))
+    # A change to the content that is there already begins no run of its own.
+    return union_intervals(spans, ["file", "blob_id"], "first_index", "last_index")
+
+
+def lifecycle_from_runs(runs: DataFrame, found: DataFrame, commits: DataFrame, found_bytes: int | None = None) -> DataFrame:
+    """The rows of ``secret_lifecycle`` from runs of trees: a sweep over interval ends in place of a row for every commit and file.
+
+    Runs of contents with a finding make intervals per secret. What any secret covers are the commits of the sequence, so a secret is removed
+    by the first covered commit behind its last one.
+    """
+    secrets = found.select("blob_id", "secret_id").distinct()
+    held = skew_join(runs.select("blob_id", "first_index", "last_index"), secrets, "blob_id", small_bytes=found_bytes)
+    spans = stored(union_intervals(held, ["secret_id"], "first_index", "last_index"))
+    covered = stored(union_intervals(spans, [], "first_index", "last_index"))
+    covered = stored(with_next(covered.withColumnRenamed("last_index", "until"), [], "first_index", "next_index").withColumnRenamed("first_index", "at"))
+    lives = stored(spans.groupBy("secret_id").agg(
+        F.min("first_index").alias("first_index"), F.max("last_index").alias("at"),
+        F.sum(F.col("last_index") - F.col("first_index") + 1).alias("exposure_commits")))
+    ends = at_or_before(lives.select("at").distinct(), covered, "at", ["until", "next_index"])
+    ends = stored(ends.select("at", F.when(F.col("at") < F.col("until"), F.col("at") + 1).otherwise(F.col("next_index")).alias("removed_index")))
+    order = stored(commit_order(commits).select("order_index", "commit"))
+    first = order.select(F.col("order_index").alias("first_index"), F.col("commit").alias("introduced_commit"))
+    after = ends.join(order.select(F.col("order_index").alias("removed_index"), F.col("commit").alias("removed_commit")), "removed_index", "left") \
+        .select("at", "removed_commit")
+    life = skew_join(skew_join(lives, first, "first_index", weights=lives), after, "at", weights=lives)
+    named = found.select("secret_id", "type", "match").dropDuplicates(["secret_id"])
+    active = F.col("removed_commit").isNull()
+    return life.join(named, "secret_id").select(
+        "secret_id", "type", "match", "introduced_commit", "removed_commit", "exposure_commits",
+        exposure_window(F.col("exposure_commits"), active, F.col("removed_commit")).alias("exposure_window"),
+        active.alias("still_present_in_head"))

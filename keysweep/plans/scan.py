@@ -116,6 +116,20 @@ class HistoryScan:
         spans = history.secret_spans(self.hits, self.found, self.found_bytes)
         return history.secret_lifecycle(stored(spans), self.sequence, self.found, self.sequence_bytes)
 
+    def exposure_intervals(self) -> DataFrame:
+        """One row for every time that a secret was there, where the lifecycle has one row per secret."""
+        positions = history.secret_positions(self.hits, self.found, self.found_bytes)
+        return history.exposure_intervals(positions, self.sequence, self.found, self.sequence_bytes)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Trees as runs of commits; stored, as later scans of the same history read them in place of the entries."""
+        return stored(history.tree_runs(self.entries, self.commits, self.base))
+
+    def lifecycle_from_runs(self, runs: DataFrame | None = None) -> DataFrame:
+        """The lifecycle from runs of trees, by default those of the entries."""
+        return history.lifecycle_from_runs(self.runs if runs is None else runs, self.found, self.commits, self.found_bytes)
+
     def report(self) -> DataFrame:
         """Deduplicated findings over all commits with lifecycle columns; sort and redact them for output."""
         sightings = stored(history.first_sightings(self.hits, self.found, self.found_bytes))
