@@ -245,6 +245,7 @@ def oracle_sql() -> dict[str, str]:
     masked = r"regexp_matches({0}, '^[* .\-]*$')"
     return {
         "scan_files": _with("SELECT * FROM scan", "scan"),
+        "scan_incremental": _with("SELECT * FROM scan", "scan"),
         "scan_raw_tables": _raw_scan(),
         "scan_commit_snapshots": _with("SELECT * FROM snapshot", "snapshot"),
         "snapshot_files": _with("""SELECT commit, file, blob_id, strlen(content)::BIGINT AS size

@@ -65,12 +65,13 @@ def _expressions(app: str, rules: tuple[Rule, ...], which: tuple[str, ...]) -> t
 
 
 def detect(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, distinct: bool = False,
-           partitions: int | None = None, limit: int | None = None) -> DataFrame:
+           partitions: int | None = None, limit: int | None = None, always: Column | None = None) -> DataFrame:
     """All findings ``(*keys, line, type, match)`` of a table with a ``content`` column.
 
     A bag, in which a token that occurs twice on a line is reported twice; with ``distinct``
     it is reported once. There is no shuffle and no Python worker, and only lines that pass
     a gate leave the stage that splits the contents. Lines of any length are scanned unless a ``limit`` is given.
+    Null contents for which ``always`` holds, a condition on the keys, give a row without line, type and match.
 
     A table in a few large splits leaves all work to the tasks that read them: give the number of
     ``partitions`` to move its contents to first. A table in many splits needs none.
@@ -80,8 +81,8 @@ def detect(files: DataFrame, rules: list[Rule], *keys: str, which=ALL, distinct:
     if partitions:
         files = files.repartition(partitions, keys[0])
     return (
-        number_lines(files, *keys, keep=keep, limit=limit)
+        number_lines(files, *keys, keep=keep, limit=limit, always=always)
         .select(*keys, "line", (F.array_distinct(hits) if distinct else hits).alias("_hits"))
         .select(*keys, "line", F.inline_outer("_hits"))
-        .where(F.col("type").isNotNull())
+        .where(F.col("type").isNotNull() if always is None else F.col("type").isNotNull() | (F.col("line").isNull() & always))
     )

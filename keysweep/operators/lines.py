@@ -28,13 +28,14 @@ def strip_cr(line: Column) -> Column:
 
 
 def number_lines(files: DataFrame, *keys: str, content: str = "content", keep: Column | None = None,
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, always: Column | None = None) -> DataFrame:
     """One row ``(*keys, line, text)`` per line, numbered from 1.
 
     A final newline ends a line and starts none; one trailing carriage return is
     dropped. Lines of any length are kept, unless there is a ``limit``: then one of so many bytes or more and all behind it are left out.
     ``keep`` is a condition on ``RAW_LINE``; it is applied in the same stage as the split,
-    so lines without interest are never written anywhere.
+    so lines without interest are never written anywhere. Contents without a line give no row, but those for which
+    ``always`` holds, a condition on the keys, give one with nulls.
     """
     text = F.col(content)
     every = F.col("_all")
@@ -56,5 +57,7 @@ def number_lines(files: DataFrame, *keys: str, content: str = "content", keep: C
     wanted = F.coalesce(F.col("_pos") < F.col("_count"), F.lit(False))
     if keep is not None:
         wanted = wanted & keep
+    if always is not None:
+        wanted = wanted | (F.col("_pos").isNull() & always)
     return lines.where(wanted).select(*keys, (F.col("_pos") + 1).cast("long").alias("line"),
                                       strip_cr(raw).alias("text"))

@@ -12,7 +12,7 @@ from keysweep.operators.detect import ALL, detect
 from keysweep.operators.findings import dedupe
 from keysweep.plans.skew import BROADCAST_BYTES, skew_join
 from keysweep.plans.store import size_in_bytes, stored
-from keysweep.sources.directory import list_files, read_files
+from keysweep.sources.directory import PIECE_BYTES, list_files, read_files
 from keysweep.sources.rules import Rule
 
 
@@ -33,16 +33,33 @@ def scan_files(files: DataFrame, rules: list[Rule], which=ALL, unique_paths: boo
     return found if unique_paths else dedupe(found)
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    return found.select("file", (F.col("line") + F.col("first_line") - 1).alias("line"), "type", "match")
+
+
 def scan_directory(spark: SparkSession, root: str, rules: list[Rule], which=ALL) -> DataFrame:
     """Deduplicated findings of a directory tree on storage that all executors reach.
 
     Every line of a file is in exactly one piece, so equal findings come from one line only
-    and are dropped there, without a shuffle.
+    and are dropped there, without a shuffle. A piece that cannot be read fails the scan; see ``scan_readable`` for another way.
     """
     pieces = read_files(list_files(spark, root)).withColumnRenamed("path", "file")
-    found = detect(pieces, rules, "file", "first_line", which=which, distinct=True)
-    line = F.col("line") + F.col("first_line") - 1
-    return found.select("file", line.alias("line"), "type", "match")
+    return _placed(detect(pieces, rules, "file", "first_line", which=which, distinct=True))
+
+
+def scan_readable(spark: SparkSession, files: DataFrame, rules: list[Rule], which=ALL,
+                  piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Findings of the listed ``files`` (``path, size``) as far as they can be read, and a row
+    ``(path, piece, reason)`` for every piece that cannot, after several attempts.
+
+    Files are read once; both tables come from one stored result. Lines behind an unreadable piece of the same file have findings with a null line,
+    as nobody knows how many lines the piece has.
+    """
+    pieces = read_files(files, piece_bytes, on_error="reject").withColumnRenamed("path", "file")
+    found = stored(detect(pieces, rules, "file", "piece", "first_line", "reason", which=which, distinct=True, always=F.col("reason").isNotNull()))
+    rejects = found.where("type IS NULL").select(F.col("file").alias("path"), "piece", "reason")
+    # Equal findings of one file whose lines are unknown cannot be told apart.
+    return _placed(found.where("type IS NOT NULL")), rejects
 
 
 class HistoryScan:

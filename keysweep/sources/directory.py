@@ -10,12 +10,14 @@ falls to one task.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keysweep.fixed_values import SKIP_DIRS
@@ -27,6 +29,9 @@ _BATCH_BYTES = 32 << 20
 _BEHIND_BYTES = 1 << 20
 _TASK_BYTES = 1 << 30
 _LISTED_ROWS = 10_000
+# Attempts to read a piece, and the seconds before the second one; each later one waits twice as long.
+READ_ATTEMPTS = 4
+RETRY_SECONDS = 0.2
 _LISTED = "path string, size long, is_dir boolean"
 
 
@@ -118,6 +123,8 @@ def read_piece(path: str, size: int, piece: int, piece_bytes: int, limit: int |
     start, end = piece * piece_bytes, min((piece + 1) * piece_bytes, size)
     before = min(start, 1)  # tells whether the stretch begins at the start of a line
     data = _read(path, start - before, end - start + before)
+    if len(data) < end - start + before:
+        raise OSError(f"the file ends before byte {end}, which it had when it was listed")
     first = data.find(b"\n", 0, end - start + before) + 1 if before else 0
     if before and first == 0 or first >= end - start + before:
         return b""
@@ -134,12 +141,21 @@ def read_piece(path: str, size: int, piece: int, piece_bytes: int, limit: int |
     return b"".join(parts)
 
 
-def _pieces(batch: pd.DataFrame, piece_bytes: int, limit: int | None) -> Iterator[tuple[int, bytes]]:
+def _pieces(batch: pd.DataFrame, piece_bytes: int, limit: int | None, on_error: str) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """Row, bytes and null, or row, null and the reason. Never is a row left out."""
     for at, (path, size, piece) in enumerate(zip(batch["path"], batch["size"], batch["piece"])):
-        try:
-            yield at, read_piece(path, size, piece, piece_bytes, limit)
-        except OSError:
-            continue  # a file that cannot be read has no findings
+        data = reason = None
+        for attempt in range(READ_ATTEMPTS):
+            if attempt:
+                time.sleep(RETRY_SECONDS * 2 ** (attempt - 1))
+            try:
+                data, reason = read_piece(path, size, piece, piece_bytes, limit), None
+                break
+            except (OSError, pa.ArrowException) as problem:
+                reason = f"{type(problem).__name__}: {problem}"
+                if on_error == "fail" and attempt + 1 == READ_ATTEMPTS:
+                    raise  # the task fails and is repeated elsewhere
+        yield at, data, reason
 
 
 def _measure(data: bytes, limit: int | None) -> tuple[int, int | None]:
@@ -150,22 +166,22 @@ def _measure(data: bytes, limit: int | None) -> tuple[int, int | None]:
     return len(edges) - 1, int(long[0]) + 1 if len(long) else None
 
 
-def _measured(piece_bytes: int, limit: int | None):
+def _measured(piece_bytes: int, limit: int | None, on_error: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(batch["path"].iat[at], batch["piece"].iat[at], *_measure(data, limit))
-                    for at, data in _pieces(batch, piece_bytes, limit)]
-            yield pd.DataFrame(rows, columns=["path", "piece", "lines", "long"]).astype({"long": "Int64"})
+            rows = [(batch["path"].iat[at], batch["piece"].iat[at], *(_measure(data, limit) if data is not None else (None, None)))
+                    for at, data, _ in _pieces(batch, piece_bytes, limit, on_error)]
+            yield pd.DataFrame(rows, columns=["path", "piece", "lines", "long"]).astype({"lines": "Int64", "long": "Int64"})
     return run
 
 
-def _contents(piece_bytes: int, limit: int | None):
+def _contents(piece_bytes: int, limit: int | None, on_error: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
-            for at, data in _pieces(batch, piece_bytes, limit):
-                rows.append((batch["path"].iat[at], batch["first_line"].iat[at], batch["stop_line"].iat[at], data))
-                held += len(data)
+            for at, data, reason in _pieces(batch, piece_bytes, limit, on_error):
+                rows.append((batch["path"].iat[at], batch["piece"].iat[at], batch["first_line"].iat[at], batch["stop_line"].iat[at], data, reason))
+                held += len(data or b"")
                 if held >= _BATCH_BYTES:
                     yield _frame(rows)
                     rows, held = [], 0
@@ -175,12 +191,16 @@ def _contents(piece_bytes: int, limit: int | None):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["path", "first_line", "stop_line", "bytes"])
-    return frame.astype({"stop_line": "Int64"})
+    frame = pd.DataFrame(rows, columns=["path", "piece", "first_line", "stop_line", "bytes", "reason"])
+    return frame.astype({"first_line": "Int64", "stop_line": "Int64"})
 
 
-def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES, limit: int | None = None) -> DataFrame:
-    """``(path, first_line, stop_line, content)`` of listed files, one row per piece.
+def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES, limit: int | None = None, on_error: str = "fail") -> DataFrame:
+    """``(path, piece, first_line, stop_line, content, reason)`` of listed files, one row per piece.
+
+    A piece that cannot be read, or is shorter than it was when listed, is tried again. Then ``on_error="fail"`` fails the task, which Spark repeats and
+    at last the job; ``"reject"`` gives a row with a null content and the ``reason``, and pieces behind it have a null ``first_line``
+    if their lines could not be counted. No piece is left out.
 
     Files of more than one piece are read once more beforehand to number their lines. ``stop_line`` is null unless a ``limit``
     is given; then it is the first line of the file that is so long, which the limit of ``number_lines`` also stops at.
@@ -188,20 +208,23 @@ def read_files(files: DataFrame, piece_bytes: int = PIECE_BYTES, limit: int | No
     is_large = F.col("size") > piece_bytes
     total, large_total = files.agg(
         F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(is_large, F.col("size"))), F.lit(0))).first()
+    if on_error not in ("fail", "reject"):
+        raise ValueError(f"on_error is fail or reject, not {on_error!r}")
     cores = files.sparkSession.sparkContext.defaultParallelism
     last = F.floor((F.col("size") - 1) / piece_bytes).cast("long")
     pieces = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     if large_total:
-        numbered = pieces.join(_offsets(pieces.where(is_large), _tasks(large_total, cores), piece_bytes, limit),
+        numbered = pieces.join(_offsets(pieces.where(is_large), _tasks(large_total, cores), piece_bytes, limit, on_error),
                                ["path", "piece"], "left")
     else:
         numbered = pieces.withColumns({"first_line": F.lit(None), "stop_line": F.lit(None)})
-    numbered = numbered.select("path", "size", "piece", F.coalesce("first_line", F.lit(1)).cast("long").alias("first_line"),
+    first = F.when(is_large & (F.col("piece") > 0), F.col("first_line")).otherwise(1)
+    numbered = numbered.select("path", "size", "piece", first.cast("long").alias("first_line"),
                                F.col("stop_line").cast("long").alias("stop_line"))
     read = numbered.repartition(_tasks(total, cores), "path", "piece").mapInPandas(
-        _contents(piece_bytes, limit), "path string, first_line long, stop_line long, bytes binary")
-    return read.select("path", "first_line", "stop_line",
-                       F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"))
+        _contents(piece_bytes, limit, on_error), "path string, piece long, first_line long, stop_line long, bytes binary, reason string")
+    return read.select("path", "piece", "first_line", "stop_line",
+                       F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"), "reason")
 
 
 def _tasks(total: int, cores: int) -> int:
@@ -209,13 +232,15 @@ def _tasks(total: int, cores: int) -> int:
     return max(cores, total // _TASK_BYTES)
 
 
-def _offsets(pieces: DataFrame, tasks: int, piece_bytes: int, limit: int | None) -> DataFrame:
+def _offsets(pieces: DataFrame, tasks: int, piece_bytes: int, limit: int | None, on_error: str) -> DataFrame:
     """First line of every piece, and first line of its file that is not scanned."""
     counted = stored(pieces.repartition(tasks, "path", "piece").mapInPandas(
-        _measured(piece_bytes, limit), "path string, piece long, lines long, long long"))
+        _measured(piece_bytes, limit, on_error), "path string, piece long, lines long, long long"))
     # One row per piece of a file is sorted here, not its lines.
     before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.select("path", "piece", "long",
-                           (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1).alias("first_line"))
+                           # Unknown behind a piece whose lines could not be counted.
+                           F.when(F.count_if(F.col("lines").isNull()).over(before) == 0,
+                                  F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1).alias("first_line"))
     stop = F.min(F.col("first_line") + F.col("long") - 1).over(Window.partitionBy("path"))
     return first.select("path", "piece", "first_line", stop.alias("stop_line"))

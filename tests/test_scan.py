@@ -3,10 +3,11 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from keysweep import load_rules, scan_directory, scan_files, write_report
+from keysweep import load_rules, scan_directory, scan_files, scan_readable, write_report
 from keysweep.catalog import corpus
 from keysweep.fixed_values import LINE_LIMIT_BYTES
 from keysweep.operators import findings as found_ops
@@ -274,3 +275,56 @@ def test_lines_of_any_length_are_scanned(spark, rules, tmp_path):
     pieces = directory.read_files(directory.list_files(spark, str(tmp_path)), 1 << 19)
     found = detect(pieces, rules, "first_line", which=("signature",)).collect()
     assert {r.line + r.first_line - 1 for r in found} == {2, 3}
+
+
+def test_unreadable_pieces_are_reported(spark, rules, tmp_path):
+    def line(n):
+        return f'token = "ghp_{n:036d}"\n'.encode()
+    whole = b"".join(line(n) for n in range(3000))
+    for name in ("a.py", "gone.py", "b.py"):
+        (tmp_path / name).write_bytes(whole)
+    (tmp_path / "small.py").write_bytes(line(7))
+    files = store.stored(directory.list_files(spark, str(tmp_path)))
+    size = 20_000
+    (tmp_path / "gone.py").unlink()
+    (tmp_path / "b.py").write_bytes(whole[:90_000])
+    found, rejects = scan_readable(spark, files, rules, piece_bytes=size)
+    lost = {(r.path.rsplit("/", 1)[1], r.piece): r.reason for r in rejects.collect()}
+    last = -(-len(whole) // size)
+    assert set(lost) == {("gone.py", p) for p in range(last)} | {("b.py", p) for p in range(4, last)}
+    assert "FileNotFoundError" in lost["gone.py", 0] and "ends before" in lost["b.py", 4]
+    # Lines that begin in the pieces that are still there, the last one to its end.
+    want = [("a.py", n + 1, n) for n in range(3000)] + [("b.py", n + 1, n) for n in range(3000) if n * len(line(0)) < 80_000] + [("small.py", 1, 7)]
+    got = sorted((r.file.rsplit("/", 1)[1], r.line, int(r.match.split("_")[1][:36])) for r in found.where("type = 'GitHub Classic PAT'").collect())
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="FileNotFoundError|ends before"):
+        directory.read_files(files, size).count()
+
+
+def test_reading_is_tried_again(tmp_path, monkeypatch):
+    monkeypatch.setattr(directory, "RETRY_SECONDS", 0.0)
+    path = tmp_path / "a.py"
+    path.write_bytes(b"x\n" * 4000)
+    batch = pd.DataFrame({"path": [str(path)] * 4, "size": [8000] * 4, "piece": range(4)})
+    real, calls = directory._read, []
+
+    def broken(name, start, count):
+        calls.append(start)
+        if start == 1999 or calls.count(start) < 3:
+            raise OSError("no")
+        return real(name, start, count)
+    monkeypatch.setattr(directory, "_read", broken)
+    # Two failures are made good by further attempts; the second piece stays unreadable.
+    parts = list(directory._pieces(batch, 2000, None, "reject"))
+    assert [p[0] for p in parts] == [0, 1, 2, 3] and [p[1] is None for p in parts] == [False, True, False, False]
+    assert parts[1][2] == "OSError: no"
+    with pytest.raises(OSError):
+        list(directory._pieces(batch, 2000, None, "fail"))
+
+
+def test_numbers_are_unknown_behind_uncounted_lines(spark, monkeypatch):
+    counted = spark.createDataFrame([("a", 0, 5, None), ("a", 1, None, None), ("a", 2, 3, None), ("b", 0, 2, None), ("b", 1, 1, None)],
+                                    "path string, piece long, lines long, long long")
+    monkeypatch.setattr(directory, "stored", lambda frame: counted)
+    rows = directory._offsets(counted.select("path", "piece"), 2, 10, None, "reject").collect()
+    assert {(r.path, r.piece): r.first_line for r in rows} == {("a", 0): 1, ("a", 1): 6, ("a", 2): None, ("b", 0): 1, ("b", 1): 3}
