@@ -1,11 +1,13 @@
 """Removal of byte strings that an earlier document holds, by a logarithmic family of suffix arrays.
 
-Documents come in batches of rising ids. The suffixes of a batch, cut to the match length, are sorted into an array that names
-the smallest document of each; it is merge-scanned with itself and with all levels of earlier batches. Then it joins the family: levels
-of equal size merge, so there are only logarithmically many. Suffixes are sorted by two hashes of their first bytes,
-as only their equality over the match length counts. Suffixes whose smallest inner hash (a name that equal strings
-share) is in one document alone are left out beforehand. Neighbours that share that hash at one place go through the family as one entry
-of all their bytes first; one by one only if no earlier document has them all and other bytes stand around the same name.
+The arrays are sparse: of all suffixes they hold those that begin at an anchor. Every string of the match length has one anchor inside,
+which its bytes alone decide, so equal strings have theirs at the same place. An array orders the suffixes by a hash of their first bytes, in
+buckets, and says which chunk of documents each is from.
+
+A new batch of documents is sorted into an array of its own and merge-scanned with itself and with every level of the family: suffixes that
+begin alike in several documents are candidates. For these alone the bytes around the anchor meet, where all strings of the match length
+are put in byte order and equal ones get their smallest document. Then the batch becomes a level; levels of equal rank merge into one of the
+next, so there are logarithmically many. Levels and chunks stay where they are written, so later batches can meet them.
 """
 
 from __future__ import annotations
@@ -15,132 +17,431 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keysweep.llm.common import semi_join
-from keysweep.llm.windows import BASES, NONE, Kernel, covered, distinct_texts, least_at, listed, mixed, names_of, parts_of, place_arrays, \
-    stretches, text_key, window_hashes, windows_in, with_others
-from keysweep.plans.store import release, stored
+from keysweep.llm.common import SMALL_BYTES
+from keysweep.llm.windows import BASES, _spread, covered, least_at, mixed, window_hashes
+from keysweep.plans.store import release, size_in_bytes, stored
 
 MATCH_BYTES = 50
-BATCHES = 4
-#: Suffixes of one part of a stretch.
-BLOCK = 8
+BATCHES = 2
+#: Bytes of text of a chunk, a longer text alone; and of what a bucket holds suffixes of, on average.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Windows whose anchors are looked for at a time.
+SLICE = 1 << 21
+#: Bits of the hash of a suffix's first bytes.
+NAME_BITS = 48
+LAST = (1 << 63) - 1
+
 #: A number for each byte value.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
+_CHUNKS = "chunk long, n array<long>, known array<boolean>, sizes array<int>, data binary, lengths binary, offsets binary"
+_NAMES = "bucket int, chunk long, names binary, several binary"
+_LEVEL = "bucket int, names binary, chunks binary"
+_SCANNED = "kind int, bucket int, chunk long, a binary, b binary"
+_BYTES_OF = "bucket int, chunk long, fresh boolean, lengths binary, least binary, data binary"
+_ANSWERS = "bucket int, chunk long, which binary, least binary"
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that bytes of one rank lie together."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
 
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).reshape(-1)
 
-def kernel(size: int) -> Kernel:
-    """A window is named after the least hash of a third of its length inside it."""
-    inner = max(1, size // 3)
 
-    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        return _BYTES[np.frombuffer(b"".join(data), np.uint8)], np.array([len(d) for d in data], np.int64)
+def _pack_rising(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=x.dtype.type(0)))
 
-    def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(x) < size:
-            return NONE
-        ranks = window_hashes(x, inner)
-        at = least_at(ranks, size - inner + 1)
-        return ranks[at], at
 
-    return Kernel(size, code, anchors)
+def _unpack_rising(data: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.cumsum(_unpack(data, kind), dtype=kind)
 
 
-def matches(suffixes: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The stored ``suffixes`` (``id, h1, h2``, any others) with ``earlier``: whether a document with a smaller ``id`` has them too.
+def _inner(size: int) -> int:
+    return max(1, size // 3)
 
-    ``suffixes`` are released in the end, as are the levels.
+
+def stretches(data: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in a row with one anchor, of some texts in a row: how many there are, and how far into the first the anchor lies.
+
+    The anchor of a window is where the least hash of a third of its length lies. Windows that lie in two texts do not count.
     """
-    cuts = suffixes.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
-    levels: list[tuple[int, DataFrame]] = []  # (size class, array)
-    found = []
-    for low, high in zip(edges, edges[1:]):
-        batch = suffixes
-        batch = batch if low is None else batch.where(F.col("id") > low)
-        batch = batch if high is None else batch.where(F.col("id") <= high)
-        array = stored(_array(batch))
-        # The smallest document of a suffix, in this batch or in any level before it.
-        known = array
-        for _, level in levels:
-            known = known.unionByName(level)
-        known = known.groupBy("h1", "h2").agg(F.min("first").alias("first"))
-        found.append(stored(batch.join(known, ["h1", "h2"]).withColumn("earlier", F.col("first") < F.col("id")).drop("first")))
-        levels.append((0, array))
-        if high is None:
-            break
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
-            (rank, one), (_, two) = levels.pop(), levels.pop()
-            levels.append((rank + 1, stored(_array(one.unionByName(two).withColumnRenamed("first", "id")))))
-            release(one, two)
-    release(suffixes, *(level for _, level in levels))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    inner = _inner(size)
+    begin = np.cumsum(sizes) - sizes
+    windows = _spread(begin, np.maximum(sizes - size + 1, 0))
+    lengths, offsets = [], []
+    for a in range(0, len(windows), SLICE):
+        some = windows[a:a + SLICE]
+        low = some[0]
+        ranks = window_hashes(_BYTES[data[low:some[-1] + size]], inner)
+        at = least_at(ranks, size - inner + 1)[some - low].astype(np.int64) + low
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        lengths.append(np.diff(np.append(first, len(some))))
+        offsets.append(at[first] - some[first])
+    if not lengths:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(lengths), np.concatenate(offsets)
+
+
+class _Chunk:
+    """A row of the table of chunks, unpacked."""
+
+    def __init__(self, row: dict, size: int):
+        self.size, self.chunk = size, row["chunk"]
+        self.raw = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b""
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.n = np.array(row["n"], np.int64)
+        kind = np.min_scalar_type(size)
+        self.length, self.offset = (_unpack(row[c], kind.str).astype(np.int64) for c in ("lengths", "offsets"))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        count = np.maximum(self.sizes - size + 1, 0)
+        windows = _spread(self.begin, count)
+        # Of each stretch: its first window, and its document.
+        self.first = windows[np.cumsum(self.length) - self.length]
+        self.doc = np.searchsorted(self.begin + self.sizes, self.first, side="right")
+        anchor, names = self.first + self.offset, np.zeros(len(self.first), np.uint64)
+        for k in range(_inner(size)):
+            names = names * np.uint64(BASES[1]) + _BYTES[self.data[anchor + k]]
+        names = mixed(mixed(names)) >> np.uint64(64 - NAME_BITS)
+        self.order = np.argsort(names, kind="stable")
+        names = names[self.order]
+        self.at = np.flatnonzero(np.diff(names.astype(np.int64), prepend=-1))
+        self.names = names[self.at]
+
+    def buckets(self, count: int) -> Iterator[tuple[int, int, int]]:
+        """Number of a bucket, and where its distinct names begin and end."""
+        of = ((self.names >> np.uint64(NAME_BITS - 32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        return zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(of)).tolist())  # none without names
+
+    def several(self) -> np.ndarray:
+        """Names that several documents of the chunk have."""
+        last = np.append(self.at[1:], len(self.order))[:len(self.at)] - 1
+        return self.doc[self.order[self.at]] != self.doc[self.order[last]]
+
+    def candidates(self, count: int, bits: list[dict]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """By bucket: the distinct byte strings of the candidate stretches, and of each stretch its number and that of its bytes."""
+        chosen = {b["bucket"]: np.unpackbits(np.frombuffer(b["a"], np.uint8)).astype(bool) for b in bits}
+        ends = np.append(self.at[1:], len(self.order))[:len(self.at)]
+        for bucket, a, b in self.buckets(count):
+            if bucket not in chosen:
+                continue
+            which = np.flatnonzero(chosen[bucket][:b - a]) + a
+            held = self.order[_spread(self.at[which], ends[which] - self.at[which])]
+            number: dict[bytes, int] = {}
+            low, high = self.first[held].tolist(), (self.first[held] + self.length[held] - 1 + self.size).tolist()
+            own = np.array([number.setdefault(self.raw[x:y], len(number)) for x, y in zip(low, high)], np.int64)
+            yield bucket, list(number), held, own
+
+    def least(self, own: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+        """The smallest document of each of ``n`` byte strings."""
+        out = np.full(n, LAST, np.int64)
+        np.minimum.at(out, own, self.n[self.doc[held]])
+        return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _fields(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()),
+             "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
+
+def chunks(docs: DataFrame, batch_number: int, size: int, chunk_bytes: int) -> DataFrame:
+    """Chunks of the documents ``id, t`` with their stretches; a null id is larger than any other."""
+    schema, kind = _fields(_CHUNKS), np.min_scalar_type(size)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = batch_number << 48 | TaskContext.get().partitionId() << 24
+        ids: list = []
+        texts: list[bytes] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            data, sizes = b"".join(texts), np.array([len(t) for t in texts], np.int64)
+            lengths, offsets = stretches(np.frombuffer(data, np.uint8), sizes, size)
+            row = (number, [LAST if i is None else i for i in ids], [i is not None for i in ids], sizes.tolist(),
+                   zstandard.ZstdCompressor(level=3).compress(data), _pack(lengths.astype(kind)), _pack(offsets.astype(kind)))
+            return _batch([row], schema)
+
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("t")):
+                ids.append(i)
+                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                held += len(texts[-1]) + 16
+                if held >= chunk_bytes:
+                    yield out()
+                    ids, texts, held, number = [], [], 0, number + 1
+        if ids:
+            yield out()
+
+    return docs.select("id", "t").mapInArrow(of, _CHUNKS)
+
+
+def suffix_names(held: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Of each chunk and bucket the distinct names of its suffixes in order, and which ones several of its documents have."""
+    schema = _fields(_NAMES)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = _Chunk(row, size)
+            several = chunk.several()
+            rows = [(k, chunk.chunk, _pack_rising(chunk.names[a:b]), np.packbits(several[a:b]).tobytes()) for k, a, b in chunk.buckets(buckets)]
+            if rows:
+                yield _batch(rows, schema)
+
+    return held.mapInArrow(of, _NAMES)
+
+
+def _merge_scan(fresh: pa.Table, old: pa.Table) -> list[tuple]:
+    """Rows of ``_SCANNED`` for a bucket: candidates of each chunk (kind 0, bits over its names), and the batch's array (kind 1)."""
+    if not fresh.num_rows:
+        return []
+    names, chunk, several = [], [], []
+    for row in fresh.to_pylist():
+        names.append(_unpack_rising(row["names"]))
+        chunk.append(np.full(len(names[-1]), row["chunk"], np.int64))
+        several.append(np.unpackbits(np.frombuffer(row["several"], np.uint8))[:len(names[-1])].astype(bool))
+    n_fresh = sum(map(len, names))
+    for row in old.to_pylist():
+        names.append(_unpack_rising(row["names"]))
+        chunk.append(_unpack(row["chunks"], "<i8"))
+        several.append(np.zeros(len(names[-1]), bool))
+    name, chunk, several = map(np.concatenate, (names, chunk, several))
+    order = np.argsort(name, kind="stable")  # merges runs that are in order
+    first = np.flatnonzero(np.diff(name[order].astype(np.int64), prepend=-1))
+    length = np.diff(np.append(first, len(order)))
+    is_fresh = (order < n_fresh)
+    wanted = ((length > 1) | np.logical_or.reduceat(several[order], first)) & np.logical_or.reduceat(is_fresh, first)
+    chosen = np.zeros(len(name), bool)
+    chosen[order] = np.repeat(wanted, length)
+    bucket = fresh.column("bucket")[0].as_py()
+    out = []
+    by_chunk = np.lexsort((name, chunk))
+    edges = np.flatnonzero(np.diff(chunk[by_chunk], prepend=chunk[by_chunk[0]] - 1))
+    for a, b in zip(edges.tolist(), np.append(edges[1:], len(by_chunk)).tolist()):
+        bits = chosen[by_chunk[a:b]]
+        if bits.any():
+            out.append((0, bucket, int(chunk[by_chunk[a]]), np.packbits(bits).tobytes(), None))
+    own = order[is_fresh]
+    return [*out, (1, bucket, None, _pack_rising(name[own]), _pack(chunk[own]))]
+
+
+def candidate_bytes(held: DataFrame, size: int, buckets: int, fresh_from: int) -> DataFrame:
+    """Of each chunk (with its ``bits``) and bucket the distinct byte strings of candidates, each with its smallest document."""
+    schema = _fields(_BYTES_OF)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = _Chunk(row, size)
+            kind = np.min_scalar_type(2 * size)
+            for bucket, found, which, own in chunk.candidates(buckets, row["bits"]):
+                lengths = np.array([len(f) for f in found], kind)
+                yield _batch([(bucket, chunk.chunk, chunk.chunk >= fresh_from, _pack(lengths), _pack(chunk.least(own, which, len(found))),
+                               zstandard.ZstdCompressor(level=1).compress(b"".join(found)))], schema)
+
+    return held.mapInArrow(of, _BYTES_OF)
+
+
+def smallest(found: list[bytes], least: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each window of each distinct byte string, the smallest document (of ``least``, by string) that has the window."""
+    data = np.frombuffer(b"".join(found) + bytes(8), np.uint8)
+    lengths = np.array([len(f) for f in found], np.int64)
+    count = lengths - size + 1
+    at = _spread(np.cumsum(lengths) - lengths, count)
+    doc = np.repeat(least, count)
+    # Numbers of 8 bytes in byte order; the last one ends where the window does, or there are bytes one by one.
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").reshape(-1).astype(np.uint64)
+    steps = [*range(0, size - 8, 8), size - 8] if size >= 8 else []
+    keys = [words[at + s] for s in steps] or [data[at + s] for s in range(size)]
+    order = np.lexsort(keys[::-1])
+    changed = np.zeros(len(order), bool)
+    changed[:1] = True
+    for key in keys:
+        changed[1:] |= key[order[1:]] != key[order[:-1]]
+    first = np.flatnonzero(changed)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+    return np.split(out, np.cumsum(count)[:-1])
+
+
+def _answers(table: pa.Table, size: int) -> list[tuple]:
+    """Rows of ``_ANSWERS`` for a bucket: where a chunk's own smallest document of a byte string is not that of all its windows."""
+    kind = np.min_scalar_type(2 * size).str
+    rows, number, least = [], {}, []
+    for row in table.to_pylist():
+        data, at, own = zstandard.ZstdDecompressor().decompress(row["data"]), 0, []
+        for length, doc in zip(_unpack(row["lengths"], kind).tolist(), _unpack(row["least"], "<i8").tolist()):
+            k = number.setdefault(data[at:at + length], len(number))
+            at += length
+            if k == len(least):
+                least.append(doc)
+            elif doc < least[k]:
+                least[k] = doc
+            own.append((k, doc))
+        if row["fresh"]:
+            rows.append((row["bucket"], row["chunk"], own))
+    found = smallest(list(number), np.array(least, np.int64), size)
+    lowest = [int(f.min()) for f in found]
+    out = []
+    for bucket, chunk, own in rows:
+        which = [i for i, (k, doc) in enumerate(own) if lowest[k] < doc]
+        if which:
+            out.append((bucket, chunk, _pack(np.array(which, "<u4")), _pack(np.concatenate([found[own[i][0]] for i in which]))))
     return out
 
 
-def _array(suffixes: DataFrame) -> DataFrame:
-    """Distinct suffixes in order, each with its smallest document."""
-    return suffixes.groupBy("h1", "h2").agg(F.min("id").alias("first")).sortWithinPartitions("h1", "h2")
+def _with(held: DataFrame, rows: DataFrame, columns: list[str], name: str, how: str = "inner") -> DataFrame:
+    """Chunks with the stored ``rows`` about them as a list; these are broadcast if their measured size allows."""
+    small = size_in_bytes(rows) <= SMALL_BYTES
+    lists = rows.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(name))  # a row for each bucket and chunk at most
+    return held.join(F.broadcast(lists) if small else lists, "chunk", how)
+
+
+def cleaned(held: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Rows of documents from chunks with their ``bits`` and ``answers``."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("digest", pa.string()), ("spans", kind)])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = _Chunk(row, size)
+            answers = {a["bucket"]: a for a in row["answers"] or []}
+            starts = []
+            for bucket, found, which, own in chunk.candidates(buckets, row["bits"] or []):
+                mine, doc = chunk.least(own, which, len(found)), chunk.n[chunk.doc[which]]
+                least: dict[int, np.ndarray] = {}
+                if bucket in answers:
+                    at = _unpack(answers[bucket]["which"], "<u4").tolist()
+                    count = [len(found[i]) - size + 1 for i in at]
+                    least = dict(zip(at, np.split(_unpack(answers[bucket]["least"], "<i8"), np.cumsum(count)[:-1])))
+                # Without an answer the chunk's own smallest document is that of all windows.
+                for stretch, i, d, m in zip(which.tolist(), own.tolist(), doc.tolist(), mine[own].tolist()):
+                    first, length = int(chunk.first[stretch]), int(chunk.length[stretch])
+                    if i in least:
+                        starts.append(first + np.flatnonzero(least[i] < d))
+                    elif m < d:
+                        starts.append(np.arange(first, first + length))
+            start = np.concatenate([*starts, np.zeros(0, np.int64)])
+            gone = covered(len(chunk.data), start, start + size)
+            rows = []
+            for n, known, a, length in zip(chunk.n.tolist(), row["known"], chunk.begin.tolist(), chunk.sizes.tolist()):
+                out, data = gone[a:a + length], chunk.data[a:a + length]
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0])))).tolist()
+                spans = [{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2])]
+                rows.append((n if known else None, length, int(out.sum()), len(spans), hashlib.sha256(data[~out].tobytes()).hexdigest(), spans))
+            yield _batch(rows, schema)
+
+    return held.mapInArrow(of, "id long, n_bytes long, n_removed long, n_spans long, digest string, spans array<struct<start:long,end:long>>")
 
 
-def _open(found: DataFrame) -> DataFrame:
-    """``doc, pos, len`` of the entries that no earlier document has as a whole, but whose name has other bytes around it elsewhere."""
-    ends = found.groupBy("name").agg(*(f(h).alias(f"{f.__name__}_{h}") for f in (F.min, F.max) for h in ("h1", "h2")))
-    differ = stored(ends.where("min_h1 < max_h1 OR min_h2 < max_h2").select("name"))
-    return semi_join(found.where("NOT earlier"), differ, ["name"]).select("doc", "pos", "len")
+class SuffixFamily:
+    """Levels of suffix arrays and the chunks that they point into, kept between batches.
+
+    ``buckets`` is fixed for the life of a family: about so many as keep a bucket's share of all text small.
+    """
+
+    def __init__(self, spark: SparkSession, size: int = MATCH_BYTES, buckets: int = 64, chunk_bytes: int = CHUNK_BYTES):
+        self.spark, self.size, self.buckets, self.chunk_bytes = spark, size, buckets, chunk_bytes
+        self.levels: list[tuple[int, DataFrame]] = []  # rank and array
+        self.chunks: list[DataFrame] = []
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Judge the batch ``id, t`` by itself and all earlier batches, and keep it.
+
+        Rows as ``without_earlier`` gives them, stored. A document is judged when it comes: a later batch with smaller ids does not
+        change what was returned.
+        """
+        size, buckets = self.size, self.buckets
+        number = len(self.chunks) + 1
+        own = stored(chunks(docs, number, size, self.chunk_bytes))
+        levels = self.spark.createDataFrame([], _LEVEL)
+        for _, level in self.levels:
+            levels = levels.unionByName(level)
+        scanned_as, level_as = _fields(_SCANNED), _fields(_LEVEL)
+
+        def merge_scan(fresh, old):
+            rows = _merge_scan(fresh, old)
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), scanned_as)] if rows else [pa.array([], f.type) for f in scanned_as], schema=scanned_as)
+
+        names = suffix_names(own, size, buckets)
+        scanned = stored(names.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(merge_scan, _SCANNED))
+        bits = stored(scanned.where("kind = 0").select("chunk", "bucket", "a"))
+        every = own
+        for old in self.chunks:
+            every = every.unionByName(old)
+        found = candidate_bytes(_with(every, bits, ["bucket", "a"], "bits"), size, buckets, number << 48)
+        answers_as = _fields(_ANSWERS)
+
+        def answer(table):
+            rows = _answers(table, size)
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), answers_as)] if rows else [pa.array([], f.type) for f in answers_as], schema=answers_as)
+
+        answers = stored(found.groupBy("bucket").applyInArrow(answer, _ANSWERS))
+        judged = _with(_with(own, bits, ["bucket", "a"], "bits", "left"), answers, ["bucket", "which", "least"], "answers", "left")
+        out = stored(cleaned(judged, size, buckets))
+
+        level = stored(scanned.where("kind = 1").select("bucket", F.col("a").alias("names"), F.col("b").alias("chunks")))
+        release(scanned, bits, answers)
+        self.chunks.append(own)
+        self.levels.append((0, level))
+
+        def merge(table):
+            names = np.concatenate([_unpack_rising(x.as_py()) for x in table.column("names")])
+            chunk = np.concatenate([_unpack(x.as_py(), "<i8") for x in table.column("chunks")])
+            order = np.argsort(names, kind="stable")
+            return pa.Table.from_arrays([table.column("bucket").combine_chunks().slice(0, 1), pa.array([_pack_rising(names[order])], pa.binary()),
+                                         pa.array([_pack(chunk[order])], pa.binary())], schema=level_as)
+
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, stored(two.unionByName(one).groupBy("bucket").applyInArrow(merge, _LEVEL))))
+            release(one, two)
+        return out
+
+    def drop(self) -> None:
+        """Delete what is kept."""
+        release(*self.chunks, *(level for _, level in self.levels))
+        self.levels, self.chunks = [], []
 
 
 def without_earlier(docs: DataFrame, size: int = MATCH_BYTES, id_col: str = "doc_id", text_col: str = "text",
-                    batches: int = BATCHES) -> DataFrame:
+                    batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``id, n_bytes, n_removed, n_spans, digest, spans``, for whole-number ids.
 
     Each byte (UTF-8) covered by ``size`` bytes that also start in a document with a smaller id goes; ``spans`` are the removed
     runs as ``(start, end)``, ``digest`` is the SHA-256 of the bytes that stay. Null and empty texts have no bytes. A null id is larger
     than any other; rows with the same id do not remove each other's bytes. An empty table gives no rows. Only the
-    two columns are read. A text that a smaller id has as a whole goes as a whole, so copies are searched once.
+    two columns are read. Documents go into a new family in ``batches`` of rising ids; use ``SuffixFamily`` to keep one.
     """
-    last = (1 << 63) - 1
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("n"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    texts = distinct_texts(docs, "n", "t")
-    of = kernel(size)
-    named = stored(names_of(texts, of))
-    again = stored(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
-    found = stored(stretches(texts, named, again, of, "least").withColumnRenamed("least", "id"))
-    release(named, again)
-    found = matches(found, batches)
-    # Where stretches of one name differ, first parts of them, then single windows decide.
-    finer = of.finer(min(BLOCK, size))
-    parts = matches(with_others(stored(parts_of(texts, _open(found), finer, "least").withColumnRenamed("least", "id"))), batches)
-    single = matches(stored(windows_in(texts, _open(parts), of, "least").withColumnRenamed("least", "id")), batches)
-    earlier = [f.where("earlier").select("doc", "pos", "len") for f in (found, parts, single.withColumn("len", F.lit(1)))]
-    hits = listed(earlier[0].unionByName(earlier[1]).unionByName(earlier[2]))
-
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            total, gone, digest, all_spans = [], [], [], []
-            for t, places in zip(batch.column("t"), batch.column("places")):
-                data = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                pos, length = place_arrays(places)
-                out = covered(len(data), pos, pos + length - 1 + size)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0])))).tolist()
-                total.append(len(data))
-                gone.append(int(out.sum()))
-                digest.append(hashlib.sha256(data[~out].tobytes()).hexdigest())
-                all_spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("least"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                                              pa.array(digest, pa.string()), pa.array(all_spans, kind)],
-                                             names=["key", "least", "n_bytes", "n_removed", "digest", "spans"])
-
-    done = stored(texts.select("doc", "key", "t", "least").join(hits, "doc", "left").select("key", "least", "t", "places").mapInArrow(
-        cleaned, "key binary, least long, n_bytes long, n_removed long, digest string, spans array<struct<start:long,end:long>>"))
-    rows = docs.select("n", "id", text_key(F.coalesce(F.col("t").cast("string"), F.lit(""))).alias("key")).join(done, "key")
-    whole = (F.col("n") > F.col("least")) & (F.col("n_bytes") >= size)
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    return rows.withColumn("spans", F.when(whole, everything).otherwise(F.col("spans"))).select(
-        "id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("digest")).alias("digest"), "spans")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    total, cuts = rows.agg(F.sum(F.octet_length("t")), F.percentile_approx("id", [i / batches for i in range(1, batches)] or [1.0], 10_000)).first()
+    edges = [None, *(sorted(set(cuts or [])) if batches > 1 else []), None]
+    family = SuffixFamily(spark, size, max(1, -(-(total or 0) // bucket_bytes)), chunk_bytes)
+    out = None
+    for low, high in zip(edges, edges[1:]):
+        # Null ids are last.
+        part = rows if low is None else rows.where(F.col("id").isNull() | (F.col("id") > low))
+        part = part if high is None else part.where(F.col("id") <= high)
+        done = family.add(part)
+        out = done if out is None else out.unionByName(done)
+    family.drop()
+    return out

@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 
 from keysweep.llm.recompression import kernel, without_repeats, words
-from keysweep.llm.suffixes import without_earlier
+from keysweep.llm import suffixes
+from keysweep.llm.suffixes import SuffixFamily, without_earlier
 from keysweep.llm.windows import least_at
 
 
@@ -60,14 +61,48 @@ def test_words(make_docs, seed):
     assert 0 < sum(r[2] for r in got) < sum(r[1] for r in got)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes(make_docs, seed):
+@pytest.mark.parametrize("seed,settings", [(1, {}), (2, {}), (1, {"batches": 5, "chunk_bytes": 300, "bucket_bytes": 700}), (2, {"batches": 1, "chunk_bytes": 2000, "bucket_bytes": 50})])
+def test_bytes(make_docs, seed, settings):
     rows = rows_of(seed)
-    got = without_earlier(make_docs(rows))
+    got = without_earlier(make_docs(rows).repartition(3), **settings)
     got = [tuple(r) for r in got.select("id", "n_bytes", "n_removed", "n_spans", "digest").collect()]
     assert sorted(got, key=str) == sorted(brute_bytes(rows, 50), key=str)
 
 
+def test_a_kept_family_meets_later_batches(spark, make_docs):
+    rows = [(i, t) for i, t in enumerate(some_texts(7, 60))]
+    want = {r[0]: r[1:] for r in brute_bytes(rows, 50)}
+    family = SuffixFamily(spark, buckets=5, chunk_bytes=500)
+    ranks = []
+    for a in range(0, len(rows), 12):
+        batch = make_docs(rows[a:a + 12]).selectExpr("doc_id AS id", "text AS t")
+        got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["digest"]) for r in family.add(batch).collect()}
+        assert got == {i: want[i] for i, _ in rows[a:a + 12]}
+        ranks.append([rank for rank, _ in family.levels])
+    # Levels of equal rank have merged, as carries in a binary counter.
+    assert ranks == [[i for i in range(9, -1, -1) if n >> i & 1] for n in range(1, len(ranks) + 1)]
+    assert family.add(make_docs([]).selectExpr("doc_id AS id", "text AS t")).collect() == []
+    # A batch that comes late is judged by smaller ids only.
+    text = next(t for _, t in rows if t and len(t) > 99)
+    late = family.add(make_docs([(10_000, text), (-1, text)]).selectExpr("doc_id AS id", "text AS t")).collect()
+    assert {r["id"]: r["n_removed"] for r in late} == {10_000: len(text.encode()), -1: 0}
+    family.drop()
+
+
+def test_smallest_document_of_every_window():
+    import numpy as np
+    rng = random.Random(8)
+    for size in (3, 8, 9, 16, 50):
+        found = list({bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(size, size + 9))) for _ in range(60)})
+        least = np.array([rng.randrange(20) for _ in found])
+        first: dict = {}
+        for f, n in zip(found, least.tolist()):
+            for k in range(len(f) - size + 1):
+                first[f[k:k + size]] = min(first.get(f[k:k + size], n), n)
+        got = suffixes.smallest(found, least, size)
+        assert [g.tolist() for g in got] == [[first[f[k:k + size]] for k in range(len(f) - size + 1)] for f in found]
+
+
 def test_equal_windows_have_equal_names():
     rng = random.Random(5)
     of = kernel(35)
