@@ -1,8 +1,11 @@
 """Phrase collocations, counted in burst tries over word numbers.
 
-Every place of a text is a path of up to four words. Tasks count paths in a trie: its leaves are hash tables that hold ranges of paths and
-burst into narrower ones, by the first word, then the next. When a task holds too much, whole subtrees leave it as sorted runs, cut by a
-hash of their first three words, and the runs of one such prefix partition are merged wherever Spark puts it.
+Every place of a text is a path of words. Tasks count paths in a trie: its leaves are hash tables that hold ranges of paths and burst into
+narrower ones, by the first word, then the next. When a task holds too much, whole subtrees leave it as sorted runs, cut by a hash of
+their first words, and the runs of one such prefix partition are merged wherever Spark puts it.
+
+Words are counted first, then pairs of words that may be frequent, then paths of three and four whose pairs may be: a phrase is never more
+frequent than a part of it. A filter of fixed size tells which may be; what it lets through needlessly only costs time.
 """
 
 from __future__ import annotations
@@ -10,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,10 @@ TOP = 2000
 COVERING = 80
 NO_LANG = "und"
 
-#: Entries of a leaf before it bursts, and of a trie before subtrees are spilled. Word numbers are 16 bits of a path, 0 for none.
-LEAF_ENTRIES = 1 << 13
-TRIE_ENTRIES = 1 << 20
+#: Entries of a leaf before it bursts, and of a task's tries before subtrees are spilled.
+LEAF_ENTRIES = 1 << 14
+TRIE_ENTRIES = 1 << 21
+#: Numbers of words in paths of four, 16 bits each; 0 is none. Pairs have 32 bits for each.
 MAX_WORD_IDS = (1 << 16) - 1
 #: Text bytes of a prefix partition, on average; a partition is merged in one piece.
 PART_BYTES = 16 << 20
@@ -38,8 +41,8 @@ PART_BYTES = 16 << 20
 FILTER_BITS = 1 << 24
 #: Words that a task counts before it hands the counts on.
 COUNTED_WORDS = 1 << 18
-#: Bytes of text, and words, that are worked on at a time; so many words leave room in the numbers.
-CHUNK, STEP = 1 << 20, 1 << 15
+#: Bytes of text, and words, that are worked on at a time.
+CHUNK, STEP = 1 << 20, 1 << 17
 #: Words that a task remembers the numbers of.
 KNOWN_WORDS = 1 << 18
 
@@ -94,8 +97,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         yield lang, b"\n".join(parts)
 
 
-def bucket(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\n" + word) % FILTER_BITS
+def word_hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\n" + word)
+
+
+def joint_hash(hashes: np.ndarray) -> np.ndarray:
+    """One hash for the hashes of some words in a row (along the last axis)."""
+    out = np.zeros(hashes.shape[:-1], np.uint64)
+    for k in range(hashes.shape[-1]):
+        out = (out ^ hashes[..., k]) * np.uint64(_ODD[k % 3])
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -122,95 +134,142 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _filter(frequent: DataFrame) -> np.ndarray:
-    """A bit for each bucket that a frequent word is in."""
+    """A bit for the hash of each phrase (``lang, phrase``, of one length all), ``FILTER_BITS`` in all."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [1 + bucket(lang, word.encode("utf-8", "surrogatepass")) for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+            hashes = np.array([[word_hash(lang, w) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")]
+                               for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())], np.uint64)
+            if len(hashes):
+                at = (hashes[:, 0] if hashes.shape[1] == 1 else joint_hash(hashes)) % np.uint64(FILTER_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + 1)], names=["at"])
 
-    at = frequent.mapInArrow(of, "at bigint")
+    at = frequent.select("lang", "phrase").mapInArrow(of, "at bigint")
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in rows:  # 4 KiB each, 2 MiB at most
+    for row in rows:  # 4 KiB each, ``FILTER_BITS`` in all
         bits = np.frombuffer(row["bits"], np.uint8)
         out[(row["n"] - 1) * len(bits):row["n"] * len(bits)] = bits
     return out
 
 
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+class Leaf:
+    """Counts by key in open addressing; 0 is no key."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = np.zeros(64, np.uint64), np.zeros(64, np.int64), 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct ``keys``."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            old = self.items()
+            room = len(self.keys)
+            while 2 * (self.size + len(keys)) > room:
+                room *= 2
+            self.keys, self.counts, self.size = np.zeros(room, np.uint64), np.zeros(room, np.int64), 0
+            self._put(*old)
+        self._put(keys, counts)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        at = ((keys * np.uint64(_ODD[0])) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            # Of several keys that find one place free, one gets it.
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.size += int(np.count_nonzero(mine & free))
+            self.counts[at[mine]] += counts[mine]
+            rest = ~mine
+            keys, counts, at = keys[rest], counts[rest], (at[rest] + 1) & last
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        held = self.keys > 0
+        return self.keys[held], self.counts[held]
+
+
 class Trie:
-    """Counts of paths of four 16-bit word numbers, packed into 64 bits.
+    """Counts of paths, word numbers of ``bits`` bits packed into 64.
 
-    Leaves are hash tables. Each holds a range of paths, at first all of them; one that grows too large bursts at the word boundary
-    nearest to its middle: between first words as long as it holds several, else between second words, and so on.
+    Each leaf holds a range of paths, at first all of them; one that grows too large bursts at the word boundary nearest to its
+    middle: between first words as long as it holds several, else between second words, and so on.
     """
 
-    def __init__(self, leaf_entries: int = LEAF_ENTRIES, entries: int = TRIE_ENTRIES):
-        self.leaf_entries, self.limit = leaf_entries, entries
-        self.lows, self.leaves, self.size = [0], [Counter()], 0
+    def __init__(self, bits: int, leaf_entries: int = LEAF_ENTRIES):
+        self.bits, self.leaf_entries = bits, leaf_entries
+        self.lows, self.leaves, self.size = [0], [Leaf()], 0
 
     def add(self, paths: np.ndarray) -> None:
-        paths = np.sort(paths)
+        paths, counts = np.unique(paths, return_counts=True)
         cuts = [0, *np.searchsorted(paths, np.array(self.lows[1:], np.uint64)).tolist(), len(paths)]
         full = []
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                before = len(self.leaves[i])
-                self.leaves[i].update(paths[a:b].tolist())
-                self.size += len(self.leaves[i]) - before
-                if len(self.leaves[i]) > self.leaf_entries:
+                leaf = self.leaves[i]
+                self.size -= leaf.size
+                leaf.add(paths[a:b], counts[a:b])
+                self.size += leaf.size
+                if leaf.size > self.leaf_entries:
                     full.append(i)
         for i in reversed(full):
-            parts = self._burst(self.lows[i], self.leaves[i])
+            paths, counts = self.leaves[i].items()
+            order = np.argsort(paths)
+            parts = list(self._burst(self.lows[i], paths[order], counts[order]))
             self.lows[i:i + 1], self.leaves[i:i + 1] = [p[0] for p in parts], [p[1] for p in parts]
 
-    def _burst(self, low: int, leaf: Counter) -> list[tuple[int, Counter]]:
-        if len(leaf) <= self.leaf_entries:
-            return [(low, leaf)]
-        keys = sorted(leaf)
-        middle, first, last = keys[len(keys) // 2], keys[0], keys[-1]
-        for shift in (48, 32, 16, 0):
+    def _burst(self, low: int, paths: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, Leaf]]:
+        if len(paths) <= self.leaf_entries:
+            leaf = Leaf()
+            leaf.add(paths, counts)
+            yield low, leaf
+            return
+        middle, first, last = int(paths[len(paths) // 2]), int(paths[0]), int(paths[-1])
+        for shift in range(64 - self.bits, -1, -self.bits):
             cut = middle >> shift << shift
             if cut <= first:  # the middle's word begins the leaf: cut behind that word
                 cut += 1 << shift
             if first < cut <= last:
                 break
-        low_part, high_part = Counter(), Counter()
-        for key, n in leaf.items():
-            (low_part if key < cut else high_part)[key] = n
-        return [*self._burst(low, low_part), *self._burst(cut, high_part)]
+        at = int(np.searchsorted(paths, np.uint64(cut)))
+        yield from self._burst(low, paths[:at], counts[:at])
+        yield from self._burst(cut, paths[at:], counts[at:])
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Paths in order and their counts, of whole subtrees, the largest first, until at most ``keep`` entries are left."""
-        gone: list[Counter] = []
-        for i in sorted(range(len(self.leaves)), key=lambda i: -len(self.leaves[i])):
+        gone = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for i in sorted(range(len(self.leaves)), key=lambda i: -self.leaves[i].size):
             if self.size <= keep:
                 break
-            gone.append(self.leaves[i])
-            self.size -= len(self.leaves[i])
-            self.leaves[i] = Counter()
-        n = sum(map(len, gone))
-        paths, counts = np.fromiter(chain(*gone), np.uint64, n), np.fromiter(chain(*(g.values() for g in gone)), np.int64, n)
+            gone.append(self.leaves[i].items())
+            self.size -= self.leaves[i].size
+            self.leaves[i] = Leaf()
+        paths, counts = (np.concatenate(c) for c in zip(*gone))
         order = np.argsort(paths)
         return paths[order], counts[order]
 
 
 class _Words(dict):
-    """Numbers of words from 1 on; 0 for words that are not frequent in their language, as for breaks."""
+    """Numbers of words from 1 on; 0 for breaks and for words that cannot be frequent in their language."""
 
-    def __init__(self, lang: str, passing: np.ndarray):
+    def __init__(self, lang: str, passing: bytes):
         super().__init__({b"\n": 0})
-        self.lang, self.passing, self.held = lang, passing, [b""]
+        self.lang, self.passing, self.held, self.hashes = lang, passing, [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
-        at = bucket(self.lang, word)
+        hashed = word_hash(self.lang, word)
+        at = hashed % FILTER_BITS
         number = 0
         if self.passing[at >> 3] >> (at & 7) & 1:
             number = len(self.held)
             self.held.append(word)
+            self.hashes.append(hashed)
         self[word] = number
         return number
 
-
     def forget(self) -> None:
         """Only numbered words stay."""
         rare = [w for w, i in self.items() if not i and w != b"\n"]
@@ -218,69 +277,137 @@ class _Words(dict):
             del self[w]
 
 
-def paths_of(numbers: np.ndarray, places: int) -> np.ndarray:
-    """Paths of the first ``places`` that have a second word: the pair, and with a third word the longest path up to four; 0 is a break."""
-    x = np.concatenate((numbers.astype(np.uint64), np.zeros(MAX_WORDS, np.uint64)))
-    w = [x[k:places + k] for k in range(MAX_WORDS)]
-    two = (w[0] > 0) & (w[1] > 0)
-    three = two & (w[2] > 0)
-    pair = (w[0] << np.uint64(48)) | (w[1] << np.uint64(32))
-    return np.concatenate((pair[two], (pair | (w[2] << np.uint64(16)) | w[3])[three]))
+class _Pairs:
+    """Paths of two words."""
+    bits, size, prefix = 32, 2, 2
+
+    def __init__(self, known: _Words):
+        self.known, self.held = known, known.held
+
+    def full(self, places: int) -> bool:
+        return False
+
+    def paths(self, numbers: np.ndarray, places: int) -> np.ndarray:
+        x = np.append(numbers, 0).astype(np.uint64)
+        first, second = x[:places], x[1:places + 1]
+        return ((first << np.uint64(32)) | second)[(first > 0) & (second > 0)]
+
+
+class _Longer:
+    """Paths of three words, and of four where the last pair may be frequent; their words have numbers of their own."""
+    bits, size, prefix = 16, 4, 3
+
+    def __init__(self, known: _Words, frequent: np.ndarray):
+        self.known, self.frequent, self.held, self.number = known, frequent, [b""], np.zeros(1, np.uint64)
+        self.hashes = np.zeros(1, np.uint64)
 
+    def full(self, places: int) -> bool:
+        return len(self.held) + places + MAX_WORDS > MAX_WORD_IDS
 
-_COMPRESS = zstandard.ZstdCompressor(level=1)
+    def paths(self, numbers: np.ndarray, places: int) -> np.ndarray:
+        if len(self.hashes) < len(self.known.hashes):
+            self.hashes = np.array(self.known.hashes, np.uint64)
+            self.number = np.append(self.number, np.zeros(len(self.hashes) - len(self.number), np.uint64))
+        x = np.concatenate((numbers, np.zeros(MAX_WORDS, np.int64)))
+        hashes = self.hashes[x]
+        pair = np.zeros(len(x), bool)
+        both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
+        pair[both] = passes(self.frequent, joint_hash(np.stack((hashes[both], hashes[both + 1]), axis=-1)))
+        at = np.flatnonzero(pair[:places] & pair[1:places + 1])
+        words = np.stack([x[at], x[at + 1], x[at + 2], np.where(pair[at + 2], x[at + 3], 0)])
+        new = np.unique(words)
+        new = new[(new > 0) & (self.number[new] == 0)]
+        self.number[new] = np.arange(len(self.held), len(self.held) + len(new), dtype=np.uint64)
+        self.held += [self.known.held[i] for i in new.tolist()]
+        out = np.zeros(len(at), np.uint64)
+        for w in words:
+            out = (out << np.uint64(16)) | self.number[w]
+        return out
 
 
-def _run(paths: np.ndarray, counts: np.ndarray, held: list[bytes], parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers byte by byte, so that bytes of one rank lie together; the first one rises."""
+    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    columns = np.ascontiguousarray(raw.reshape(size, 8, -1).transpose(0, 2, 1)).view("<u8")[..., 0].astype(np.int64)
+    columns[0] = np.cumsum(columns[0])
+    return columns
+
+
+def _run(paths: np.ndarray, counts: np.ndarray, kind: _Pairs | _Longer, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
     """A sorted run cut by prefix partition: its number, the words that it uses, and its paths and counts."""
-    ids = (paths[:, None] >> np.array([48, 32, 16, 0], np.uint64)).astype(np.uint16)
-    used = np.unique(ids)
-    hashes = np.zeros(len(used), np.uint64)
-    hashes[:] = [xxhash.xxh64_intdigest(held[i]) for i in used.tolist()]
-    h = hashes[np.searchsorted(used, ids[:, :3])]
-    mixed = h[:, 0] * np.uint64(_ODD[0]) + h[:, 1] * np.uint64(_ODD[1]) + h[:, 2] * np.uint64(_ODD[2])
-    part = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(_ODD[0]) >> np.uint64(33)) % np.uint64(parts)
+    shifts = [64 - kind.bits * (k + 1) for k in range(kind.size)]
+    ids = np.stack([((paths >> np.uint64(s)) & np.uint64((1 << kind.bits) - 1)).astype(np.int64) for s in shifts])
+    flag = np.zeros(len(kind.held), bool)
+    flag[ids] = True
+    hashes = np.zeros(len(kind.held), np.uint64)
+    used = np.flatnonzero(flag)
+    hashes[used] = np.fromiter((xxhash.xxh64_intdigest(kind.held[i]) for i in used.tolist()), np.uint64, len(used))
+    part = ((joint_hash(hashes[ids[:kind.prefix].T]) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    for a, b in zip(first := np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)), np.append(first[1:], len(part))):
-        rows = ids[order[a:b]]
-        own = np.unique(rows)
-        own = own if len(own) and own[0] == 0 else np.concatenate((np.zeros(1, np.uint16), own))
-        local = np.searchsorted(own, rows).astype("<u2")
-        data = local.T.tobytes() + counts[order[a:b]].astype("<i8").tobytes()
-        yield int(part[a]), _COMPRESS.compress(b" ".join(held[i] for i in own[1:].tolist())), _COMPRESS.compress(data)
-
-
-def runs(texts: DataFrame, passing, parts: int, leaf_entries: int = LEAF_ENTRIES, trie_entries: int = TRIE_ENTRIES) -> DataFrame:
-    """``lang, part, words, paths``: sorted runs of all tasks; ``passing`` is the filter of words, as a broadcast."""
+    part, ids, counts = part[order], ids[:, order], counts[order]
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    local = np.zeros(len(kind.held), np.int64)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(part)).tolist()):
+        rows = ids[:, a:b]
+        flag[:] = False
+        flag[rows] = True
+        flag[0] = True
+        own = np.flatnonzero(flag)
+        local[own] = np.arange(len(own))
+        held = b" ".join([kind.held[i] for i in own[1:].tolist()])
+        yield int(part[a]), zstandard.ZstdCompressor(level=1).compress(held), _pack([*local[rows], counts[a:b]])
+
+
+def runs(texts: DataFrame, passing, frequent, parts: int, leaf_entries: int = LEAF_ENTRIES, trie_entries: int = TRIE_ENTRIES) -> DataFrame:
+    """``lang, part, words, paths``: sorted runs of all tasks; ``passing`` is the filter of words, as a broadcast.
+
+    Paths are pairs or, with the filter ``frequent`` of pairs, those of three and four words.
+    """
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, tuple[_Words, Trie]] = {}
+        tries: dict[str, tuple[_Words, _Pairs | _Longer, Trie]] = {}
+        bits = passing.value.tobytes()
+
+        def fresh(lang: str) -> tuple[_Words, _Pairs | _Longer, Trie]:
+            known = _Words(lang, bits)
+            kind = _Pairs(known) if frequent is None else _Longer(known, frequent.value)
+            return known, kind, Trie(kind.bits, leaf_entries)
 
         def out(lang: str, keep: int = 0) -> Iterator[pa.RecordBatch]:
-            known, trie = tries[lang]
+            _, kind, trie = tries[lang]
             paths, counts = trie.spill(keep)
             if len(paths):
-                rows = list(zip(*_run(paths, counts, known.held, parts)))
+                rows = list(zip(*_run(paths, counts, kind, parts)))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows[0]), pa.string()), pa.array(rows[0], pa.int32()),
                                                   pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
                                                  names=["lang", "part", "words", "paths"])
 
         for lang, data in _chunks(batches):
             for found, places in steps(data):
-                if lang in tries and len(tries[lang][0].held) + len(found) > MAX_WORD_IDS:
-                    yield from out(lang)
-                    del tries[lang]
                 if lang not in tries:
-                    tries[lang] = _Words(lang, passing.value), Trie(leaf_entries, trie_entries)
-                known, trie = tries[lang]
-                trie.add(paths_of(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), places))
-                while sum(t.size for _, t in tries.values()) > trie_entries:
-                    largest = max(tries, key=lambda k: tries[k][1].size)
-                    yield from out(largest, tries[largest][1].size // 2)
-                if sum(len(k) for k, _ in tries.values()) > KNOWN_WORDS:
-                    for k, _ in tries.values():
+                    tries[lang] = fresh(lang)
+                known, kind, trie = tries[lang]
+                numbers = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                at, ahead = 0, MAX_WORDS - 1
+                while at < places:
+                    some = min(places - at, STEP if kind.bits == 32 else 1 << 13)
+                    if kind.full(some):  # numbers run out: begin anew
+                        yield from out(lang)
+                        kind, trie = _Longer(known, frequent.value), Trie(kind.bits, leaf_entries)
+                        tries[lang] = known, kind, trie
+                    trie.add(kind.paths(numbers[at:at + some + ahead], some))
+                    at += some
+                while sum(t.size for *_, t in tries.values()) > trie_entries:
+                    largest = max(tries, key=lambda k: tries[k][2].size)
+                    yield from out(largest, tries[largest][2].size // 2)
+                if sum(len(k) for k, *_ in tries.values()) > KNOWN_WORDS:
+                    for k, *_ in tries.values():
                         k.forget()
-                    if sum(len(k) for k, _ in tries.values()) > KNOWN_WORDS // 2:
+                    if sum(len(k) for k, *_ in tries.values()) > KNOWN_WORDS // 2:
                         for k in list(tries):
                             yield from out(k)
                         tries.clear()
@@ -299,60 +426,63 @@ def _sums(key: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _merge(table: pa.Table, min_count: int) -> tuple[list[str], list[int], list[int]]:
+def _merge(table: pa.Table, size: int, min_count: int) -> tuple[list[str], list[int], list[int]]:
     """Phrases, sizes and counts, from ``min_count`` on, of the runs of a prefix partition."""
     numbers: dict[bytes, int] = {}
-    high, low, counts = [], [], []
-    unpack = zstandard.ZstdDecompressor().decompress
+    ids, counts = [], []
     for held, data in zip(table.column("words"), table.column("paths")):
-        own = [numbers.setdefault(w, len(numbers) + 1) for w in unpack(held.as_py()).split(b" ")]
-        data = unpack(data.as_py())
-        n = len(data) // (2 * MAX_WORDS + 8)
-        ids = np.array([0, *own], np.uint64)[np.frombuffer(data, "<u2", MAX_WORDS * n).reshape(MAX_WORDS, n)]
-        high.append((ids[0] << np.uint64(32)) | ids[1])
-        low.append((ids[2] << np.uint64(32)) | ids[3])
-        counts.append(np.frombuffer(data, "<i8", n, 2 * MAX_WORDS * n))
-    high, low, counts = map(np.concatenate, (high, low, counts))
-    order = np.lexsort((low, high))
-    high, low, counts = high[order], low[order], counts[order]
-    first, f = _sums([high, low], counts)
-    high, low = high[first], low[first]
-    found = [(high[s], low[s], f[s]) for s in [(f >= min_count) & ((low == 0) | (low & np.uint64(0xFFFFFFFF) > 0))]]
-    # Places of a third word, whether or not a fourth one follows.
-    longer = low > 0
-    high, third, f = high[longer], low[longer] >> np.uint64(32) << np.uint64(32), f[longer]
-    first, f = _sums([high, third], f)
-    found.append(tuple(c[f >= min_count] for c in (high[first], third[first], f)))
+        own = [numbers.setdefault(w, len(numbers) + 1) for w in zstandard.ZstdDecompressor().decompress(held.as_py()).split(b" ")]
+        columns = _unpack(data.as_py(), size + 1)
+        ids.append(np.array([0, *own], np.int64)[columns[:-1]])
+        counts.append(columns[-1])
+    ids, counts = np.concatenate(ids, axis=1), np.concatenate(counts)
+    # Two words in one key.
+    key = [(ids[k] << 32) | ids[k + 1] for k in range(0, size, 2)]
+    order = np.lexsort(key[::-1])
+    key, counts = [k[order] for k in key], counts[order]
+    first, f = _sums(key, counts)
+    found = [([k[first][f >= min_count] for k in key], f[f >= min_count])]
+    if size == MAX_WORDS:
+        # Places of a third word, whether or not a fourth one follows.
+        whole = found[0][0][1] & 0xFFFFFFFF > 0
+        found = [([k[whole] for k in found[0][0]], found[0][1][whole])]
+        key[1] = key[1] >> 32 << 32
+        first, f = _sums(key, counts)
+        found.append(([k[first][f >= min_count] for k in key], f[f >= min_count]))
     held = [b"", *numbers]
     phrases, sizes, times = [], [], []
-    for highs, lows, fs in found:
-        for a, b, n in zip(highs.tolist(), lows.tolist(), fs.tolist()):
-            parts = [held[i] for i in (a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF) if i]
+    for keys, fs in found:
+        for row, n in zip(zip(*(k.tolist() for k in keys)), fs.tolist()):
+            parts = [held[i] for k in row for i in (k >> 32, k & 0xFFFFFFFF) if i]
             phrases.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
             sizes.append(len(parts))
             times.append(n)
     return phrases, sizes, times
 
 
+def _merged(cut: DataFrame, size: int, min_count: int) -> DataFrame:
+    def merge(key, table):
+        phrases, sizes, times = _merge(table, size, min_count)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()),
+                         "size": pa.array(sizes, pa.int32()), "f": pa.array(times, pa.int64())})
+
+    return cut.groupBy("lang", "part").applyInArrow(merge, "lang string, phrase string, size int, f bigint")
+
+
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, part_bytes: int = PART_BYTES,
                   leaf_entries: int = LEAF_ENTRIES, trie_entries: int = TRIE_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all phrases of 1 to 4 words with at least ``min_count`` occurrences, and ``lang, n`` of all words."""
-    spark = docs.sparkSession
+    share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = -(-size // part_bytes) or 1
     single = stored(word_counts(texts))
-    frequent = single.where(F.col("f") >= min_count)
-    passing = spark.sparkContext.broadcast(_filter(frequent))
-    cut = runs(texts, passing, -(-size // part_bytes) or 1, leaf_entries, trie_entries)
-
-    def merge(key, table):
-        phrases, sizes, times = _merge(table, min_count)
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()),
-                         "size": pa.array(sizes, pa.int32()), "f": pa.array(times, pa.int64())})
-
-    longer = cut.groupBy("lang", "part").applyInArrow(merge, "lang string, phrase string, size int, f bigint")
-    counts = longer.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f"))
-    return stored(counts), single.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = single.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
+    passing = share(_filter(frequent))
+    pairs = stored(_merged(runs(texts, passing, None, parts, leaf_entries, trie_entries), 2, min_count))
+    longer = _merged(runs(texts, passing, share(_filter(pairs)), parts, leaf_entries, trie_entries), MAX_WORDS, min_count)
+    counts = stored(longer.unionByName(pairs).unionByName(frequent))
+    return counts, single.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _key(phrase: Column) -> Column:
@@ -376,9 +506,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     counts, totals = phrase_counts(docs, lang_col, text_col, min_count, **settings)
     size = size_in_bytes(counts)
     found = counts.where("size > 1").withColumn("w", F.split("phrase", " "))
-    cuts = found.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
-        "lang", "phrase", "a", "k", _key(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("left"),
-        _key(F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ")).alias("right"))
+
+    def at(rows: DataFrame, k: Column) -> DataFrame:
+        return rows.withColumn("k", k).select(
+            "lang", "phrase", F.col("f").alias("a"), "k", _key(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("left"),
+            _key(F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ")).alias("right"))
+
+    # Pairs, most of all, have one cut.
+    cuts = at(found.where("size = 2"), F.lit(1)).unionByName(at(found.where("size > 2"), F.explode(F.sequence(F.lit(1), F.col("size") - 1))))
     parts = counts.select(_key(F.col("phrase")).alias("key"), "f")
     cuts = skew_join(cuts, parts.withColumnsRenamed({"key": "left", "f": "l"}), "left", small_bytes=size)
     cuts = skew_join(cuts, parts.withColumnsRenamed({"key": "right", "f": "r"}), "right", small_bytes=size)

@@ -66,15 +66,19 @@ def test_pieces_of_long_texts(monkeypatch):
         assert got == [tuple(whole[i:i + 4]) for i in range(len(whole))]
 
 
-def test_trie_bursts_and_spills_whole_subtrees():
+@pytest.mark.parametrize("bits", [16, 32])
+def test_trie_bursts_and_spills_whole_subtrees(bits):
     rng = np.random.default_rng(2)
-    trie, want, got = phrases.Trie(leaf_entries=8, entries=10**9), Counter(), Counter()
+    trie, want, got = phrases.Trie(bits, leaf_entries=8), Counter(), Counter()
     for step in range(60):
-        ids = rng.integers(1, [3, 5, 9, 30], (200, 4)).astype(np.uint64)
-        paths = (ids[:, 0] << np.uint64(48)) | (ids[:, 1] << np.uint64(32)) | (ids[:, 2] << np.uint64(16)) | ids[:, 3]
+        ids = rng.integers(1, [3, 5, 9, 30], (200, 4)).astype(np.uint64)[:, :64 // bits]
+        paths = np.zeros(200, np.uint64)
+        for k in range(64 // bits):
+            paths = (paths << np.uint64(bits)) | ids[:, k]
         want.update(paths.tolist())
         trie.add(paths)
-        assert trie.size == sum(map(len, trie.leaves)) and trie.lows == sorted(trie.lows) and max(map(len, trie.leaves)) <= 8
+        assert trie.size == sum(leaf.size for leaf in trie.leaves) and trie.lows == sorted(trie.lows)
+        assert max(leaf.size for leaf in trie.leaves) <= 8
         if step % 7 == 0:
             run = trie.spill(trie.size // 2)
             assert (np.diff(run[0].astype(object)) > 0).all()
@@ -82,3 +86,31 @@ def test_trie_bursts_and_spills_whole_subtrees():
     run = trie.spill(0)
     got.update(dict(zip(run[0].tolist(), run[1].tolist())))
     assert got == want and trie.size == 0
+
+
+def test_hash_table_counts_like_a_dictionary():
+    rng = np.random.default_rng(3)
+    leaf, want = phrases.Leaf(), Counter()
+    for n in (1, 5, 100, 3000, 10):
+        keys, counts = np.unique(rng.integers(1, 4000, n).astype(np.uint64) << np.uint64(40), return_counts=True)
+        leaf.add(keys, counts)
+        want.update(dict(zip(keys.tolist(), counts.tolist())))
+        assert leaf.size == len(want) and dict(zip(*(c.tolist() for c in leaf.items()))) == want
+
+
+def test_a_full_filter_changes_nothing(make_docs, monkeypatch):
+    rng = random.Random(6)
+    rows = [("x", some(rng, 60, ["a", "b", "c", "dd", "ee"])) for _ in range(60)]
+    docs = make_docs([(i, t) for i, (_, t) in enumerate(rows)]).selectExpr("'x' AS lang", "text")
+    monkeypatch.setattr(phrases, "_filter", lambda frequent: np.full(phrases.FILTER_BITS // 8, 255, np.uint8))
+    found = phrases.collocations(docs, min_count=20).collect()
+    assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in found) == brute(rows, 20)
+
+
+def test_more_words_than_numbers(make_docs):
+    n = phrases.MAX_WORD_IDS + 9000
+    text = " ".join(f"w{i}" for i in range(n))
+    docs = make_docs([(1, text), (2, text)]).selectExpr("'x' AS lang", "text").coalesce(1)
+    counts, totals = phrases.phrase_counts(docs, min_count=2)
+    found = {(r["size"], r["f"]): r["count"] for r in counts.groupBy("size", "f").count().collect()}
+    assert found == {(k, 2): n - k + 1 for k in (1, 2, 3, 4)} and totals.first()["n"] == 2 * n
