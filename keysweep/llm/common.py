@@ -18,6 +18,14 @@ def semi_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     return left.join(right, on, how)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with underscores before it until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Codes(dict):
     """Numbers of words, each computed once per worker; emptied when ``limit`` words are held, so memory stays bounded."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keysweep.llm.common import SMALL_BYTES, semi_join
+from keysweep.llm.common import SMALL_BYTES, semi_join, unused
 from keysweep.plans.store import size_in_bytes, stored
 
 HEAD_CHARS = 64
@@ -72,16 +72,17 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Of rows that repeat id and text, one stays (any: they may differ in other columns only). Only ids and digests
     of dropped rows are joined back; texts are not shuffled but for repeats of a row that stays.
     """
+    own, digest, again, full = (unused(docs.columns, name) for name in ("_id", "_digest", "_again", "_full"))
     lost = stored(exact_groups(docs, id_col, text_col, head_chars).where("NOT kept")
-                  .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("id").eqNullSafe(F.col("keep_id")).alias("_again"))
+                  .select(F.col("id").alias(own), F.col("digest").alias(digest), F.col("id").eqNullSafe(F.col("keep_id")).alias(again))
                   .distinct())
     if lost.isEmpty():
         return docs
-    rows = docs.withColumn("_full", F.sha2(normalised(F.col(text_col)), 256))
+    rows = docs.withColumn(full, F.sha2(normalised(F.col(text_col)), 256))
     if size_in_bytes(lost) <= SMALL_BYTES:
         lost = F.broadcast(lost)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_full") == F.col("_digest"))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(full) == F.col(digest))
     back = [F.col(f"`{c}`") for c in docs.columns]
-    stay = rows.join(lost.select("_id", "_digest").distinct(), same, "left_anti").select(*back)
-    again = rows.join(lost.where("_again").select("_id", "_digest"), same, "left_semi").dropDuplicates([id_col, "_full"]).select(*back)
+    stay = rows.join(lost.select(own, digest).distinct(), same, "left_anti").select(*back)
+    again = rows.join(lost.where(again).select(own, digest), same, "left_semi").dropDuplicates([id_col, full]).select(*back)
     return stay.unionByName(again)

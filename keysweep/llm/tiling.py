@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keysweep.llm.common import Codes, semi_join
+from keysweep.llm.common import Codes, semi_join, unused
 from keysweep.plans.store import stored
 
 #: Words of the shortest run that is marked.
@@ -89,31 +89,33 @@ def tiles(item: list[str], doc: list[str], size: int = RUN_WORDS) -> list[tuple[
     return out
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _shingles(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seeds = [run_hashes(codes(words(t.as_py())), size) for t in batch.column("t")]
+        parts = (codes(words(t.as_py())) for t in batch.column("t"))
+        seeds = [np.concatenate([run_hashes(x, size) for size in sizes] or [np.zeros(0, np.int64)]) for x in parts]
         at = np.concatenate(([0], np.cumsum([len(s) for s in seeds]))).astype(np.int32)
         values = np.concatenate([*seeds, np.zeros(0, np.int64)])
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["key", "seeds"])
 
 
 def item_seeds(items: DataFrame, size: int, coverage: float) -> DataFrame:
-    """``item, seed, times, needed`` of items ``item, t``. Items of fewer than ``size`` words have no seed."""
+    """``item, seed, times, needed, size`` of items ``item, t``. An item of fewer than ``size`` words is one seed of its own size."""
     kind = items.schema["item"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column("item"), batch.column("t").to_pylist()):
                 parts = words(text)
-                seed, times = np.unique(run_hashes(codes(parts), size), return_counts=True)
+                own = max(1, min(size, len(parts)))
+                seed, times = np.unique(run_hashes(codes(parts), own), return_counts=True)
                 # Tiles of ``size`` words need the fewest seeds for the words that they cover: one each.
-                needed = max(1, -(-int(np.ceil(coverage * len(parts) - 1e-9)) // size))
+                needed = max(1, -(-int(np.ceil(coverage * len(parts) - 1e-9)) // own)) if len(parts) >= size else 1
                 n = len(seed)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item.as_py()] * n, batch.schema.field("item").type), pa.array(seed), pa.array(times, pa.int64()),
-                     pa.array([needed] * n, pa.int64())], names=["item", "seed", "times", "needed"])
+                     pa.array([needed] * n, pa.int64()), pa.array([own] * n, pa.int32())], names=["item", "seed", "times", "needed", "size"])
 
-    return items.mapInArrow(of, f"item {kind}, seed long, times long, needed long")
+    return items.mapInArrow(of, f"item {kind}, seed long, times long, needed long, size int")
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -122,7 +124,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
     Pairs are found over shared seeds (runs of ``size`` words), counted per pair of distinct text and item; a pair with fewer seeds
     than the coverage takes is left out, which loses none. Only texts of pairs are then read and tiled. Copies are one text.
-    Null and empty texts, and items of fewer than ``size`` words, match nothing. Items with the same id are items of their own if
+    Null and empty texts and items match nothing. An item of fewer than ``size`` words must be in the text as a whole. Items with the same id are items of their own if
     their texts differ; a null item id is an id. An empty table on either side gives no rows.
     """
     items = stored(items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))
@@ -130,8 +132,9 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     seeds = stored(item_seeds(items.select(F.col("item_key").alias("item"), "t"), size, coverage))
     text = F.col(text_col).cast("string")
     texts = docs.where(text.isNotNull()).select(text_key(text).alias("key"), text.alias("t"))
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most ``size``
     # Seeds of copies meet in the partial count below, where their key is the same.
-    shared = texts.mapInArrow(lambda b: _shingles(b, size), "key string, seeds array<long>") \
+    shared = texts.mapInArrow(lambda b: _shingles(b, sizes), "key string, seeds array<long>") \
         .select("key", F.explode("seeds").alias("seed"))
     shared = semi_join(shared, seeds, ["seed"], "inner").select("key", "item", "seed", "times", "needed").distinct()
     pairs = stored(shared.groupBy("key", "item").agg(F.sum("times").alias("m"), F.max("needed").alias("needed"))
@@ -148,7 +151,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
             for doc, item in zip(batch.column("t"), batch.column("item_t")):
                 a = words(item.as_py())
                 totals.append(len(a))
-                marked.append(sum(t[2] for t in tiles(a, words(doc.as_py()), size)))
+                marked.append(sum(t[2] for t in tiles(a, words(doc.as_py()), max(1, min(size, len(a))))))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), pa.array(totals, pa.int64()),
                                               pa.array(marked, pa.int64())], names=["key", "item", "n_words", "covered"])
 
@@ -174,8 +177,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                                            F.min_by("item", F.struct(-share, "item")).alias("item")))
     key = F.coalesce(text_key(F.col(text_col).cast("string")), F.lit(""))
     if keep:
-        hits = best.select(F.col("key").alias("_text_key"))
-        return semi_join(docs.withColumn("_text_key", key), hits, ["_text_key"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
+        own = unused(docs.columns, "_text_key")
+        return semi_join(docs.withColumn(own, key), best.select(F.col("key").alias(own)), [own], "left_anti").select(*(f"`{c}`" for c in docs.columns))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"))
     return semi_join(rows, best, ["key"], "left").select(
         "id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "item",

@@ -38,7 +38,7 @@ def brute(spark, sf_dir):
     out = {}
     for i, t in unique:
         parts = words(t)
-        if group[i] == i and not any(sum(x[2] for x in tiles(a, parts)) >= 0.8 * len(a) for a in items if len(a) >= 5):
+        if group[i] == i and not any(sum(x[2] for x in tiles(a, parts, min(5, len(a)))) >= 0.8 * len(a) for a in items if a):
             out[i] = encode(t, public_tokenizers.path("byte_bpe_50k.json")).tobytes()
     return out
 
@@ -56,6 +56,7 @@ def test_copies_with_repeated_rows(make_docs):
     rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "a  b"), (None, "a b"), (None, None), (3, ""), (None, "z"), (None, "z"), (4, "c")]
     kept = without_copies(make_docs(rows))
     assert kept.columns == make_docs([]).columns
+    assert {v for r in kept.collect() for c, v in r.asDict().items() if c not in ("doc_id", "text")} == {"x"}
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "a b"), (1, "c"), (3, ""), (None, "z")], key=str)
 
 
