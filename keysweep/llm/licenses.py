@@ -55,8 +55,68 @@ limitations under the License."""),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""),
 )
 
+#: First lines that the entire texts above come with, or without.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License"), "Unlicense": ("The Unlicense",), "Zlib": ("zlib License", "The zlib/libpng License"),
+}
+
+
+def _titled(known: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """``known`` with the entire texts under each of their titles and without one."""
+    out = []
+    for name, text in known:
+        titles = TITLES.get(name, ())
+        body = text
+        for title in titles:
+            body = body.removeprefix(title + "\n\n")
+        out += [(name, text)] if "\n\n" not in text else [(name, f"{title}\n\n{body}") for title in titles] + [(name, body)]
+    return out
+
+
+ALL_KNOWN = _titled(KNOWN)
+
+
 #: Spellings that count as the same, in lower case and between words (pattern, canonical form).
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
@@ -66,24 +126,26 @@ SPELLINGS = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lines of prose that begin with the word are not copyright lines; a mark before it keeps them.
+PROSE = "(^|\n)([ \t\r]*)copyright( +(?:notice|holder|owner|law|interest|and |or |license|licence))"
 COPYRIGHT_LINE = "(^|\n)[ \t\r]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*"
 #: Every known text matches this before and after it is normalised, so other texts need no normalising.
-GATE = "(?i)licen[cs]"
+GATE = "(?i)licen[cs]|redistribut|disclaim|unencumbered"
 MARKS = "[^\\p{L}\\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """A-Z in lower case, lines that begin with a copyright sign or word removed, each run of other marks one space,
-    and equivalent spellings made one. Null stays null."""
+    """A-Z in lower case, lines that begin with a copyright sign or word removed (but not wrapped prose such as "copyright notice and
+    this permission notice"), each run of other marks one space, and equivalent spellings made one. Null stays null."""
     text = F.translate(text.cast("string"), UPPER, LOWER)
-    text = F.regexp_replace(text, COPYRIGHT_LINE, "\n")
+    text = F.regexp_replace(F.regexp_replace(text, PROSE, "$1$2~copyright$3"), COPYRIGHT_LINE, "\n")
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, MARKS, " ")), F.lit(" "))
     for spelling, one in SPELLINGS:
         text = F.replace(text, F.lit(f" {spelling} "), F.lit(f" {one} "))
     return F.trim(text)
 
 
-def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]] = ALL_KNOWN) -> DataFrame:
     """``license, digest``: of texts that are the same after normalising, the first licence by name counts."""
     table = spark.createDataFrame(list(known), "license string, text string")
     return table.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")) \
@@ -113,6 +175,7 @@ def licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
 def canonical_sql(text: str) -> str:
     """``canonical`` as a DuckDB expression."""
     out = f"translate({text}, '{UPPER}', '{LOWER}')"
+    out = f"regexp_replace({out}, '{PROSE}', '\\1\\2~copyright\\3', 'g')"
     out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', chr(10), 'g')"
     out = f"' ' || trim(regexp_replace({out}, '{MARKS}', ' ', 'g')) || ' '"
     for spelling, one in SPELLINGS:
@@ -120,7 +183,7 @@ def canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
-def licenses_sql(known: Iterable[tuple[str, str]] = KNOWN) -> str:
+def licenses_sql(known: Iterable[tuple[str, str]] = ALL_KNOWN) -> str:
     rows = ", ".join("({})".format(", ".join("'" + v.replace("'", "''") + "'" for v in row)) for row in known)
     return f"""
 WITH given(license, text) AS (VALUES {rows}),
