@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keysweep.functions.paths import relative_to
 from keysweep.functions.redact import redact
+from keysweep.plans.store import stored
 
 _LIFECYCLE = {
     "commit": "string", "message": "string", "introduced_commit": "string", "removed_commit": "string",
@@ -68,7 +69,10 @@ def markdown_blocks(findings: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def markdown_document(findings: DataFrame, root: str | None = None) -> DataFrame:
-    """The whole report as one text column in reading order."""
+    """The whole report as one text column in reading order.
+
+    Findings are read once for their blocks and once, beforehand, to be counted by type; headings and the end come from those counts.
+    """
     blocks = markdown_blocks(findings, root)
     order = ["part", "type", "kind", "file", "line", "match"]
     head = "# Secret Exposure Report\n\n>**Note:** Secret values are automatically redacted for security.\n"
@@ -78,8 +82,8 @@ def markdown_document(findings: DataFrame, root: str | None = None) -> DataFrame
         own = [(F.col(k) if k in keys else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
         return frame.select(F.lit(part).alias("part"), F.lit(kind).alias("kind"), *own, text.alias("value"))
 
-    total = findings.agg(F.count("*").alias("n"))
-    types = findings.select("type").distinct()
+    types = stored(findings.groupBy("type").agg(F.count("*").alias("n")))
+    total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     foot = F.when(F.col("n") == 0, F.lit("No secrets found.")) \
         .otherwise(F.concat(F.lit("**Total unique findings:** "), F.col("n").cast("string")))
     pieces = [
