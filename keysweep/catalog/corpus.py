@@ -49,6 +49,10 @@ COMMITS = f"""SELECT {_COMMIT.format('o_orderkey')} AS commit, 'change ' || CAST
   (SELECT count(*) FROM {{orders}}) - 1 - o_orderkey AS log_pos
 FROM {{orders}}"""
 
+# Every order has one parent or two, the first order none.
+LINKS = """SELECT o_orderkey AS child, CAST(floor(o_orderkey / 2) AS BIGINT) AS parent FROM {orders} WHERE o_orderkey > 0
+UNION ALL SELECT o_orderkey, CAST(floor(o_orderkey / 3) AS BIGINT) FROM {orders} WHERE o_orderkey > 2 AND o_orderkey % 3 = 0"""
+
 ENTRIES = f"""SELECT {_COMMIT.format('l_orderkey')} AS commit,
   lower(l_linestatus) || '/' || {PATH} AS path, doc_id AS blob_id
 FROM (SELECT DISTINCT l_orderkey, l_linestatus, l_partkey % (SELECT count(*) FROM {{documents}}) AS doc_id FROM {{lineitem}}) AS placed"""
@@ -101,5 +105,13 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, COMMITS, "orders")
 
 
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits with their parents."""
+    links = _sql(spark, sf_dir, f"SELECT child AS o_orderkey, {_COMMIT.format('parent')} AS parent FROM ({LINKS}) AS l", "orders")
+    parents = links.groupBy("o_orderkey").agg(F.collect_set("parent").alias("parents"))
+    named = _sql(spark, sf_dir, f"SELECT o_orderkey, o_custkey AS time, {_COMMIT.format('o_orderkey')} AS commit FROM {{orders}}", "orders")
+    return named.join(parents, "o_orderkey", "left").select("commit", "parents", "time")
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, ENTRIES, "documents", "lineitem")

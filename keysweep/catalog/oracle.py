@@ -253,6 +253,14 @@ FROM tree JOIN blobs USING (blob_id)""", "tree", "blobs"),
         "commit_order": _with("SELECT * FROM ordered", "ordered"),
         "commit_lookup": _with(f"""SELECT * FROM ordered
 WHERE commit IN (SELECT {commit} FROM lineitem WHERE l_returnflag = 'R')""", "ordered"),
+        "commit_topology": f"""WITH RECURSIVE links AS ({corpus.LINKS.format(**_TABLES)}),
+walk(k, generation) AS (
+  SELECT o_orderkey, 0::BIGINT FROM orders WHERE o_orderkey NOT IN (SELECT child FROM links)
+  UNION SELECT child, generation + 1 FROM walk JOIN links ON parent = k
+), longest AS (SELECT k, max(generation) AS generation FROM walk GROUP BY k)
+SELECT commit, generation, row_number() OVER (ORDER BY generation, time, commit) - 1 AS order_index FROM (
+  SELECT {corpus._COMMIT.format('k')} AS commit, generation, o_custkey AS time FROM longest JOIN orders ON o_orderkey = k
+)""",
         "path_parts": _with(f"""SELECT doc_id, path, {_BASE} AS base, {_EXT} AS ext,
   CASE WHEN starts_with(path, 'repo/pkg/') THEN substr(path, 10) ELSE path END AS relative,
   '/srv/checkout/' || path AS "full" FROM files""", "files"),

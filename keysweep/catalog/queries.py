@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keysweep.catalog import corpus
 from keysweep.functions import entropy, keywords, paths, redact
 from keysweep.operators import findings as found_ops
-from keysweep.operators import history, report
+from keysweep.operators import history, report, topology
 from keysweep.operators.detect import detect
 from keysweep.operators.lines import is_truncated, number_lines
 from keysweep.plans.incremental import IncrementalScan
@@ -83,6 +83,10 @@ def commit_lookup(spark, sf_dir):
     return history.commit_lookup(corpus.commits(spark, sf_dir), wanted)
 
 
+def commit_topology(spark, sf_dir):
+    return topology.commit_topology(corpus.graph(spark, sf_dir))
+
+
 def path_parts(spark, sf_dir):
     path = F.col("path")
     return corpus.files(spark, sf_dir).select(
@@ -263,7 +267,7 @@ def report_markdown(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    scan_files, scan_incremental, scan_raw_tables, scan_commit_snapshots, snapshot_files, commit_order, commit_lookup,
+    scan_files, scan_incremental, scan_raw_tables, scan_commit_snapshots, snapshot_files, commit_order, commit_lookup, commit_topology,
     path_parts, filter_skip_dirs, filter_skip_files, filter_valid_ext, filter_size_cap,
     explode_lines, line_limit, sig_match, sig_counts_by_rule, keyword_match, valid_secret_value,
     long_tokens, token_noise, shannon_entropy, high_entropy, detect_all,
