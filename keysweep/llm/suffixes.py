@@ -5,8 +5,8 @@ which its bytes alone decide, so equal strings have theirs at the same place. An
 buckets, and says which chunk of documents each is from.
 
 A new batch of documents is sorted into an array of its own and merge-scanned with itself and with every level of the family: suffixes that
-begin alike in several documents are candidates. For these alone the bytes around the anchor meet, where all strings of the match length
-are put in byte order and equal ones get their smallest document. Then the batch becomes a level; levels of equal rank merge into one of the
+begin alike in several documents are candidates. For these alone the bytes around the anchor meet, where equal strings of the match length
+are brought together and get their smallest document. Then the batch becomes a level; levels of equal rank merge into one of the
 next, so there are logarithmically many. Levels and chunks stay where they are written, so later batches can meet them.
 """
 
@@ -41,7 +41,7 @@ _CHUNKS = "chunk long, n array<long>, known array<boolean>, sizes array<int>, da
 _NAMES = "bucket int, chunk long, names binary, several binary"
 _LEVEL = "bucket int, names binary, chunks binary"
 _SCANNED = "kind int, bucket int, chunk long, a binary, b binary"
-_BYTES_OF = "bucket int, chunk long, fresh boolean, lengths binary, least binary, data binary"
+_BYTES_OF = "bucket int, chunk long, fresh boolean, lengths binary, offsets binary, least binary, data binary"
 _ANSWERS = "bucket int, chunk long, which binary, least binary"
 
 
@@ -90,6 +90,14 @@ def stretches(data: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarra
     return np.concatenate(lengths), np.concatenate(offsets)
 
 
+def names_at(data: np.ndarray, anchor: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first bytes of the suffixes that begin at ``anchor``."""
+    out = np.zeros(len(anchor), np.uint64)
+    for k in range(_inner(size)):
+        out = out * np.uint64(BASES[1]) + _BYTES[data[anchor + k]]
+    return mixed(mixed(out)) >> np.uint64(64 - NAME_BITS)
+
+
 class _Chunk:
     """A row of the table of chunks, unpacked."""
 
@@ -107,10 +115,7 @@ class _Chunk:
         # Of each stretch: its first window, and its document.
         self.first = windows[np.cumsum(self.length) - self.length]
         self.doc = np.searchsorted(self.begin + self.sizes, self.first, side="right")
-        anchor, names = self.first + self.offset, np.zeros(len(self.first), np.uint64)
-        for k in range(_inner(size)):
-            names = names * np.uint64(BASES[1]) + _BYTES[self.data[anchor + k]]
-        names = mixed(mixed(names)) >> np.uint64(64 - NAME_BITS)
+        names = names_at(self.data, self.first + self.offset, size)
         self.order = np.argsort(names, kind="stable")
         names = names[self.order]
         self.at = np.flatnonzero(np.diff(names.astype(np.int64), prepend=-1))
@@ -253,8 +258,9 @@ def candidate_bytes(held: DataFrame, size: int, buckets: int, fresh_from: int) -
             chunk = _Chunk(row, size)
             kind = np.min_scalar_type(2 * size)
             for bucket, found, which, own in chunk.candidates(buckets, row["bits"]):
-                lengths = np.array([len(f) for f in found], kind)
-                yield _batch([(bucket, chunk.chunk, chunk.chunk >= fresh_from, _pack(lengths), _pack(chunk.least(own, which, len(found))),
+                lengths, offsets = np.array([len(f) for f in found], kind), np.zeros(len(found), kind)
+                offsets[own] = chunk.offset[which]
+                yield _batch([(bucket, chunk.chunk, chunk.chunk >= fresh_from, _pack(lengths), _pack(offsets), _pack(chunk.least(own, which, len(found))),
                                zstandard.ZstdCompressor(level=1).compress(b"".join(found)))], schema)
 
     return held.mapInArrow(of, _BYTES_OF)
@@ -267,15 +273,19 @@ def smallest(found: list[bytes], least: np.ndarray, size: int) -> list[np.ndarra
     count = lengths - size + 1
     at = _spread(np.cumsum(lengths) - lengths, count)
     doc = np.repeat(least, count)
-    # Numbers of 8 bytes in byte order; the last one ends where the window does, or there are bytes one by one.
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").reshape(-1).astype(np.uint64)
-    steps = [*range(0, size - 8, 8), size - 8] if size >= 8 else []
-    keys = [words[at + s] for s in steps] or [data[at + s] for s in range(size)]
-    order = np.lexsort(keys[::-1])
+    # Numbers of 8 bytes; the last one ends where the window does, or there are bytes one by one.
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").reshape(-1)
+    keys = [words[at + s] for s in [*range(0, size - 8, 8), size - 8]] if size >= 8 else [data[at + s].astype(np.uint64) for s in range(size)]
+    hashed = np.zeros(len(at), np.uint64)
+    for key in keys:
+        hashed = mixed((hashed ^ key) * np.uint64(BASES[0]))
+    order = np.argsort(hashed, kind="stable")
     changed = np.zeros(len(order), bool)
     changed[:1] = True
+    # Neighbours are equal if their bytes are.
     for key in keys:
-        changed[1:] |= key[order[1:]] != key[order[:-1]]
+        ordered = key[order]
+        changed[1:] |= ordered[1:] != ordered[:-1]
     first = np.flatnonzero(changed)
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
@@ -285,32 +295,41 @@ def smallest(found: list[bytes], least: np.ndarray, size: int) -> list[np.ndarra
 def _answers(table: pa.Table, size: int) -> list[tuple]:
     """Rows of ``_ANSWERS`` for a bucket: where a chunk's own smallest document of a byte string is not that of all its windows."""
     kind = np.min_scalar_type(2 * size).str
-    rows, number, least = [], {}, []
+    rows, number, least, offsets = [], {}, [], []
     for row in table.to_pylist():
         data, at, own = zstandard.ZstdDecompressor().decompress(row["data"]), 0, []
-        for length, doc in zip(_unpack(row["lengths"], kind).tolist(), _unpack(row["least"], "<i8").tolist()):
+        for length, offset, doc in zip(*(_unpack(row[c], k).tolist() for c, k in (("lengths", kind), ("offsets", kind), ("least", "<i8")))):
             k = number.setdefault(data[at:at + length], len(number))
             at += length
             if k == len(least):
                 least.append(doc)
+                offsets.append(offset)
             elif doc < least[k]:
                 least[k] = doc
             own.append((k, doc))
         if row["fresh"]:
             rows.append((row["bucket"], row["chunk"], own))
-    found = smallest(list(number), np.array(least, np.int64), size)
-    lowest = [int(f.min()) for f in found]
+    # Only strings around the same suffix can share windows, and alone around it a string's smallest document is that of all its windows.
+    strings, least = list(number), np.array(least, np.int64)
+    lengths = np.array([len(s) for s in strings], np.int64)
+    name = names_at(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths + np.array(offsets, np.int64), size)
+    _, same, times = np.unique(name, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[same] > 1).tolist()
+    found = dict(zip(several, smallest([strings[k] for k in several], least[several], size) if several else ()))
+    lowest = least.tolist()
+    for k, f in found.items():
+        lowest[k] = int(f.min())
     out = []
     for bucket, chunk, own in rows:
         which = [i for i, (k, doc) in enumerate(own) if lowest[k] < doc]
         if which:
-            out.append((bucket, chunk, _pack(np.array(which, "<u4")), _pack(np.concatenate([found[own[i][0]] for i in which]))))
+            out.append((bucket, chunk, _pack(np.array(which, "<u4")), _pack(np.concatenate([found[k] if k in found else np.full(lengths[k] - size + 1, least[k]) for k in (own[i][0] for i in which)]))))
     return out
 
 
-def _with(held: DataFrame, rows: DataFrame, columns: list[str], name: str, how: str = "inner") -> DataFrame:
+def _with(held: DataFrame, rows: DataFrame, columns: list[str], name: str, how: str = "inner", small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Chunks with the stored ``rows`` about them as a list; these are broadcast if their measured size allows."""
-    small = size_in_bytes(rows) <= SMALL_BYTES
+    small = size_in_bytes(rows) <= small_bytes
     lists = rows.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(name))  # a row for each bucket and chunk at most
     return held.join(F.broadcast(lists) if small else lists, "chunk", how)
 
@@ -395,7 +414,7 @@ class SuffixFamily:
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), answers_as)] if rows else [pa.array([], f.type) for f in answers_as], schema=answers_as)
 
         answers = stored(found.groupBy("bucket").applyInArrow(answer, _ANSWERS))
-        judged = _with(_with(own, bits, ["bucket", "a"], "bits", "left"), answers, ["bucket", "which", "least"], "answers", "left")
+        judged = _with(_with(own, bits, ["bucket", "a"], "bits", "left"), answers, ["bucket", "which", "least"], "answers", "left", 1 << 20)
         out = stored(cleaned(judged, size, buckets))
 
         level = stored(scanned.where("kind = 1").select("bucket", F.col("a").alias("names"), F.col("b").alias("chunks")))
