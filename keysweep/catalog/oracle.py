@@ -306,6 +306,8 @@ FROM islands JOIN sequence s ON s.pos = first_pos LEFT JOIN sequence e ON e.pos
 FROM (SELECT *, order_index - row_number() OVER (PARTITION BY file, blob_id ORDER BY order_index) AS island FROM placed)
 GROUP BY file, blob_id, island""", "placed"),
         "lifecycle_from_runs": _with("""SELECT type, match, introduced_commit, removed_commit, exposure_commits,
+  still_present_in_head FROM life""", "life"),
+        "stream_lifecycle": _with("""SELECT type, match, introduced_commit, removed_commit, exposure_commits,
   still_present_in_head FROM life""", "life"),
         "exposure_window": _with("SELECT type, match, exposure_window FROM life", "life"),
         "history_report": _with("SELECT * FROM report ORDER BY file, line, type, match", "report"),

@@ -16,6 +16,7 @@ from keysweep.plans.incremental import IncrementalScan
 from keysweep.plans.scan import HistoryScan, scan_files as scan
 from keysweep.plans.store import checkpoint_root, stored
 from keysweep.sources.rules import load_rules, rules_frame
+from keysweep.streaming.lifecycle import LifecycleStream
 
 # The line limit of one mebibyte is not reached in the tables; the query uses a lower one.
 SHORT_LINE_LIMIT = 400
@@ -226,6 +227,17 @@ def lifecycle_from_runs(spark, sf_dir):
         "exposure_commits", "still_present_in_head")
 
 
+def stream_lifecycle(spark, sf_dir):
+    """Tree entries arrive in small files, in the order of their files' names."""
+    scan = _history(spark, sf_dir)
+    arriving = spark.readStream.schema(scan.entries.schema).option("maxFilesPerTrigger", "4").parquet(scan.entries._stored_at)
+    follow = LifecycleStream(spark, f"{checkpoint_root(spark)}/keysweep/{uuid4().hex}")
+    follow.start(history.sightings(arriving, scan.found, scan.commits)).awaitTermination()
+    return follow.lifecycle(scan.found, scan.commits).select(
+        "type", "match", "introduced_commit", F.coalesce("removed_commit", F.lit("")).alias("removed_commit"),
+        "exposure_commits", "still_present_in_head")
+
+
 def exposure_window(spark, sf_dir):
     return _history(spark, sf_dir).lifecycle.select("type", "match", "exposure_window")
 
@@ -273,6 +285,6 @@ QUERIES = {q.__name__: q for q in (
     long_tokens, token_noise, shannon_entropy, high_entropy, detect_all,
     dedupe_findings, sort_findings, total_findings, findings_by_type, findings_by_commit, secrets_per_commit,
     history_findings, commit_sequence, secret_lifecycle, exposure_window, history_report,
-    exposure_intervals, tree_runs, lifecycle_from_runs,
+    exposure_intervals, tree_runs, lifecycle_from_runs, stream_lifecycle,
     redact_match, secret_prefix, redact_multiline, is_fully_masked, report_json, report_markdown,
 )}

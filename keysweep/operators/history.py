@@ -221,6 +221,13 @@ def runs_from_changes(changes: DataFrame, n_commits: int, base: str | None = Non
     return union_intervals(spans, ["file", "blob_id"], "first_index", "last_index")
 
 
+def sightings(entries: DataFrame, found: DataFrame, commits: DataFrame) -> DataFrame:
+    """``(secret_id, order_index)`` of every commit that has a secret, not necessarily once; ``entries`` may be a stream."""
+    order = commit_order(commits).select("commit", "order_index")
+    secrets = found.select("blob_id", "secret_id").distinct()
+    return scanned_entries(entries).select("commit", "blob_id").join(secrets, "blob_id").join(order, "commit").select("secret_id", "order_index")
+
+
 def lifecycle_from_runs(runs: DataFrame, found: DataFrame, commits: DataFrame, found_bytes: int | None = None) -> DataFrame:
     """The rows of ``secret_lifecycle`` from runs of trees: a sweep over interval ends in place of a row for every commit and file.
 
@@ -229,7 +236,12 @@ def lifecycle_from_runs(runs: DataFrame, found: DataFrame, commits: DataFrame, f
     """
     secrets = found.select("blob_id", "secret_id").distinct()
     held = skew_join(runs.select("blob_id", "first_index", "last_index"), secrets, "blob_id", small_bytes=found_bytes)
-    spans = stored(union_intervals(held, ["secret_id"], "first_index", "last_index"))
+    return lifecycle_of_intervals(union_intervals(held, ["secret_id"], "first_index", "last_index"), found, commits)
+
+
+def lifecycle_of_intervals(spans: DataFrame, found: DataFrame, commits: DataFrame) -> DataFrame:
+    """The lifecycle from the disjoint intervals ``(secret_id, first_index, last_index)`` of all secrets."""
+    spans = stored(spans)
     covered = stored(union_intervals(spans, [], "first_index", "last_index"))
     covered = stored(with_next(covered.withColumnRenamed("last_index", "until"), [], "first_index", "next_index").withColumnRenamed("first_index", "at"))
     lives = stored(spans.groupBy("secret_id").agg(
