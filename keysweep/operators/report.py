@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keysweep.functions.paths import relative_to
 from keysweep.functions.redact import redact
+from keysweep.operators.document import write_document
 from keysweep.plans.store import stored
 
 _LIFECYCLE = {
@@ -69,12 +70,19 @@ def markdown_blocks(findings: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def markdown_document(findings: DataFrame, root: str | None = None) -> DataFrame:
-    """The whole report as one text column in reading order.
+    """The whole report as one text column in reading order."""
+    return _markdown_rows(findings, root).orderBy(*_MARKDOWN_ORDER).select("value")
+
+
+_MARKDOWN_ORDER = ["part", "type", "kind", "file", "line", "match"]
+
+
+def _markdown_rows(findings: DataFrame, root: str | None) -> DataFrame:
+    """The texts of a report next to the columns that order them.
 
     Findings are read once for their blocks and once, beforehand, to be counted by type; headings and the end come from those counts.
     """
     blocks = markdown_blocks(findings, root)
-    order = ["part", "type", "kind", "file", "line", "match"]
     head = "# Secret Exposure Report\n\n>**Note:** Secret values are automatically redacted for security.\n"
 
     def place(frame: DataFrame, part: int, kind: int, text: Column, keys=("type",)) -> DataFrame:
@@ -96,7 +104,7 @@ def markdown_document(findings: DataFrame, root: str | None = None) -> DataFrame
     whole = pieces[0]
     for piece in pieces[1:]:
         whole = whole.unionByName(piece)
-    return whole.orderBy(*order).select("value")
+    return whole
 
 
 def write_report(findings: DataFrame, path: str | None, fmt: str = "markdown", root: str | None = None) -> None:
@@ -115,3 +123,21 @@ def write_report(findings: DataFrame, path: str | None, fmt: str = "markdown", r
         json_header(findings).write.json(f"{path}/header")
     else:
         markdown_document(findings, root).write.text(path)
+
+
+def write_report_file(findings: DataFrame, path: str, fmt: str = "markdown", root: str | None = None) -> int:
+    """Write a report as one valid file, and return its number of findings; see ``write_document`` for where it can lie.
+
+    JSON is an object with ``scan_time``, ``total_findings``, ``sanitized`` and the list ``findings``. ``findings`` are read more than once;
+    pass a stored table if they are costly.
+    """
+    if fmt in ("json", "JSON"):
+        rows = json_rows(findings, root)
+        keys = ["file", "line", "type", "match"]
+        texts = rows.select(*keys, F.to_json(F.struct(*rows.columns)).alias("value"))
+        header = json_header(findings).select(F.to_json(F.struct("scan_time", "total_findings", "sanitized"))).first()[0]
+        return write_document(texts, path, keys, head=header[:-1] + ',"findings":[\n', between=",\n", tail="\n]}\n")
+    if fmt in ("markdown", "md", ""):
+        write_document(_markdown_rows(findings, root), path, _MARKDOWN_ORDER)
+        return findings.count()
+    raise ValueError(f"unknown report format {fmt!r}: markdown and json are supported")
