@@ -43,6 +43,20 @@ SELECT doc_id, {PATH} AS path,
   || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END AS content
 FROM keyed"""
 
+# Blocks of several lines: whole, with carriage returns, in one line, nested, without an end, with another end.
+KEYS = f"""WITH named AS (SELECT doc_id, text, md5(CAST(doc_id AS STRING)) AS h FROM {{documents}})
+SELECT {PATH} AS file, CAST(1 AS BIGINT) AS first_line, text || chr(10) || CASE doc_id % 8
+    WHEN 0 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || h || chr(10) || md5(h) || chr(10) || '-----END RSA PRIVATE KEY-----'
+    WHEN 1 THEN 'k = "-----BEGIN PRIVATE KEY-----' || chr(13) || chr(10) || h || chr(13) || chr(10) || '-----END PRIVATE KEY-----"' || chr(13) || chr(10) || 'x'
+    WHEN 2 THEN '"-----BEGIN EC PRIVATE KEY-----' || h || '-----END EC PRIVATE KEY-----",'
+    WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || '-----BEGIN EC PRIVATE KEY-----' || chr(10) || h || chr(10) || '-----END EC PRIVATE KEY-----'
+      || chr(10) || '-----END RSA PRIVATE KEY-----'
+    WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || h
+    WHEN 5 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || h || chr(10) || '-----END EC PRIVATE KEY-----' || chr(10)
+    WHEN 6 THEN '-----BEGIN PGP PRIVATE KEY BLOCK-----' || chr(10) || 'Version: 1-2' || chr(10) || chr(10) || h || chr(10) || '-----END PGP PRIVATE KEY BLOCK-----' || chr(10)
+    ELSE '-----BEGIN PUBLIC KEY-----' || chr(10) || h || chr(10) || '-----END PUBLIC KEY-----' END AS content
+FROM named"""
+
 _COMMIT = "md5('c' || CAST({0} AS STRING)) || substr(md5('d' || CAST({0} AS STRING)), 1, 8)"
 
 COMMITS = f"""SELECT {_COMMIT.format('o_orderkey')} AS commit, 'change ' || CAST(o_orderkey AS STRING) AS message,
@@ -91,6 +105,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, CORPUS, "documents")
 
 
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, KEYS, "documents")
+
+
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, RAW_FILES, *RAW_COLUMNS)
 

@@ -90,6 +90,8 @@ def _detect(source: str, keys: str) -> str:
         _signature(source, keys), _keyword(source, keys), _high_entropy(source, keys)))
 
 
+_MARKER = f"-----(?:BEGIN|END) {fixed.BLOCK_LABEL}-----"
+
 # Paths ------------------------------------------------------------------
 
 _BASE = "split_part(path, '/', -1)"
@@ -136,6 +138,7 @@ FROM (SELECT *, {_PREFIX} AS p FROM ({source}))"""
 _CTE = {
     "files": corpus.CORPUS.format(**_TABLES),
     "raw_tables": corpus.RAW_FILES.format(**_TABLES),
+    "keys": corpus.KEYS.format(**_TABLES),
     "commits": corpus.COMMITS.format(**_TABLES),
     "entries": corpus.ENTRIES.format(**_TABLES),
     "lines": _lines("files", "doc_id"),
@@ -316,6 +319,16 @@ GROUP BY file, blob_id, island""", "placed"),
         "secret_prefix": _with(f"""SELECT {_PREFIX} AS prefix, count(*) AS n_lines
 FROM (SELECT text AS v FROM lines) GROUP BY ALL""", "lines"),
         "redact_multiline": _with(_redacted("SELECT doc_id, content AS v FROM files", key), "files"),
+        "multiline_secrets": _with(
+            _redacted(f"SELECT file, line, last_line, {_q(fixed.BLOCK_TYPE)} AS type, match, match AS v FROM joined", "file, line, last_line, type, match"),
+            "keys", key_lines=_lines("keys", "file"), marks=f"""SELECT file, line, m, row_number() OVER (PARTITION BY file ORDER BY line, k) AS r FROM (
+  SELECT file, line, unnest(regexp_extract_all(text, {_q(_MARKER)})) AS m, generate_subscripts(regexp_extract_all(text, {_q(_MARKER)}), 1) AS k FROM key_lines)""",
+            pairs="""SELECT * FROM (SELECT *, lead(line) OVER w AS last_line, lead(m) OVER w AS e FROM marks WINDOW w AS (PARTITION BY file ORDER BY r))
+WHERE starts_with(m, '-----BEGIN') AND e = replace(m, '-----BEGIN', '-----END')""",
+            joined="""SELECT file, p.line, last_line, string_agg(CASE
+  WHEN p.line = last_line THEN m || split_part(split_part(text, m, -1), e, 1) || e
+  WHEN l.line = p.line THEN m || split_part(text, m, -1) WHEN l.line = last_line THEN split_part(text, e, 1) || e ELSE text END, chr(10) ORDER BY l.line) AS match
+FROM pairs p JOIN key_lines l USING (file) WHERE l.line BETWEEN p.line AND last_line GROUP BY file, p.line, last_line"""),
         "is_fully_masked": _with(f"""SELECT doc_id, count(*) FILTER ({masked.format('v')}) AS n_plain,
   count(*) FILTER ({masked.format('redacted')}) AS n_masked
 FROM ({_redacted("SELECT doc_id, text AS v FROM lines", "doc_id, v")}) GROUP BY doc_id""", "lines"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keysweep.catalog import corpus
 from keysweep.functions import entropy, keywords, paths, redact
 from keysweep.operators import findings as found_ops
-from keysweep.operators import history, report, topology
+from keysweep.operators import blocks, history, report, topology
 from keysweep.operators.detect import detect
 from keysweep.operators.lines import is_truncated, number_lines
 from keysweep.plans.incremental import IncrementalScan
@@ -261,6 +261,11 @@ def redact_multiline(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", redact.redact(F.col("content")).alias("redacted"))
 
 
+def multiline_secrets(spark, sf_dir):
+    found = blocks.multiline_secrets(corpus.keys(spark, sf_dir))
+    return found.withColumn("redacted", redact.redact(F.col("match")))
+
+
 def is_fully_masked(spark, sf_dir):
     lines = number_lines(_files(spark, sf_dir), "doc_id")
     shown = redact.redact(F.col("text"))
@@ -286,5 +291,5 @@ QUERIES = {q.__name__: q for q in (
     dedupe_findings, sort_findings, total_findings, findings_by_type, findings_by_commit, secrets_per_commit,
     history_findings, commit_sequence, secret_lifecycle, exposure_window, history_report,
     exposure_intervals, tree_runs, lifecycle_from_runs, stream_lifecycle,
-    redact_match, secret_prefix, redact_multiline, is_fully_masked, report_json, report_markdown,
+    redact_match, secret_prefix, redact_multiline, multiline_secrets, is_fully_masked, report_json, report_markdown,
 )}

@@ -72,3 +72,7 @@ VISIBLE_PREFIXES = [
     "whsec_", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "hf_", "gsk_", "tvly-", "xai-",
     "AIza", "GOCSPX-", "ya29.", "PMAK-", "----",
 ]
+
+# What may stand between BEGIN or END and the closing dashes of a block of several lines, and the type of such findings.
+BLOCK_LABEL = r"(?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?"
+BLOCK_TYPE = "Private Key Block"
