@@ -14,6 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from keysweep.llm.common import Codes, semi_join, unused
@@ -23,6 +24,8 @@ from keysweep.plans.store import stored
 RUN_WORDS = 5
 #: Share of an item's words that must be marked.
 COVERAGE = 0.8
+#: Bytes of text whose seeds are held at a time; a longer text alone.
+CHUNK = 1 << 20
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +35,7 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-_codes = Codes(lambda word: crc32(word.encode("utf-8", "surrogatepass")) + (len(word) << 32))
+_codes = Codes(lambda word: crc32(word.encode("utf-8", "surrogatepass")) + (len(word) << 32), 1 << 16)
 
 
 def codes(parts: list[str]) -> np.ndarray:
@@ -91,11 +94,15 @@ def tiles(item: list[str], doc: list[str], size: int = RUN_WORDS) -> list[tuple[
 
 def _shingles(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = (codes(words(t.as_py())) for t in batch.column("t"))
-        seeds = [np.concatenate([run_hashes(x, size) for size in sizes] or [np.zeros(0, np.int64)]) for x in parts]
-        at = np.concatenate(([0], np.cumsum([len(s) for s in seeds]))).astype(np.int32)
-        values = np.concatenate([*seeds, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["key", "seeds"])
+        length = np.cumsum(pc.fill_null(pc.binary_length(batch.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = np.flatnonzero(np.diff(length // CHUNK, prepend=-1)).tolist()
+        for a, b in zip(first, [*first[1:], batch.num_rows]):
+            some = batch.slice(a, b - a)
+            parts = (codes(words(t.as_py())) for t in some.column("t"))
+            seeds = [np.concatenate([run_hashes(x, size) for size in sizes] or [np.zeros(0, np.int64)]) for x in parts]
+            at = np.concatenate(([0], np.cumsum([len(s) for s in seeds]))).astype(np.int32)
+            values = np.concatenate([*seeds, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([some.column("key"), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["key", "seeds"])
 
 
 def item_seeds(items: DataFrame, size: int, coverage: float) -> DataFrame:
