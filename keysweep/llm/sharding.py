@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from keysweep.plans.store import stored
 
 ROUNDS = 4
+#: Copies of a row that are numbered in one place.
+BLOCK = 1 << 14
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -45,21 +47,31 @@ def permute(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarr
     return out.astype(np.int64)
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``row``: gapless numbers from 0 in the order of the columns.
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``row``: gapless numbers from 0 in the order of all columns, nulls first.
 
-    Ranges of the order are numbered on their own; only one count per range is summed up in one place.
-    Rows that tie in all of ``order`` get consecutive numbers in any order, so ``order`` should hold all columns that tell them apart.
+    Equal rows are counted before they are sorted and come back as so many consecutive numbers, ``BLOCK`` at a time, so rows that occur very
+    often neither meet in one range nor leave one task. Ranges of the order are numbered on their own; only one sum per range meets in one place.
     """
+    order = rows.columns
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = stored(rows.repartitionByRange(int(parts), *order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    counted = rows.groupBy(*order).agg(F.count("*").alias("_copies"))
+    ranged = stored(counted.repartitionByRange(int(parts), *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum("_copies").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    firsts = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.sum("_copies").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     # One row per range; their number is a setting, not a property of the data.
-    return ranged.withColumn("row", inside.cast("long") - 1).join(F.broadcast(firsts), "_range") \
-        .withColumn("row", F.col("row") + F.col("first")).drop("_range", "first")
+    placed = ranged.withColumn("_until", inside).join(F.broadcast(firsts), "_range") \
+        .withColumn("_from", F.col("_first") + F.col("_until") - F.col("_copies"))
+
+    def spread(some: DataFrame) -> DataFrame:
+        return some.select(*order, F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_copies") - 1)).alias("row"))
+
+    last = F.col("_from") + F.col("_copies") - 1
+    blocks = placed.where(F.col("_copies") > BLOCK).select(*order, last.alias("_last"), F.explode(F.sequence(F.col("_from"), last, F.lit(BLOCK))).alias("_from")) \
+        .select(*order, "_from", F.least(F.lit(BLOCK), F.col("_last") - F.col("_from") + 1).alias("_copies")).repartition("_from")
+    return spread(placed.where(F.col("_copies") <= BLOCK)).unionByName(spread(blocks))
 
 
 def shards(docs: DataFrame, n_shards: int, key: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,9 +84,9 @@ def shards(docs: DataFrame, n_shards: int, key: int = 0, id_col: str = "doc_id",
     Repeated rows get places of their own. Only the two named columns are read, and only numbers are shuffled.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-                       F.crc32(F.encode(text, "UTF-8")).alias("crc"))
-    placed = stored(numbered(rows, ["id", "crc", "size"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
+                       (F.octet_length(text) + 16).cast("long").alias("size"))
+    placed = stored(numbered(rows))
     n = placed.count()
 
     @F.pandas_udf("long")

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from keysweep.llm import sharding
 from keysweep.llm.sharding import permute, shards
 
 
@@ -37,3 +38,10 @@ def test_shards(make_docs):
 
 def test_no_rows(make_docs):
     assert shards(make_docs([]), 40).collect() == []
+
+
+def test_rows_that_occur_very_often(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 7)
+    rows = [(5, "same")] * 40 + [(i, "x" * i) for i in range(12)] + [(None, None)] * 8 + [(9, "same")] * 7
+    got = sorted((str(r["id"]), r["size"], r["crc"], r["shard"], r["slot"]) for r in shards(make_docs(rows), 4, 1).collect())
+    assert got == brute(rows, 4, 1)
