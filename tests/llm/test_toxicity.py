@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keysweep.llm.toxicity import Severity, _descend, fit, sample, score
+from keysweep.llm.toxicity import REJECT_AT, Severity, _descend, fit, sample, score
 
 
 def test_held_out_labels(spark):
@@ -53,3 +53,29 @@ def test_one_class_or_no_labels(spark, make_docs, toxic):
     got = score(docs, fit(sample(labels, docs))).collect()
     assert [r["rejected"] for r in got] == [toxic == 1] * 2
     assert score(make_docs([]), Severity({}, (1.0, 2.0, 3.0))).collect() == []
+
+
+def test_scores_against_the_definition(make_docs):
+    """Every figure of a row by the formulas, in plain Python."""
+    import math
+    import re
+
+    weights = {"bad": 2.5, "bad-": 0.25, "awfu-": 1.0, "awful-": -0.5, "nice": -3.0, "été": 0.75, "worse": 0.5, "wors-": 0.125}
+    model = Severity(weights, (0.5, 1.25, 4.0))
+    texts = ["bad", "Bad bad nice, awfully", "été ÉTÉ worse worsening", "", None, "nothing here", "nice " * 50 + "awful", "bad " * 3 + "x " * 20_000, "bad " * 9]
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    rows = score(make_docs(list(enumerate(texts))), model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = re.findall(r"\w+", (texts[r["id"]] or "").lower())
+        logit = 0.0
+        for w in set(words):
+            names = [w] + [w[:n] + "-" for n in (4, 5) if len(w) > n]
+            logit += math.log1p(100 * words.count(w) / len(words)) * sum(weights.get(n, 0) for n in names)
+        above = [sigmoid(logit - t) for t in model.thresholds]
+        chances = [a - b for a, b in zip([1, *above], [*above, 0])]
+        assert r["severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0])
+        assert r["grade"] == chances.index(max(chances)) and r["rejected"] == (above[0] >= REJECT_AT)
