@@ -280,6 +280,7 @@ WHERE size <= {fixed.MAX_BLOB_BYTES}""",
   lambda l: strlen(l))) >= {SHORT_LINE_LIMIT} AS truncated FROM files""",
                             cut=_lines("marked", "doc_id, truncated", SHORT_LINE_LIMIT)),
         "sig_match": _with(_signature("lines", key), "lines"),
+        "sig_match_many": _with(_signature("lines", key), "lines"),
         "sig_counts_by_rule": _with(_rule_counts(), "lines"),
         "keyword_match": _with(_keyword("lines", key), "lines"),
         "valid_secret_value": _with(f"""SELECT doc_id, count(*) AS n_words, count(*) FILTER ({_valid('word')}) AS n_valid

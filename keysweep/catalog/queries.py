@@ -12,6 +12,7 @@ from keysweep.operators import findings as found_ops
 from keysweep.operators import blocks, history, report, topology
 from keysweep.operators.detect import detect
 from keysweep.operators.lines import is_truncated, number_lines
+from keysweep.operators.many_rules import detect_many
 from keysweep.plans.incremental import IncrementalScan
 from keysweep.plans.scan import HistoryScan, scan_files as scan
 from keysweep.plans.store import checkpoint_root, stored
@@ -127,6 +128,10 @@ def sig_match(spark, sf_dir):
     return _detected(spark, sf_dir, "signature")
 
 
+def sig_match_many(spark, sf_dir):
+    return detect_many(corpus.files(spark, sf_dir), load_rules(spark), "doc_id", partitions=_partitions(spark, sf_dir))
+
+
 def sig_counts_by_rule(spark, sf_dir):
     rules = load_rules(spark)
     found = detect(corpus.files(spark, sf_dir), rules, "doc_id", which=("signature",),
@@ -286,7 +291,7 @@ def report_markdown(spark, sf_dir):
 QUERIES = {q.__name__: q for q in (
     scan_files, scan_incremental, scan_raw_tables, scan_commit_snapshots, snapshot_files, commit_order, commit_lookup, commit_topology,
     path_parts, filter_skip_dirs, filter_skip_files, filter_valid_ext, filter_size_cap,
-    explode_lines, line_limit, sig_match, sig_counts_by_rule, keyword_match, valid_secret_value,
+    explode_lines, line_limit, sig_match, sig_match_many, sig_counts_by_rule, keyword_match, valid_secret_value,
     long_tokens, token_noise, shannon_entropy, high_entropy, detect_all,
     dedupe_findings, sort_findings, total_findings, findings_by_type, findings_by_commit, secrets_per_commit,
     history_findings, commit_sequence, secret_lifecycle, exposure_window, history_report,
