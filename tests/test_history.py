@@ -190,3 +190,14 @@ def test_registered_queries_scan_blobs_of_any_size(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(corpus, "table", longer)
     assert QUERIES["snapshot_files"](spark, sf_dir).where("size > 512000").count() > 0
     assert QUERIES["scan_commit_snapshots"](spark, sf_dir).where("line > 60000").count() > 0
+
+
+def test_keys_without_a_hot_one_are_not_counted_one_by_one(spark, monkeypatch):
+    """Counting moves a row for each bucket of keys, and a join without hot keys is a plain one."""
+    big = spark.range(4000).select((F.col("id") % 2000).alias("k"), "id")
+    small = spark.range(2000).select(F.col("id").alias("k"), F.lit("s").alias("s"))
+    joined = skew.skew_join(big, small, "k")
+    assert "_salt" not in joined._jdf.queryExecution().toString() and joined.count() == 4000
+    monkeypatch.setattr(skew, "COUNT_BUCKETS", 1)
+    salted = skew.skew_join(big.unionByName(spark.range(90).select(F.lit(7).cast("long").alias("k"), "id")), small, "k")
+    assert "_salt" in salted._jdf.queryExecution().toString() and salted.count() == 4090
