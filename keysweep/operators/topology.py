@@ -12,86 +12,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keysweep.plans.skew import skew_join
-from keysweep.plans.store import release, stored
+from keysweep.plans.store import stored
 
 #: Links between merges that one task may hold; more are solved level by level.
 LOCAL_LINKS = 2_000_000
 
 
-def _links(commits: DataFrame) -> DataFrame:
-    """``commit, parent``, once each; parents that are not in the table do not count, as in a shallow copy of a history."""
-    pairs = commits.select("commit", F.explode("parents").alias("parent")).where("parent IS NOT NULL").distinct()
-    known = commits.select(F.col("commit").alias("parent"))
-    return stored(skew_join(pairs, known, "parent", how="left_semi"))
+def _numbered(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``commit, time, _id``, a row for each commit, and ``_id, parents`` for those with parents in the table, as numbers.
 
-
-def _jumps(commits: DataFrame, links: DataFrame) -> DataFrame:
-    """``commit, anchor, steps``: the nearest merge or root that a line of commits leads back to; anchors lead to themselves."""
-    count = links.groupBy("commit").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
-    only = F.coalesce(F.col("n"), F.lit(0)) == 1
-    at = stored(commits.select("commit").join(count, "commit", "left").select(
-        "commit", F.when(only, F.col("parent")).otherwise(F.col("commit")).alias("anchor"), only.cast("long").alias("steps")))
-    rounds = max(1, commits.count()).bit_length() + 1
-    for _ in range(rounds):
-        ends = at.where("steps = 0").select(F.col("commit").alias("anchor"))
-        moving = stored(skew_join(at, ends.withColumn("_end", F.lit(True)), "anchor", how="left", weights=at).where("steps > 0 AND _end IS NULL").drop("_end"))
+    Names move here and in the end; in between commits are numbers. Parents that are not in the table do not count, as in a shallow copy of a history.
+    """
+    kind = "array<string>"
+    once = commits.where("commit IS NOT NULL").groupBy("commit").agg(
+        F.flatten(F.collect_set(F.coalesce(F.col("parents"), F.array().cast(kind)))).alias("parents"), F.min("time").alias("time"))
+    once = stored(once.withColumn("_id", F.monotonically_increasing_id()), "zstd")
+    links = once.select("_id", F.explode("parents").alias("commit")).where("commit IS NOT NULL")
+    links = skew_join(links, once.select("commit", F.col("_id").alias("_parent")), "commit")
+    return once, stored(links.groupBy("_id").agg(F.collect_set("_parent").alias("parents")))
+
+
+def _jumps(nodes: DataFrame) -> DataFrame:
+    """``_id, anchor, steps`` of commits with one parent: the nearest merge or root that their line of commits leads back to."""
+    at = stored(nodes.where("size(parents) = 1").select("_id", F.col("parents")[0].alias("anchor"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done")))
+    done, moving = at.where("done"), at.where("NOT done")
+    for _ in range(max(1, at.count()).bit_length() + 2):
         if moving.isEmpty():
-            release(moving)
-            return at
-        # Twice the way in each round.
-        further = at.select(F.col("commit").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"))
-        moved = skew_join(moving, further, "anchor", weights=moving).select(
-            "commit", F.col("_anchor").alias("anchor"), (F.col("steps") + F.col("_steps")).alias("steps"))
-        rest = at.join(moving.select("commit"), "commit", "left_anti")
-        before, at = at, stored(rest.unionByName(moved))
-        release(before, moving)
+            return done.drop("done")
+        further = done.unionByName(moving).select(
+            F.col("_id").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        # Twice the way in each round; an anchor without a row is a merge or a root.
+        at = stored(skew_join(moving.drop("done"), further, "anchor", how="left").select(
+            "_id", F.coalesce("_anchor", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.coalesce("_done", F.lit(True)).alias("done")))
+        done, moving = done.unionByName(at.where("done")), at.where("NOT done")
     raise ValueError("some commits are their own ancestors")
 
 
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Generations of merges and roots from rows ``commit, anchor, gain``; a root has a row with a null ``anchor``."""
-    into: dict[str, list[tuple[str, int]]] = {}
-    waiting: dict[str, int] = {}
-    found: dict[str, int] = {}
+    """Generations of merges from rows ``_id, anchor, gain``; an anchor without rows of its own is a root."""
+    into: dict[int, list[tuple[int, int]]] = {}
+    waiting: dict[int, int] = {}
+    found: dict[int, int] = {}
     for batch in batches:
-        for commit, anchor, gain in zip(*(batch.column(c).to_pylist() for c in ("commit", "anchor", "gain"))):
-            waiting.setdefault(commit, 0)
-            if anchor is not None:
-                waiting[commit] += 1
-                into.setdefault(anchor, []).append((commit, gain))
-    ready = [c for c, n in waiting.items() if n == 0]
+        for commit, anchor, gain in zip(*(batch.column(c).to_pylist() for c in ("_id", "anchor", "gain"))):
+            waiting[commit] = waiting.get(commit, 0) + 1
+            into.setdefault(anchor, []).append((commit, gain))
+    ready = [c for c in into if c not in waiting]
     best = dict.fromkeys(ready, 0)
     while ready:
         at = ready.pop()
-        found[at] = best[at]
+        if at in waiting:
+            found[at] = best[at]
         for commit, gain in into.get(at, ()):
             best[commit] = max(best.get(commit, 0), best[at] + gain)
             waiting[commit] -= 1
             if not waiting[commit]:
                 ready.append(commit)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["commit", "generation"])
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.int64())], names=["_id", "generation"])
 
 
-def _anchored(heads: DataFrame, links: DataFrame, jumps: DataFrame, local_links: int) -> DataFrame:
-    """``commit, generation`` of merges and roots."""
-    steps = jumps.select(F.col("commit").alias("parent"), "anchor", (F.col("steps") + 1).alias("gain"))
-    ways = skew_join(links.join(heads, "commit", "left_semi"), steps, "parent").groupBy("commit", "anchor").agg(F.max("gain").alias("gain"))
-    ways = stored(ways)
-    roots = heads.join(links.select("commit").distinct(), "commit", "left_anti")
+def _merged(nodes: DataFrame, jumps: DataFrame, local_links: int) -> DataFrame:
+    """``_id, generation`` of merges."""
+    steps = jumps.select(F.col("_id").alias("parent"), "anchor", "steps")
+    ways = skew_join(nodes.where("size(parents) > 1").select("_id", F.explode("parents").alias("parent")), steps, "parent", how="left")
+    ways = ways.select("_id", F.coalesce("anchor", "parent").alias("anchor"), (F.coalesce("steps", F.lit(0)) + 1).alias("gain"))
+    # The ways of a merge are as few as its parents, so they can lie in one place.
+    ways = ways.repartition("_id").groupBy("_id", "anchor").agg(F.max("gain").alias("gain"))
+    ways = stored(ways.withColumn("n", F.count("*").over(Window.partitionBy("_id"))))
     if ways.count() <= local_links:
-        rows = ways.unionByName(roots.select("commit", F.lit(None).cast("string").alias("anchor"), F.lit(0).cast("long").alias("gain")))
-        return stored(rows.coalesce(1).mapInArrow(_in_one_task, "commit string, generation long"))
-    known = stored(roots.select("commit", F.lit(0).cast("long").alias("generation")))
-    waiting = ways
-    while not waiting.isEmpty():
-        seen = known.select(F.col("commit").alias("anchor"), "generation")
-        joined = skew_join(waiting, seen, "anchor", how="left", weights=waiting)
-        level = stored(joined.groupBy("commit").agg(F.count_if(F.col("generation").isNull()).alias("open"), F.max(F.col("generation") + F.col("gain")).alias("generation"))
-                       .where("open = 0").select("commit", "generation"))
-        if level.isEmpty():
-            break
-        known, waiting = stored(known.unionByName(level)), stored(waiting.join(level, "commit", "left_anti"))
-    return known
+        return stored(ways.select("_id", "anchor", "gain").coalesce(1).mapInArrow(_in_one_task, "_id long, generation long"))
+    # Each way is gone once, when its beginning is known; a merge is known when all of its ways have been gone.
+    begun = stored(ways.select("anchor").distinct().join(ways.select(F.col("_id").alias("anchor")), "anchor", "left_anti"))
+    level = begun.select(F.col("anchor").alias("_id"), F.lit(0).cast("long").alias("generation"))
+    waiting, found = None, []
+    while n := level.count():
+        gone = skew_join(ways, level.select(F.col("_id").alias("anchor"), "generation"), "anchor", small_bytes=32 * n)
+        gone = gone.select("_id", "n", F.lit(1).cast("long").alias("gone"), (F.col("generation") + F.col("gain")).alias("generation"))
+        reached = stored((gone if waiting is None else gone.unionByName(waiting)).groupBy("_id").agg(
+            F.first("n").alias("n"), F.sum("gone").alias("gone"), F.max("generation").alias("generation")))
+        found.append(reached._stored_at)
+        level, waiting = reached.where("gone = n").select("_id", "generation"), reached.where("gone < n")
+    if not found:  # no merge hangs on a root
+        return level
+    return ways.sparkSession.read.schema(reached.schema).parquet(*found).where("gone = n").select("_id", "generation")
 
 
 def commit_topology(commits: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
@@ -102,22 +106,20 @@ def commit_topology(commits: DataFrame, local_links: int = LOCAL_LINKS) -> DataF
     commit that is its own ancestor is an error. An empty table gives no rows.
 
     Rounds grow with the logarithm of the longest line of commits. Merges and roots, usually few, are solved in one task if their links are at most
-    ``local_links``, else level by level, a round for each level.
+    ``local_links``, else level by level, a round for each level in which only the commits of the level move.
     """
-    kind = "array<string>"
-    once = stored(commits.groupBy("commit").agg(
-        F.flatten(F.collect_set(F.coalesce(F.col("parents"), F.array().cast(kind)))).alias("parents"), F.min("time").alias("time")))
-    links = _links(once)
-    jumps = _jumps(once, links)
-    heads = jumps.where("steps = 0").select("commit")
-    generations = _anchored(heads, links, jumps, local_links)
-    if generations.count() < heads.count():
+    once, nodes = _numbered(commits)
+    jumps = _jumps(nodes)
+    merges = _merged(nodes, jumps, local_links)
+    if merges.count() < nodes.where("size(parents) > 1").count():
         raise ValueError("some commits are their own ancestors")
-    base = generations.select(F.col("commit").alias("anchor"), F.col("generation").alias("_base"))
-    placed = skew_join(jumps, base, "anchor", weights=jumps).select("commit", (F.col("_base") + F.col("steps")).alias("generation"))
+    # What is neither a merge nor behind one hangs on a root, whose generation is 0.
+    base = merges.select(F.col("_id").alias("anchor"), F.col("generation").alias("_base"))
+    placed = skew_join(jumps, base, "anchor", how="left").select("_id", (F.coalesce("_base", F.lit(0)) + F.col("steps")).alias("generation"))
     keys = ["generation", "time", "commit"]
-    rows = placed.join(once.select("commit", "time"), "commit")
-    ordered = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    rows = once.select("commit", "time", "_id").join(placed.unionByName(merges), "_id", "left") \
+        .select(F.coalesce("generation", F.lit(0)).cast("long").alias("generation"), "time", "commit")
+    ordered = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "zstd")
     # Ids of a partition are consecutive; what comes before a partition is a sum over partitions.
     part = F.shiftright("_at", 33)
     over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from keysweep.operators import topology
 from keysweep.operators.topology import commit_topology
 
 SCHEMA = "commit string, parents array<string>, time long"
@@ -65,3 +66,17 @@ def test_empty_and_circular(spark):
     for rows in ([("a", ["b"], 0), ("b", ["a"], 0)], [("r", [], 0), ("a", ["r", "b"], 0), ("b", ["a", "r"], 0)]):
         with pytest.raises(ValueError, match="ancestors"):
             commit_topology(spark.createDataFrame(rows, SCHEMA)).collect()
+
+
+def test_names_move_in_the_beginning_and_in_the_end_only(spark, monkeypatch):
+    rows, tables, real = history(random.Random(4), 40), [], topology.stored
+    monkeypatch.setattr(topology, "stored", lambda frame, *codec: tables.append(dict(frame.dtypes)) or real(frame, *codec))
+    got = commit_topology(spark.createDataFrame(rows, SCHEMA), 0).collect()
+    assert sorted((r.commit, r.generation, r.order_index) for r in got) == walk(rows)
+    assert len(tables) > 4 and not any("string" in kinds.values() for kinds in tables[1:-1])
+
+
+def test_circular_merges_level_by_level(spark):
+    for rows in ([("a", ["b", "c"], 0), ("b", ["a", "c"], 0), ("c", ["a", "b"], 0)], [("r", [], 0), ("a", ["r", "b"], 0), ("b", ["a", "r"], 0)]):
+        with pytest.raises(ValueError, match="ancestors"):
+            commit_topology(spark.createDataFrame(rows, SCHEMA), 0).collect()
