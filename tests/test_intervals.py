@@ -80,3 +80,26 @@ def test_no_findings_give_no_rows(spark):
     scan = HistoryScan(*build(spark, [{"a.py": 0}], ["clean\n"]), load_rules(spark))
     assert scan.lifecycle_from_runs().collect() == [] and scan.exposure_intervals().collect() == []
     assert [tuple(r) for r in scan.runs.collect()] == [("a.py", "b0", 0, 0)]
+
+
+def test_intervals_move_once_each(spark, monkeypatch):
+    """No row for each end of an interval; with few equal beginnings one shuffle before the runs are stored."""
+    plans, real = [], intervals.stored
+    monkeypatch.setattr(intervals, "stored", lambda frame, *codec: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or real(frame, *codec))
+    rows = [(k, n, n + k) for k in range(3) for n in range(0, 40, 2)]
+    frame = spark.createDataFrame(rows, "k long, first_pos long, last_pos long")
+    want = sorted((k, *run) for k in range(3) for run in runs_of({n for key, a, b in rows if key == k for n in range(a, b + 1)}))
+    for few, moves in ((True, 1), (False, 2)):
+        plans.clear()
+        assert sorted(map(tuple, intervals.union_intervals(frame, ["k"], few=few).collect())) == want
+        assert plans[0].count("Exchange") == moves and "Generate" not in plans[0]
+
+
+def test_long_and_nested_intervals_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BUCKET", 3)
+    for seed in range(6):
+        rng = random.Random(seed)
+        rows = [(rng.choice("ab"), s := rng.randrange(-30, 60), s + rng.choice([0, 0, 1, 3, 25])) for _ in range(rng.choice([6, 20]))]
+        frame = spark.createDataFrame(rows, "k string, first_pos long, last_pos long")
+        want = sorted((k, *run) for k in "ab" for run in runs_of({n for key, a, b in rows if key == k for n in range(a, b + 1)}))
+        assert sorted(map(tuple, intervals.union_intervals(frame, ["k"], few=seed % 2 == 0).collect())) == want
