@@ -7,6 +7,7 @@ import pytest
 
 from keysweep import HistoryScan, load_rules
 from keysweep.operators import history
+from keysweep.streaming import lifecycle
 from keysweep.streaming.lifecycle import LifecycleStream, merged
 from tests.test_history import build, secret
 from tests.test_intervals import runs_of
@@ -40,3 +41,21 @@ def test_shuffled_arrival_equals_the_whole_history(spark, tmp_path, seed):
     assert sorted(map(tuple, follow.lifecycle(scan.found, commits).collect())) == want
     seen = {(r.secret_id, i) for r in follow.intervals().collect() for i in range(r.first_index, r.last_index + 1)}
     assert seen == {tuple(r) for r in history.sightings(entries, scan.found, commits).collect()}
+
+
+def test_many_batches_are_united(spark, tmp_path, monkeypatch):
+    """Folders of united intervals stand for the batches before; a batch runs no Python for each secret."""
+    monkeypatch.setattr(lifecycle, "UNITED_BATCHES", 2)
+    monkeypatch.setattr(lifecycle, "BUCKET", 4)
+    rng = random.Random(5)
+    source, follow = str(tmp_path / "in"), LifecycleStream(spark, str(tmp_path / "state"))
+    schema, seen = "secret_id binary, order_index long", set()
+    for n in range(5):
+        rows = [(bytes([rng.randrange(3)]), rng.randrange(12)) for _ in range(6)]
+        spark.createDataFrame(rows + rows[:2] + [(None, 1), (b"x", None)], schema).coalesce(1).write.mode("append").parquet(source)
+        follow.start(spark.readStream.schema(schema).parquet(source)).awaitTermination()
+        seen |= set(rows)
+    assert follow._done("until") == [1, 3] and follow._done("batch") == list(range(5))
+    want = sorted((k, *run) for k in {k for k, _ in seen} for run in runs_of({n for key, n in seen if key == k}))
+    got = follow.intervals().collect()
+    assert sorted((bytes(r.secret_id), r.first_index, r.last_index) for r in got) == want
