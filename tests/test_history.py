@@ -201,3 +201,16 @@ def test_keys_without_a_hot_one_are_not_counted_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(skew, "COUNT_BUCKETS", 1)
     salted = skew.skew_join(big.unionByName(spark.range(90).select(F.lit(7).cast("long").alias("k"), "id")), small, "k")
     assert "_salt" in salted._jdf.queryExecution().toString() and salted.count() == 4090
+
+
+def test_trees_are_joined_with_numbers_of_secrets(spark, monkeypatch):
+    """Between trees and results no digest of 32 bytes moves; results have the digests."""
+    contents = [secret(n) for n in range(3)] + [secret(0) + secret(1)]
+    scan = HistoryScan(*build(spark, [{"a.py": i % 4, "b.py": (i + 1) % 4} for i in range(6)], contents), load_rules(spark))
+    kinds, real = [], history.secret_positions
+    monkeypatch.setattr(history, "secret_positions", lambda *given: kinds.append(dict((out := real(*given)).dtypes)) or out)
+    digests = {(r.type, r.match): r.secret_id for r in scan.found.collect()}
+    for life in (scan.lifecycle, scan.lifecycle_from_runs()):
+        assert {(r.type, r.match): r.secret_id for r in life.collect()} == digests
+    scan.exposure_intervals()
+    assert [k["secret_id"] for k in kinds] == ["bigint", "bigint"]
